@@ -1,0 +1,121 @@
+"""Company rows drawn from the sector and country profiles.
+
+Every draw is a function of the row id, the seed and the name of the drawn column, so the
+table is the same for any partitioning and each partition works on its own ids.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Sequence
+from itertools import accumulate
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from fumarole import vocab
+from fumarole.functions.hashing import uniform
+from fumarole.sources.dimensions import local_table, sector_industry, sector_profile
+
+GAPPED = ["revenue", "total_assets", "market_cap", "employee_count", "industry"]
+
+
+def weighted_pick(u: Column, weights: Sequence[float]) -> Column:
+    """Index drawn with the given weights from a uniform value."""
+    total = sum(weights)
+    edges = [w / total for w in accumulate(weights)][:-1]
+    return F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= u))
+
+
+def even_pick(u: Column, n: int | Column) -> Column:
+    return F.floor(u * n).cast("int")
+
+
+def normal(u1: Column, u2: Column) -> Column:
+    return F.sqrt(-2.0 * F.ln(u1)) * F.cos(2.0 * math.pi * u2)
+
+
+def inject_nulls(
+    df: DataFrame, columns: Sequence[str], keys: Sequence[str], seed: int, share: float = 0.05
+) -> DataFrame:
+    """Null out a share of each column, drawn per row and column."""
+    by = [F.col(k) for k in keys]
+    return df.withColumns(
+        {c: F.when(uniform(by, f"{seed}:gap:{c}") >= share, F.col(c)) for c in columns}
+    )
+
+
+def generate_companies(
+    ids: DataFrame, id_column: str, seed: int = vocab.SEED, revenue_unit: float = 1e6
+) -> DataFrame:
+    """One company row per id, with log-normal financials and factor-driven emissions.
+
+    ``revenue_unit`` divides revenue before the emission factors apply. The drawn revenues
+    are already of the order of millions, so the default sends most targets to the floor
+    of 1.0; ``revenue_unit=1.0`` keeps their spread.
+    """
+    spark = ids.sparkSession
+    key = F.col(id_column)
+
+    def u(tag: str) -> Column:
+        return uniform([key], f"{seed}:{tag}")
+
+    def z(tag: str) -> Column:
+        return normal(u(f"{tag}:a"), u(f"{tag}:b"))
+
+    countries = local_table(
+        spark,
+        [(i, *row[:3]) for i, row in enumerate(vocab.COUNTRIES)],
+        ["country_no", "country", "gdp_per_capita", "energy_intensity"],
+    )
+    prefixes = local_table(
+        spark, [(s, vocab.NAME_PREFIXES[s]) for s in vocab.SECTORS], ["sector", "prefixes"]
+    )
+    drawn = (
+        ids.select(
+            key,
+            even_pick(u("sector"), len(vocab.SECTORS)).cast("bigint").alias("sector_no"),
+            weighted_pick(u("country"), [row[3] for row in vocab.COUNTRIES])
+            .cast("bigint").alias("country_no"),
+            even_pick(u("industry"), 4).cast("bigint").alias("industry_no"),
+        )
+        .join(sector_profile(spark), "sector_no")
+        .join(prefixes, "sector")
+        .join(sector_industry(spark), ["sector", "industry_no"])
+        .join(countries, "country_no")
+    )
+
+    def amount(tag: str) -> Column:
+        return F.exp(F.col(f"{tag}_mu") + F.col(f"{tag}_sig") * z(tag))
+
+    def emitted(scope: str, sigma: float) -> Column:
+        noise = F.exp(sigma * z(f"{scope}_noise"))
+        energy = F.col("energy_intensity") / 4.5
+        return F.greatest(F.col(f"{scope}_factor") * (F.col("rev") / revenue_unit) * noise * energy, F.lit(1.0))
+
+    suffixes = F.array(*[F.lit(s) for s in vocab.NAME_SUFFIXES])
+    letters = F.array(*[F.lit(s) for s in vocab.TICKER_LETTERS])
+    stem = F.format_string(
+        "%s%04d", F.get("prefixes", even_pick(u("prefix"), F.size("prefixes"))), key
+    )
+    named = drawn.withColumns({"rev": amount("rev"), "stem": stem})
+    table = named.select(
+        key,
+        F.concat_ws(" ", "stem", F.get(suffixes, even_pick(u("suffix"), len(vocab.NAME_SUFFIXES))))
+        .alias("company_name"),
+        F.concat(
+            F.upper(F.substring("stem", 1, 4)),
+            F.get(letters, even_pick(u("letter"), len(vocab.TICKER_LETTERS))),
+        ).alias("ticker"),
+        (F.lit(2020) + even_pick(u("year"), 4)).alias("reporting_year"),
+        "sector",
+        "industry",
+        "country",
+        F.bround("rev", 2).alias("revenue"),
+        F.bround(amount("ast"), 2).alias("total_assets"),
+        F.bround(amount("mcap"), 2).alias("market_cap"),
+        F.greatest(F.floor(amount("emp")), F.lit(50)).cast("double").alias("employee_count"),
+        F.bround(emitted("s1", 0.4), 2).alias("scope1_emissions"),
+        F.bround(emitted("s2", 0.35), 2).alias("scope2_emissions"),
+    )
+    return inject_nulls(table, GAPPED, [id_column], seed).drop(id_column)
