@@ -12,6 +12,8 @@ import posixpath
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fumarole import vocab
+
 #: Sector text per market segment: canonical, padded, upper case, lower case, unrecognised.
 SECTOR_OF_SEGMENT = {
     "AUTOMOBILE": "Consumer Discretionary",
@@ -42,7 +44,8 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Lines are summed per order before they meet the orders, and orders per customer and year
     before they meet the customers, so that no join fans out and a busy order or customer is
-    reduced in the map tasks.
+    reduced in the map tasks. Sums are rounded to the digits of their terms, so that their
+    order does not show.
     """
     orders = read(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", F.year("o_orderdate").alias("reporting_year"),
@@ -55,8 +58,8 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(
             F.sum(price).alias("market_cap"),
             F.sum(F.when(F.col("l_returnflag") != "R", quantity)).alias("employee_count"),
-            F.sum(price * F.col("l_discount")).alias("scope1_emissions"),
-            F.sum(price * F.col("l_tax")).alias("scope2_emissions"),
+            F.sum(price * F.col("l_discount")).alias(vocab.SCOPE1),
+            F.sum(price * F.col("l_tax")).alias(vocab.SCOPE2),
         )
     )
     booked = F.col("o_orderstatus") != "P"
@@ -65,11 +68,10 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("o_custkey", "reporting_year")
         .agg(
             F.min(F.when(booked, F.col("o_orderpriority"))).alias("industry"),
-            F.sum(F.when(booked, F.col("o_totalprice"))).alias("revenue"),
-            *[
-                F.sum(c).alias(c)
-                for c in ("market_cap", "employee_count", "scope1_emissions", "scope2_emissions")
-            ],
+            F.round(F.sum(F.when(booked, F.col("o_totalprice"))), 2).alias("revenue"),
+            F.round(F.sum("market_cap"), 2).alias("market_cap"),
+            F.sum("employee_count").alias("employee_count"),
+            *[F.round(F.sum(t), 4).alias(t) for t in vocab.TARGETS],
         )
     )
     customers = read(spark, sf_dir, "customer")
@@ -95,7 +97,7 @@ def financials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A financials extract: lifetime figures per customer that ordered, without the years."""
     orders = read(spark, sf_dir, "orders")
     per_customer = orders.groupBy("o_custkey").agg(
-        F.sum("o_totalprice").alias("revenue"),
+        F.round(F.sum("o_totalprice"), 2).alias("revenue"),
         F.max("o_orderpriority").alias("industry"),
         F.count(F.lit(1)).cast("double").alias("employee_count"),
         F.max("o_orderdate").alias("last_order"),
@@ -112,7 +114,7 @@ def nation_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
         read(spark, sf_dir, "supplier")
         .groupBy("s_nationkey")
         .agg(
-            F.avg("s_acctbal").alias("gdp_per_capita"),
+            F.round(F.sum("s_acctbal"), 2).alias("gdp_per_capita"),
             F.count(F.lit(1)).cast("double").alias("energy_intensity"),
         )
         .select(
@@ -136,6 +138,7 @@ def degraded(rows: DataFrame) -> DataFrame:
             "industry": F.lit(None).cast("string"),
             "revenue": F.when(F.col("revenue") < 200_000, F.col("revenue")),
             "market_cap": F.when(F.col("market_cap") < 100_000, F.col("market_cap")),
+            "total_assets": F.lit(0.0),
         }
     )
     return rows.unionByName(gaps)

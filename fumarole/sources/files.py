@@ -44,7 +44,9 @@ def _typed(name: str, kind: T.DataType) -> Column:
 
 def write_csv(df: DataFrame, path: str) -> None:
     """One CSV file per partition with a header; an earlier table at ``path`` is replaced."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").options(
+        header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    ).csv(path)
 
 
 def write_table(df: DataFrame, path: str) -> None:
