@@ -1,0 +1,239 @@
+"""Queries: fits, cross-validation, search, training jobs and tree attribution.
+
+Searches and ensembles are small here; their sizes are parameters of the library calls.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml import PipelineModel
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fumarole import vocab
+from fumarole.catalog import sql as S
+from fumarole.catalog.analysis import _BINNED, _LOGGED, _SPLIT
+from fumarole.catalog.panel import panel as make_panel
+from fumarole.catalog.registry import query
+from fumarole.catalog.tables import KEYED, logged, rounded, staged_panel
+from fumarole.operators import attribution, cleaning, encode, learners, split
+from fumarole.plans import train as jobs
+from fumarole.plans.clean import clean
+from fumarole.plans.features import features, fit_encoders
+from fumarole.session import materialise, stage_path
+
+LABEL = "log_scope1_emissions"
+INPUTS = ["log_market_cap", "log_employees"]
+TREE_INPUTS = [*vocab.LOG_OF.values(), "revenue_missing", "reporting_year"]
+
+
+def model_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows with a scope 1 figure; gaps in the logs are 0. A stage table."""
+    rows = cleaning.add_flags(cleaning.add_logs(make_panel(spark, sf)))
+    return materialise(
+        rows.where(F.col(LABEL).isNotNull()).na.fill(0.0, list(vocab.LOG_OF.values())), "model-rows"
+    )
+
+
+_ROWS = f"""fit_rows AS MATERIALIZED (
+  SELECT sector, {LABEL} AS y, coalesce(log_market_cap, 0.0) AS x1, coalesce(log_employees, 0.0) AS x2
+  FROM logged WHERE {LABEL} IS NOT NULL)"""
+
+
+@query(
+    S.on_panel(
+        """SELECT round(b1, 6) AS log_market_cap, round(b2, 6) AS log_employees,
+                  round(my - b1 * m1 - b2 * m2, 6) AS intercept
+           FROM (SELECT *, (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) AS b1,
+                        (s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) AS b2 FROM moments)""",
+        _LOGGED,
+        _ROWS,
+        """moments AS (SELECT var_pop(x1) AS s11, var_pop(x2) AS s22, covar_pop(x1, x2) AS s12,
+                              covar_pop(x1, y) AS s1y, covar_pop(x2, y) AS s2y, avg(x1) AS m1,
+                              avg(x2) AS m2, avg(y) AS my FROM fit_rows)""",
+    )
+)
+def linear_fit(spark: SparkSession, sf: str) -> DataFrame:
+    """The standardised linear baseline, saved and loaded, on the original feature scale."""
+    rows = model_rows(spark, sf)
+    fitted = learners.pipeline(learners.learners(LABEL)["LinearRegression"], INPUTS).fit(rows)
+    path = stage_path(spark, "linear")
+    fitted.write().save(path)
+    coefficients, intercept = attribution.raw_coefficients(PipelineModel.load(path), INPUTS)
+    row = [(*[coefficients[c] for c in INPUTS], intercept)]
+    names = [*INPUTS, "intercept"]
+    return rounded(spark.createDataFrame(row, ", ".join(f"{n} double" for n in names)), names)
+
+
+@query(
+    S.on_panel(
+        """SELECT round(avg(mse), 6) AS cv_mse FROM (
+             SELECT held.sector, avg((held.y - (slope * held.x1 + start)) ** 2) AS mse
+             FROM fit_rows held JOIN (
+               SELECT s.sector, regr_slope(y, x1) AS slope, regr_intercept(y, x1) AS start
+               FROM (SELECT DISTINCT sector FROM fit_rows) s JOIN fit_rows r ON r.sector <> s.sector
+               GROUP BY s.sector) f USING (sector)
+             GROUP BY held.sector)""",
+        _LOGGED,
+        _ROWS,
+    )
+)
+def cross_validated_baseline(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean squared error of the baseline over folds that hold out whole sectors."""
+    rows, folds = split.add_folds(model_rows(spark, sf), "sector")
+    baseline = learners.learners(LABEL)["LinearRegression"]
+    fit = learners.fit_learner(baseline, rows, LABEL, INPUTS[:1], folds)
+    return spark.createDataFrame([(round(fit.cv_mse, 6),)], "cv_mse double")
+
+
+@query(
+    S.on_panel(
+        """SELECT ticker, reporting_year, round(coalesce(m, g), 6) AS sector_mean_log_scope1
+           FROM drawn LEFT JOIN per_sector USING (sector), overall WHERE is_test""",
+        _BINNED,
+        _SPLIT,
+        """train_rows AS (SELECT sector, CASE WHEN scope1_emissions IS NOT NULL
+                            THEN ln(1 + greatest(scope1_emissions, 0)) END AS l
+                          FROM drawn WHERE NOT is_test)""",
+        "per_sector AS (SELECT sector, avg(l) AS m FROM train_rows GROUP BY sector)",
+        "overall AS (SELECT avg(l) AS g FROM train_rows)",
+    )
+)
+def train_only_means(spark: SparkSession, sf: str) -> DataFrame:
+    """Sector means of the training rows, applied to the held-out rows."""
+    rows = split.stratified_split(logged(staged_panel(spark, sf)), vocab.SCOPE1)
+    train, test = split.train_and_test(materialise(rows, "split"))
+    fitted = encode.GroupMean(groupCol="sector", targets=[vocab.SCOPE1]).fit(train)
+    names = fitted.names()
+    return rounded(fitted.transform(test).select("ticker", "reporting_year", *names), names)
+
+
+def small_forest(label: str, inputs: list[str]):
+    one = learners.learners(label)["RandomForest"]
+    one.regressor._set(numTrees=5, maxDepth=4)
+    return learners.pipeline(one, inputs)
+
+
+def small_boost(name: str, label: str, inputs: list[str]):
+    one = learners.learners(label)[name]
+    one.regressor._set(maxIter=4, maxDepth=3)
+    return learners.pipeline(one, inputs)
+
+
+@query()
+def forest_importances(spark: SparkSession, sf: str) -> DataFrame:
+    fitted = small_forest(LABEL, TREE_INPUTS).fit(model_rows(spark, sf))
+    return learners.importances(fitted, TREE_INPUTS)
+
+
+@query()
+def boosting_importances(spark: SparkSession, sf: str) -> DataFrame:
+    """Importances under the four boosted-tree presets."""
+    rows = model_rows(spark, sf)
+    tables = None
+    for name in ("GradientBoosting", "HistogramBoosting", "OrderedBoosting", "LeafwiseBoosting"):
+        fitted = small_boost(name, LABEL, TREE_INPUTS).fit(rows)
+        table = learners.importances(fitted, TREE_INPUTS).withColumn("model", F.lit(name))
+        tables = table if tables is None else tables.unionByName(table)
+    return tables
+
+
+@query()
+def random_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Two of the settings of a small forest grid, by cross-validated error."""
+    rows = model_rows(spark, sf)
+    folded, folds = split.add_folds(rows, "sector")
+    one = learners.learners(LABEL, smoke=True)["RandomForest"]
+    grid = {"numTrees": [4, 8], "maxDepth": [2, 4], "featureSubsetStrategy": ["sqrt", "0.5"]}
+    searched = learners.Learner(one.name, one.regressor, grid)
+    fit = learners.fit_learner(searched, folded, LABEL, TREE_INPUTS, folds, draws=2)
+    return spark.createDataFrame(
+        [(str(fit.settings), float(fit.cv_mse), len(learners.draw_settings(grid, 2)))],
+        "settings string, cv_mse double, n_draws int",
+    )
+
+
+_LOCAL_ACCURACY = S.on_panel(
+    "SELECT count(*) AS n_rows, count(*) AS n_exact FROM panel WHERE scope1_emissions IS NOT NULL"
+)
+
+
+def _local_accuracy(rows: DataFrame, model: PipelineModel) -> DataFrame:
+    """Rows whose base and attributions add up to the prediction."""
+    explained = attribution.with_row_id(rows)
+    long = attribution.attributions(model, explained, TREE_INPUTS)
+    sums = long.groupBy("row_id").agg((F.sum("phi") + F.first("base")).alias("total"))
+    both = model.transform(explained).select("row_id", "prediction").join(sums, "row_id")
+    exact = F.abs(F.col("total") - F.col("prediction")) < 1e-6
+    return both.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(exact).alias("n_exact"))
+
+
+@query(_LOCAL_ACCURACY)
+def forest_local_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    rows = model_rows(spark, sf)
+    return _local_accuracy(rows, small_forest(LABEL, TREE_INPUTS).fit(rows))
+
+
+@query(_LOCAL_ACCURACY)
+def boosting_local_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    rows = model_rows(spark, sf)
+    return _local_accuracy(rows, small_boost("GradientBoosting", LABEL, TREE_INPUTS).fit(rows))
+
+
+@query()
+def tree_attribution(spark: SparkSession, sf: str) -> DataFrame:
+    rows = model_rows(spark, sf)
+    fitted = small_forest(LABEL, TREE_INPUTS).fit(rows)
+    return attribution.attributions(fitted, attribution.with_row_id(rows), TREE_INPUTS)
+
+
+SMALL = {
+    "RandomForest": {"numTrees": 4, "maxDepth": 4, "minInstancesPerNode": 1, "featureSubsetStrategy": "sqrt"},
+    "GradientBoosting": {
+        "maxIter": 3, "maxDepth": 3, "stepSize": 0.2, "subsamplingRate": 1.0, "minInstancesPerNode": 1,
+    },
+}
+
+
+def _clean_features(spark: SparkSession, sf: str, group_means: bool = False) -> DataFrame:
+    return materialise(features(clean(make_panel(spark, sf)), fit_group_means=group_means), "features")
+
+
+@query()
+def train_models(spark: SparkSession, sf: str) -> DataFrame:
+    """The training job for scope 1: baseline, a small forest and small boosted trees."""
+    folder = stage_path(spark, "models")
+    results = jobs.train(
+        _clean_features(spark, sf), folder, [vocab.SCOPE1],
+        ["LinearRegression", "RandomForest", "GradientBoosting"], smoke=True, overrides=SMALL,
+    )
+    return results.drop("model_path")
+
+
+@query()
+def evaluation_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Per-sector metrics of the best stored model on its held-out rows."""
+    folder = stage_path(spark, "models")
+    jobs.train(_clean_features(spark, sf), folder, [vocab.SCOPE1], ["LinearRegression"])
+    return jobs.evaluate(spark, folder, [vocab.SCOPE1])[vocab.SCOPE1]["by_sector"]
+
+
+@query()
+def score_portfolio(spark: SparkSession, sf: str) -> DataFrame:
+    """All panel rows scored with the stored models of both targets."""
+    folder = stage_path(spark, "models")
+    cleaned = materialise(clean(make_panel(spark, sf)), "clean")
+    encoders = fit_encoders(cleaned)
+    table = materialise(features(cleaned, encoders=encoders), "features")
+    jobs.train(table, folder, names=["LinearRegression"])
+    scored = jobs.score_companies(cleaned.select(*KEYED, *vocab.CATEGORICAL, *vocab.NUMERIC), folder, encoders)
+    return scored.drop("feature_values")
+
+
+@query()
+def explain_models(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored attributions of the best scope 1 model for every held-out row."""
+    folder = stage_path(spark, "models")
+    jobs.train(
+        _clean_features(spark, sf), folder, [vocab.SCOPE1], ["RandomForest"], smoke=True, overrides=SMALL,
+    )
+    return jobs.explain(spark, folder, [vocab.SCOPE1], cap=None)[vocab.SCOPE1]

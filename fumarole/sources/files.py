@@ -28,7 +28,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     Columns are found by header name, so their order is free and optional ones may be
     absent. Columns outside ``schema`` stay text. Nothing is inferred from the data.
     """
-    raw = spark.read.option("header", True).csv(path)
+    raw = spark.read.options(header=True, escape="\"").csv(path)
     kinds = {f.name: f.dataType for f in schema.fields}
     return raw.select([_typed(name, kinds.get(name, T.StringType())) for name in raw.columns])
 
@@ -45,7 +45,7 @@ def _typed(name: str, kind: T.DataType) -> Column:
 def write_csv(df: DataFrame, path: str) -> None:
     """One CSV file per partition with a header; an earlier table at ``path`` is replaced."""
     df.write.mode("overwrite").options(
-        header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+        header=True, escape="\"", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
     ).csv(path)
 
 
