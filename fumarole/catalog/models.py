@@ -82,7 +82,7 @@ def cross_validated_baseline(spark: SparkSession, sf: str) -> DataFrame:
     rows, folds = split.add_folds(model_rows(spark, sf), "sector")
     baseline = learners.learners(LABEL)["LinearRegression"]
     fit = learners.fit_learner(baseline, rows, LABEL, INPUTS[:1], folds)
-    return spark.createDataFrame([(round(fit.cv_mse, 6),)], "cv_mse double")
+    return rounded(spark.createDataFrame([(fit.cv_mse,)], "cv_mse double"), ["cv_mse"])
 
 
 @query(

@@ -15,7 +15,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressionModel, LinearRegressionModel, RandomForestRegressionModel
-from pyspark.sql import DataFrame, Row, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fumarole import vocab
@@ -23,6 +23,8 @@ from fumarole.operators.split import hash_sample
 from fumarole.session import stage_path
 
 ROW = "row_id"
+#: Fewest tasks the growing rows of the sampled attribution are spread over.
+MIN_TASKS = 32
 
 
 def with_row_id(df: DataFrame, keys: Sequence[str] = vocab.KEYS) -> DataFrame:
@@ -204,8 +206,8 @@ def sampled_attributions(
     For each row, background row and feature order, the features are switched one by one;
     the change of the prediction goes to the switched feature. ``predict`` adds
     ``prediction`` to a table with a ``features`` vector. Each row expands in place to
-    permutations x background x (features + 1) predictions, summed before the shuffle. Orders
-    come in pairs with their reverse.
+    permutations x background x (features + 1) predictions and needs a unique ``row_id``.
+    Orders come in pairs with their reverse.
     """
     names, n = list(names), len(names)
     draw = random.Random(seed)
@@ -223,8 +225,11 @@ def sampled_attributions(
     )
     reference = F.array(*[F.lit([float(v) for v in row]) for row in background])
     x = F.array(*[F.col(c).cast("double") for c in names])
+    # rows grow in place, so they are spread by row id first; the sums per row then stay put
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MIN_TASKS)
     switched = (
         df.select(ROW, x.alias("x"))
+        .repartition(tasks, ROW)
         .select(ROW, "x", F.explode(plans).alias("plan"))
         .select(ROW, "x", "plan", F.explode(reference).alias("b"))
         .select(ROW, "x", "plan", "b", F.explode(F.sequence(F.lit(0), F.lit(n))).alias("step"))
@@ -234,22 +239,24 @@ def sampled_attributions(
         lambda value, i: F.when(F.get("plan.place", i) < F.col("step"), value).otherwise(F.get("b", i)),
     )
     scored = predict(
-        switched.select(ROW, "step", F.col("plan.at").alias("at"), array_to_vector(mixed).alias("features"))
+        switched.select(
+            ROW, "x", "step", F.col("plan.at").alias("at"), array_to_vector(mixed).alias("features")
+        )
     )
+
+    def gain(at: Column, change: Column) -> Column:
+        return F.struct(at.alias("i"), change.alias("change"), F.get("x", at).alias("value"))
+
     gains = F.array(
-        F.struct(F.get("at", F.col("step") - 1).alias("i"), F.col("prediction").alias("d")),
-        F.struct(F.get("at", F.col("step")).alias("i"), (-F.col("prediction")).alias("d")),
+        gain(F.get("at", F.col("step") - 1), F.col("prediction")),
+        gain(F.get("at", F.col("step")), -F.col("prediction")),
     )
     runs = float(len(orders) * len(background))
     sums = (
         scored.select(ROW, F.explode(gains).alias("g"))
         .where("g.i is not null")
         .groupBy(ROW, "g.i")
-        .agg((F.sum("g.d") / runs).alias("phi"))
-    )
-    values = df.select(
-        ROW,
-        F.posexplode(x).alias("i", "value"),
+        .agg((F.sum("g.change") / runs).alias("phi"), F.first("g.value").alias("value"))
     )
     spark = df.sparkSession
     at_background = predict(
@@ -259,7 +266,7 @@ def sampled_attributions(
     )
     base = at_background.agg(F.avg("prediction")).first()[0]
     label = F.get(F.array(*[F.lit(c) for c in names]), F.col("i"))
-    return values.join(sums, [ROW, "i"]).select(
+    return sums.select(
         ROW, label.alias("feature"), "value", "phi", F.lit(base).alias("base")
     )
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from fumarole import vocab
 from fumarole.session import SMALL_ROWS, materialise, small_table
+from fumarole.sources.dimensions import local_table
 
 
 class _TableWriter(MLWriter):
@@ -112,13 +113,13 @@ class GroupMean(Estimator, _GroupMeanParams, _PlainWriter):
                 for out, t in means.items()
             ]
         ).first()
-        table = sums.select(
+        model = GroupMeanModel(groupCol=group, targets=list(means.values()))
+        model.overall = {out: total[out] for out in means}
+        model.table = sums.select(
             F.col(group).cast("string").alias("group"),
             *[F.try_divide(F.col(f"sum_{t}"), F.col(f"n_{t}")).alias(out) for out, t in means.items()],
-            *[F.lit(total[out]).cast("double").alias(f"global_{out}") for out in means],
+            *[F.lit(mean).cast("double").alias(f"global_{out}") for out, mean in model.overall.items()],
         )
-        model = GroupMeanModel(groupCol=group, targets=list(means.values()))
-        model.table = small_table(table)
         return model
 
 
@@ -126,6 +127,7 @@ class GroupMeanModel(_TableModel, _GroupMeanParams):
     @keyword_only
     def __init__(self, *, groupCol: str = "sector", targets: list[str] | None = None):
         super().__init__()
+        self.overall: dict[str, float | None] | None = None
         self._setDefault(groupCol="sector", targets=vocab.TARGETS)
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
@@ -134,8 +136,10 @@ class GroupMeanModel(_TableModel, _GroupMeanParams):
         return [mean_column(group, t) for t in self.getOrDefault(self.targets)]
 
     def global_means(self) -> dict[str, float | None]:
-        row = self.table.select(*[f"global_{c}" for c in self.names()]).first()
-        return {c: (row[f"global_{c}"] if row else None) for c in self.names()}
+        if self.overall is None:
+            row = self.table.select(*[f"global_{c}" for c in self.names()]).first()
+            self.overall = {c: (row[f"global_{c}"] if row else None) for c in self.names()}
+        return self.overall
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         group, outs = self.getOrDefault(self.groupCol), self.names()
@@ -205,15 +209,19 @@ def out_of_fold_means(
 def ranked_values(df: DataFrame, column: str, max_rows: int = SMALL_ROWS) -> DataFrame:
     """Distinct values (null as "Unknown") with their position in codepoint order, from 0.
 
-    Up to ``max_rows`` values are numbered in one window. Beyond that the values are range
+    Up to ``max_rows`` values are numbered on the driver. Beyond that the values are range
     sorted and numbered per partition, and each partition adds the sizes of those before it.
     """
     value = F.coalesce(F.col(column).cast("string"), F.lit("Unknown")).alias("value")
-    values = materialise(df.select(value).distinct(), "values")
-    if values.count() <= max_rows:
-        position = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("value")) - 1
-        return small_table(values.select("value", position.cast("int").alias("code")), max_rows)
-    return positions(values, "value")
+    values = df.select(value).distinct()
+    first = values.limit(max_rows + 1).toArrow()
+    if first.num_rows > max_rows:
+        return positions(materialise(values, "values"), "value")
+    ordered = sorted(first["value"].to_pylist())  # codepoint order, as Spark orders text
+    if not ordered:
+        return df.sparkSession.createDataFrame([], "value string, code int")
+    table = local_table(df.sparkSession, enumerate(ordered), ["code", "value"])
+    return table.select("value", F.col("code").cast("int").alias("code"))
 
 
 def positions(values: DataFrame, column: str) -> DataFrame:

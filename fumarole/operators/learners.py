@@ -6,15 +6,15 @@ import math
 import random
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.base import Estimator
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from fumarole import vocab
 from fumarole.functions.maths import safe_log1p
@@ -123,6 +123,45 @@ class Fit:
     settings: dict[str, object]
 
 
+def fold_errors(
+    plan: Pipeline,
+    settings: Sequence[dict[str, object]],
+    rows: DataFrame,
+    label: str,
+    folds: int,
+    parallelism: int = 4,
+) -> list[float]:
+    """Mean over the folds of the held-out squared error, per setting.
+
+    The stages before the regressor (encoders, assembly, scaling) are fitted once per fold,
+    on the other folds only, and shared by all settings. Threads submit the jobs.
+    """
+    *shared, regressor = plan.getStages()
+
+    def prepare_fold(fold: int) -> tuple[DataFrame, DataFrame]:
+        train, held = rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold)
+        fitted = Pipeline(stages=shared).fit(train)
+        columns = [label, regressor.getFeaturesCol()]
+        return fitted.transform(train).select(columns), fitted.transform(held).select(columns)
+
+    def error(task: tuple[tuple[DataFrame, DataFrame], dict[str, object]]) -> float | None:
+        (train, held), setting = task
+        model = regressor.fit(train, {regressor.getParam(k): v for k, v in setting.items()})
+        miss = F.col(label) - F.col("prediction")
+        return model.transform(held).agg(F.avg(miss * miss)).first()[0]
+
+    inherit = inheritable_thread_target(rows.sparkSession)
+    with ThreadPool(parallelism) as pool:
+        prepared = pool.map(inherit(prepare_fold), range(folds))
+        tasks = [(fold, setting) for setting in settings for fold in prepared]
+        found = pool.map(inherit(error), tasks, chunksize=1)
+    means = []
+    for at in range(0, len(found), folds):
+        held = [e for e in found[at:at + folds] if e is not None]  # an empty fold has no error
+        means.append(sum(held) / len(held))
+    return means
+
+
 def fit_learner(
     learner: Learner,
     train: DataFrame,
@@ -142,19 +181,10 @@ def fit_learner(
     plan = pipeline(learner, names, first)
     regressor = plan.getStages()[-1]
     settings = draw_settings(learner.grid, draws, seed) if learner.grid else [{}]
-    maps = [{regressor.getParam(k): v for k, v in s.items()} for s in settings]
-    search = CrossValidator(
-        estimator=plan,
-        estimatorParamMaps=maps,
-        evaluator=RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName="mse"),
-        numFolds=folds,
-        foldCol="fold",
-        parallelism=parallelism,
-        seed=seed,
-    )
-    fitted = search.fit(train)
-    best = min(range(len(settings)), key=lambda i: fitted.avgMetrics[i])
-    return Fit(fitted.bestModel, fitted.avgMetrics[best], settings[best])
+    errors = fold_errors(plan, settings, train, label, folds, parallelism)
+    best = min(range(len(settings)), key=errors.__getitem__)
+    chosen = {regressor.getParam(k): v for k, v in settings[best].items()}
+    return Fit(plan.fit(train, chosen), errors[best], settings[best])
 
 
 def importances(model: PipelineModel, names: Sequence[str], top: int = 15) -> DataFrame:

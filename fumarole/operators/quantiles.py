@@ -44,19 +44,19 @@ def quantile_table(
                 ]
             )
         )
-    largest = (
-        df.groupBy(*by)
-        .agg(*[F.count(c).alias(c) for c in columns])
-        .agg(F.max(F.greatest(*[F.col(c) for c in columns]) if len(columns) > 1 else F.col(columns[0])))
-        .first()[0]
-    )
-    if (largest or 0) <= direct_values:
+    if df.count() <= direct_values or _largest_group(df, columns, by) <= direct_values:
         return small_table(
             df.groupBy(*by).agg(*[F.percentile(c, F.lit(probs)).alias(c) for c in columns])
         )
     return _bracketed(df, list(columns), probs, list(by), accuracy)
 
 
+def _largest_group(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> int:
+    """Most values any group has in any column."""
+    counts = df.groupBy(*by).agg(*[F.count(c).alias(c) for c in columns])
+    return max(counts.agg(*[F.max(c) for c in columns]).first(), default=0) or 0
+
+
 def _bracketed(
     df: DataFrame, columns: list[str], probs: list[float], by: list[str], accuracy: int
 ) -> DataFrame:

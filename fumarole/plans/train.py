@@ -5,6 +5,7 @@ from __future__ import annotations
 import posixpath
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from fumarole import vocab
 from fumarole.operators import attribution, metrics
 from fumarole.operators.learners import encoders, feature_names, fit_learner, learners, prepare
 from fumarole.operators.metrics import best_model, both_scales, ranked_models
+from fumarole.operators.profiling import histogram
 from fumarole.operators.scoring import default_macro, score, score_features
 from fumarole.operators.split import add_folds, stratified_split, train_and_test
 from fumarole.plans.features import Encoders
@@ -131,27 +133,27 @@ def train(
 
 
 def save_best(results: DataFrame, folder: str, target: str, inputs: Sequence[str]) -> None:
-    """Copy the best model to its canonical place, with a one-row description."""
+    """Record the best model: its name, score, place and feature order, in one row."""
     best = best_model(results).collect()
     if not best:
         return
-    path = posixpath.join(folder, f"best_{target}")
-    PipelineModel.load(best[0]["model_path"]).write().overwrite().save(path)
-    meta = [(best[0]["model"], target, best[0]["r2"], path, list(inputs))]
-    write_table(results.sparkSession.createDataFrame(meta, META), f"{path}_meta")
+    meta = [(best[0]["model"], target, best[0]["r2"], best[0]["model_path"], list(inputs))]
+    write_table(
+        results.sparkSession.createDataFrame(meta, META), posixpath.join(folder, f"best_{target}")
+    )
 
 
 def best_models(spark: SparkSession, folder: str, targets: Sequence[str] = vocab.TARGETS) -> dict:
     """Per target the best model and its description row; targets without one are left out."""
     found = {}
     for target in targets:
-        path = posixpath.join(folder, f"best_{target}")
         try:
-            meta = read_table(spark, f"{path}_meta", META).first()
-            found[target] = (PipelineModel.load(path), meta)
-        except Exception as err:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(err) and "does not exist" not in str(err):
+            meta = read_table(spark, posixpath.join(folder, f"best_{target}"), META).first()
+        except AnalysisException as err:
+            if err.getCondition() != "PATH_NOT_FOUND":
                 raise
+            continue
+        found[target] = (PipelineModel.load(meta["model_path"]), meta)
     return found
 
 
@@ -168,8 +170,6 @@ def evaluate(
     spark: SparkSession, folder: str, targets: Sequence[str] = vocab.TARGETS
 ) -> dict[str, dict[str, DataFrame]]:
     """Metrics, residuals, ideal-line ends and per-sector metrics of each best model."""
-    from fumarole.operators.profiling import histogram
-
     reports = {}
     for target, (model, _) in best_models(spark, folder, targets).items():
         points = metrics.residuals(scored_test(spark, folder, target, model))
