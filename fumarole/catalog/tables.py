@@ -353,7 +353,7 @@ def winsorise(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _LOG_SQL = ", ".join(
-    f"CASE WHEN {raw} IS NOT NULL THEN round(ln(1 + greatest({raw}, 0)), 8) END AS {log}"
+    f"CASE WHEN {raw} IS NOT NULL THEN round(ln(1 + greatest({raw}, 0)), 6) END AS {log}"
     for raw, log in [*vocab.LOG_OF.items(), *[(t, f"log_{t}") for t in vocab.TARGETS]]
 )
 
@@ -362,7 +362,7 @@ _LOG_SQL = ", ".join(
 def log_features(spark: SparkSession, sf: str) -> DataFrame:
     logs = [*vocab.LOG_OF.values(), *[f"log_{t}" for t in vocab.TARGETS]]
     table = cleaning.add_logs(make_panel(spark, sf)).select("ticker", "reporting_year", *logs)
-    return rounded(table, logs, 8)
+    return rounded(table, logs)
 
 
 _RATIO_SQL = ", ".join(

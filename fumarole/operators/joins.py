@@ -19,7 +19,9 @@ def lookup(
     df: DataFrame, table: DataFrame, on: str | Sequence[str], max_rows: int = SMALL_ROWS
 ) -> DataFrame:
     """Left join with a lookup table that is broadcast only if its size proves small."""
-    return df.join(small_table(table, max_rows), on, "left")
+    keys = [on] if isinstance(on, str) else list(on)
+    added = [c for c in table.columns if c not in keys]
+    return df.join(small_table(table, max_rows), keys, "left").select(*df.columns, *added)
 
 
 def or_default(found: Column, default: Column | float | int | str) -> Column:

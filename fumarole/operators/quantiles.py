@@ -64,12 +64,13 @@ def _bracketed(
     targets = [(c, t) for c in columns for t in range(len(probs))]
 
     def edge(c: str, p: float, side: int) -> Column:
-        at = p + side * margin
-        if at <= 0.0:
-            return F.min(c)
-        if at >= 1.0:
-            return F.max(c)
-        return F.percentile_approx(c, F.lit(at), F.lit(accuracy))
+        # the sketch errs by n / accuracy ranks; from accuracy values on, the margin of four
+        # times that leaves room for the two ranks an interpolated quantile lies between
+        at, extreme = p + side * margin, F.min(c) if side < 0 else F.max(c)
+        if not 0.0 < at < 1.0:
+            return extreme
+        sketched = F.percentile_approx(c, F.lit(at), F.lit(accuracy))
+        return F.when(F.count(c) <= accuracy, extreme).otherwise(sketched)
 
     brackets = small_table(
         df.groupBy(*by).agg(

@@ -41,14 +41,14 @@ def shared_dir(spark: SparkSession) -> str:
 
     A machine-local folder is only used when Spark itself runs on one machine.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    named = tempfile.mkdtemp(prefix="fumarole-")
-    spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="fumarole-"))
+    return context.getCheckpointDir()
 
 
 def stage_path(spark: SparkSession, name: str) -> str:
