@@ -414,12 +414,17 @@ def _metric_sql(y: str = "actual", p: str = "predicted", prefix: str = "") -> st
         "mae": f"avg(abs({y} - {p}))",
         "mape": f"avg(CASE WHEN {y} <> 0 THEN abs(({y} - {p}) / {y}) END) * 100",
     }
-    return ", ".join(f"round({cell}, 6) AS {prefix}{name}" for name, cell in cells.items())
+    return ", ".join(f"round({cell} + 1e-9, 6) AS {prefix}{name}" for name, cell in cells.items())
+
+
+def _shown(df: DataFrame, names: list[str] = _METRIC_NAMES) -> DataFrame:
+    """Metrics to six digits; means of few rows lie halfway, so both sides add a little first."""
+    return df.withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in names})
 
 
 @query(S.on_panel(f"SELECT {_metric_sql()} FROM {_points_sql()}"))
 def regression_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(metrics.metrics(_points(make_panel(spark, sf))), _METRIC_NAMES)
+    return _shown(metrics.metrics(_points(make_panel(spark, sf))))
 
 
 @query(
@@ -434,7 +439,7 @@ def metrics_both_scales(spark: SparkSession, sf: str) -> DataFrame:
         F.col("log_scope1_emissions").alias("y"), (0.9 * F.col("log_market_cap") - 2.0).alias("p")
     )
     names = [f"{prefix}{m}" for prefix in ("", "log_") for m in _METRIC_NAMES]
-    return rounded(metrics.both_scales(rows, "y", "p"), names)
+    return _shown(metrics.both_scales(rows, "y", "p"), names)
 
 
 @query(
@@ -444,7 +449,7 @@ def metrics_both_scales(spark: SparkSession, sf: str) -> DataFrame:
     )
 )
 def metrics_by_industry(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(metrics.metrics_by(_points(make_panel(spark, sf)), "industry"), _METRIC_NAMES)
+    return _shown(metrics.metrics_by(_points(make_panel(spark, sf)), "industry"))
 
 
 @query(
@@ -458,7 +463,7 @@ def metrics_by_sector_year(spark: SparkSession, sf: str) -> DataFrame:
     points = _points(make_panel(spark, sf))
     cells = metrics.metric_columns(F.col("actual"), F.col("predicted"))
     table = points.groupBy("sector", "reporting_year").agg(F.count(F.lit(1)).alias("n_rows"), *cells)
-    return rounded(table, _METRIC_NAMES)
+    return _shown(table)
 
 
 @query(
@@ -523,13 +528,13 @@ _COMPARED = " UNION ALL ".join(
 
 @query(S.on_panel(_COMPARED))
 def model_comparison(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(metrics.ranked_models(_results(spark, sf)), _METRIC_NAMES).drop("error")
+    return _shown(metrics.ranked_models(_results(spark, sf))).drop("error")
 
 
 @query(S.on_panel(f"SELECT model, r2, rmse FROM ({_COMPARED}) ORDER BY r2 DESC, rmse, model LIMIT 1"))
 def best_model(spark: SparkSession, sf: str) -> DataFrame:
     best = metrics.best_model(_results(spark, sf)).select("model", "r2", "rmse")
-    return rounded(best, ["r2", "rmse"])
+    return _shown(best, ["r2", "rmse"])
 
 
 @query(
@@ -547,7 +552,7 @@ def models_per_metric(spark: SparkSession, sf: str) -> DataFrame:
         ordered = metrics.sorted_by_metric(results, metric).withColumnRenamed(metric, "value")
         rows = [(metric, r["model"], r["value"], i + 1) for i, r in enumerate(ordered.collect())]
         parts.append(spark.createDataFrame(rows, "metric string, model string, value double, place bigint"))
-    return rounded(reduce(DataFrame.unionByName, parts), ["value"])
+    return _shown(reduce(DataFrame.unionByName, parts), ["value"])
 
 
 # --- scoring by formula ------------------------------------------------------------------
