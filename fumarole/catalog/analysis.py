@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -709,9 +708,8 @@ _SWITCHED = ["log_revenue", "log_assets", "log_market_cap"]
 
 
 def _interaction(df: DataFrame) -> DataFrame:
-    """0.5 a + 0.2 b + 0.1 a b - 0.3 c on the feature vector."""
-    v = vector_to_array("features")
-    a, b, c = v[0], v[1], v[2]
+    """0.5 a + 0.2 b + 0.1 a b - 0.3 c on the inputs."""
+    a, b, c = (F.get("inputs", F.lit(i)) for i in range(3))
     return df.withColumn("prediction", 0.5 * a + 0.2 * b + 0.1 * a * b - 0.3 * c)
 
 

@@ -205,9 +205,9 @@ def sampled_attributions(
 
     For each row, background row and feature order, the features are switched one by one;
     the change of the prediction goes to the switched feature. ``predict`` adds
-    ``prediction`` to a table with a ``features`` vector. Each row expands in place to
-    permutations x background x (features + 1) predictions and needs a unique ``row_id``.
-    Orders come in pairs with their reverse.
+    ``prediction`` to a table with the ``inputs`` array and the same as a ``features`` vector.
+    Each row expands in place to permutations x background x (features + 1) predictions and
+    needs a unique ``row_id``. Orders come in pairs with their reverse.
     """
     names, n = list(names), len(names)
     draw = random.Random(seed)
@@ -219,8 +219,8 @@ def sampled_attributions(
     places = [[order.index(i) for i in range(n)] for order in orders]
     plans = F.array(
         *[
-            F.struct(F.lit(order).alias("at"), F.lit(place).alias("place"))
-            for order, place in zip(orders, places)
+            F.struct(F.lit(number).alias("number"), F.lit(place).alias("place"))
+            for number, place in enumerate(places)
         ]
     )
     reference = F.array(*[F.lit([float(v) for v in row]) for row in background])
@@ -234,35 +234,43 @@ def sampled_attributions(
         .select(ROW, "x", "plan", F.explode(reference).alias("b"))
         .select(ROW, "x", "plan", "b", F.explode(F.sequence(F.lit(0), F.lit(n))).alias("step"))
     )
-    mixed = F.transform(
-        "x",
-        lambda value, i: F.when(F.get("plan.place", i) < F.col("step"), value).otherwise(F.get("b", i)),
+    mixed = F.array(
+        *[
+            F.when(F.get("plan.place", F.lit(i)) < F.col("step"), F.get("x", F.lit(i)))
+            .otherwise(F.get("b", F.lit(i)))
+            for i in range(n)
+        ]
     )
     scored = predict(
         switched.select(
-            ROW, "x", "step", F.col("plan.at").alias("at"), array_to_vector(mixed).alias("features")
-        )
+            ROW, "x", "step", F.col("plan.number").alias("plan"), mixed.alias("inputs")
+        ).withColumn("features", array_to_vector("inputs"))
     )
+    totals = scored.groupBy(ROW, "plan", "step").agg(
+        F.sum("prediction").alias("total"), F.first("x").alias("x")
+    )
+
+    # step k switches the k-th feature of the order: it gains the step's total and pays the last
+    at = F.get(F.array(*[F.lit(order) for order in orders]), F.col("plan"))
 
-    def gain(at: Column, change: Column) -> Column:
-        return F.struct(at.alias("i"), change.alias("change"), F.get("x", at).alias("value"))
+    def gain(i: Column, change: Column) -> Column:
+        return F.struct(i.alias("i"), change.alias("change"), F.get("x", i).alias("value"))
 
     gains = F.array(
-        gain(F.get("at", F.col("step") - 1), F.col("prediction")),
-        gain(F.get("at", F.col("step")), -F.col("prediction")),
+        gain(F.get(at, F.col("step") - 1), F.col("total")),
+        gain(F.get(at, F.col("step")), -F.col("total")),
     )
     runs = float(len(orders) * len(background))
     sums = (
-        scored.select(ROW, F.explode(gains).alias("g"))
+        totals.select(ROW, F.explode(gains).alias("g"))
         .where("g.i is not null")
         .groupBy(ROW, "g.i")
         .agg((F.sum("g.change") / runs).alias("phi"), F.first("g.value").alias("value"))
     )
     spark = df.sparkSession
     at_background = predict(
-        spark.createDataFrame([(list(row),) for row in background], "b array<double>").select(
-            array_to_vector("b").alias("features")
-        )
+        spark.createDataFrame([(list(row),) for row in background], "inputs array<double>")
+        .withColumn("features", array_to_vector("inputs"))
     )
     base = at_background.agg(F.avg("prediction")).first()[0]
     label = F.get(F.array(*[F.lit(c) for c in names]), F.col("i"))

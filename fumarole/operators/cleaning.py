@@ -47,10 +47,24 @@ def canonical_sectors(df: DataFrame) -> DataFrame:
     )
 
 
+def category_modes(
+    df: DataFrame, columns: Sequence[str] = vocab.CATEGORICAL
+) -> dict[str, str | None]:
+    """Mode per text column in one pass; of the sectors only the recognised ones count.
+
+    Filling unrecognised and missing sectors with their mode leaves the mode as it is, so the
+    same value serves both.
+    """
+    names = present(df, columns)
+    if "sector" in names:
+        known = F.when(F.col("_known"), F.col("sector")).alias("sector")
+        df = canonical_sectors(df).select(known, *[c for c in names if c != "sector"])
+    return modes(df, names) if names else {}
+
+
 def sector_mode(df: DataFrame) -> str | None:
     """Most frequent recognised sector."""
-    known = canonical_sectors(df).select(F.when(F.col("_known"), F.col("sector")).alias("sector"))
-    return modes(known, ["sector"])["sector"]
+    return category_modes(df, ["sector"])["sector"]
 
 
 def validate_sectors(df: DataFrame, mode: str | None = None) -> DataFrame:

@@ -1,8 +1,8 @@
 """Exact quantiles with bounded state, modes, and quantile binning.
 
-The built-in ``percentile`` keeps every distinct value of a group in one aggregation buffer.
-That is fine for a group of a checked size. Beyond it, two narrow passes replace it: a sketch
-brackets each wanted rank, then only the values inside the brackets are counted and sorted.
+A group of a checked, moderate size is sorted in one buffer. Beyond that size, narrow passes
+take over: a sketch brackets each wanted rank, then only the values inside the brackets are
+counted and sorted.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from fumarole.session import small_table
 
-#: Values a group may have and still be held in one aggregation buffer.
-DIRECT_VALUES = 2_000_000
+#: Values a group may have and still be sorted in one aggregation buffer.
+DIRECT_VALUES = 500_000
 #: Relative rank error of the bracketing sketch is one over this.
 SKETCH_ACCURACY = 100_000
 
@@ -45,12 +45,33 @@ def quantile_table(
             )
         )
     if df.count() <= direct_values or _largest_group(df, columns, by) <= direct_values:
+        ordered = df.groupBy(*by).agg(
+            *[F.sort_array(F.collect_list(F.col(c).cast("double"))).alias(c) for c in columns]
+        )
         return small_table(
-            df.groupBy(*by).agg(*[F.percentile(c, F.lit(probs)).alias(c) for c in columns])
+            ordered.select(*by, *[_within(c, probs).alias(c) for c in columns])
         )
     return _bracketed(df, list(columns), probs, list(by), accuracy)
 
 
+def _between(low: Column, high: Column, position: Column) -> Column:
+    """Linear interpolation between the values at the ranks around a position."""
+    return F.when(low == high, low).otherwise(
+        low * (F.ceil(position) - position) + high * (position - F.floor(position))
+    )
+
+
+def _within(values: str, probs: Sequence[float]) -> Column:
+    """Quantiles of a sorted array column, null if it is empty."""
+
+    def one(p: Column) -> Column:
+        position = (F.size(values) - 1) * p
+        low, high = (F.get(values, rank(position).cast("int")) for rank in (F.floor, F.ceil))
+        return _between(low, high, position)
+
+    return F.when(F.size(values) > 0, F.transform(F.array(*[F.lit(p) for p in probs]), one))
+
+
 def _largest_group(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> int:
     """Most values any group has in any column."""
     counts = df.groupBy(*by).agg(*[F.count(c).alias(c) for c in columns])
@@ -129,16 +150,10 @@ def _bracketed(
     def at_rank(rank: Column) -> Column:
         return F.min(F.when(F.col("upto") > rank, F.col("value")))
 
-    low, high = F.floor("position"), F.ceil("position")
     picked = (
         ranked.groupBy(*by, "column", "target", "position")
-        .agg(at_rank(low).alias("a"), at_rank(high).alias("b"))
-        .withColumn(
-            "quantile",
-            F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(
-                F.col("a") * (high - F.col("position")) + F.col("b") * (F.col("position") - low)
-            ),
-        )
+        .agg(at_rank(F.floor("position")).alias("a"), at_rank(F.ceil("position")).alias("b"))
+        .withColumn("quantile", _between(F.col("a"), F.col("b"), F.col("position")))
     )
     wide = picked.groupBy(*by).agg(
         *[

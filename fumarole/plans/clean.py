@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from fumarole import vocab
 from fumarole.operators.cleaning import (
     add_flags,
     add_logs,
     apply_bounds,
     apply_fill,
+    category_modes,
     fit_bounds,
     fit_fill,
     normalise_countries,
@@ -38,10 +40,12 @@ def clean(
     if second_dedup:
         rows = most_complete(rows)
     rows = materialise(rows, "deduplicated") if stage else rows
-    flagged = add_flags(validate_sectors(rows))
-    fill = fit_fill(flagged, approx=approx)
+    top = category_modes(rows)
+    flagged = add_flags(validate_sectors(rows, top.get("sector")))
+    fill = fit_fill(flagged, categorical=[], approx=approx)
     if not impute_targets:
-        fill = {c: v for c, v in fill.items() if not c.endswith("_emissions")}
+        fill = {c: v for c, v in fill.items() if c not in vocab.TARGETS}
+    fill.update({c: "Unknown" if v is None else v for c, v in top.items()})
     filled = apply_fill(flagged, fill)
     clipped = apply_bounds(filled, fit_bounds(filled, approx=approx))
     return add_logs(clipped)
