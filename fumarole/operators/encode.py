@@ -12,7 +12,7 @@ from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fumarole import vocab
@@ -212,18 +212,44 @@ def ranked_values(df: DataFrame, column: str, max_rows: int = SMALL_ROWS) -> Dat
     Up to ``max_rows`` values are numbered on the driver. Beyond that the values are range
     sorted and numbered per partition, and each partition adds the sizes of those before it.
     """
-    value = F.coalesce(F.col(column).cast("string"), F.lit("Unknown")).alias("value")
-    values = df.select(value).distinct()
+    values = df.select(_text(column).alias("value")).distinct()
     first = values.limit(max_rows + 1).toArrow()
     if first.num_rows > max_rows:
         return positions(materialise(values, "values"), "value")
-    ordered = sorted(first["value"].to_pylist())  # codepoint order, as Spark orders text
-    if not ordered:
-        return df.sparkSession.createDataFrame([], "value string, code int")
-    table = local_table(df.sparkSession, enumerate(ordered), ["code", "value"])
+    return _numbered(df.sparkSession, first["value"].to_pylist())
+
+
+def _text(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit("Unknown"))
+
+
+def _numbered(spark: SparkSession, values: Sequence[str]) -> DataFrame:
+    if not values:
+        return spark.createDataFrame([], "value string, code int")
+    # Python sorts text by codepoint, as Spark does
+    table = local_table(spark, enumerate(sorted(values)), ["code", "value"])
     return table.select("value", F.col("code").cast("int").alias("code"))
 
 
+def fit_codes(
+    df: DataFrame, columns: Sequence[str], max_rows: int = SMALL_ROWS
+) -> list[OrdinalCodeModel]:
+    """Ordinal codes of several columns, their values found in one pass.
+
+    With more than ``max_rows`` values in all, each column is fitted on its own.
+    """
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), _text(c).alias("value")) for c in columns])
+    found = df.select(F.inline(cells)).distinct().limit(max_rows + 1).toArrow()
+    if found.num_rows > max_rows:
+        return [OrdinalCode(inputCol=c).fit(df) for c in columns]
+    rows = found.to_pylist()
+    models = [OrdinalCodeModel(inputCol=c) for c in columns]
+    for model, column in zip(models, columns):
+        values = [r["value"] for r in rows if r["column"] == column]
+        model.table = _numbered(df.sparkSession, values)
+    return models
+
+
 def positions(values: DataFrame, column: str) -> DataFrame:
     placed = F.monotonically_increasing_id()  # partition number, then row number in 33 bits
     chunk = materialise(
@@ -275,7 +301,6 @@ class OrdinalCodeModel(_TableModel, _OrdinalParams):
 
 
 def encode_all(df: DataFrame, columns: Sequence[str] = vocab.CATEGORICAL) -> DataFrame:
-    for c in columns:
-        if c in df.columns:
-            df = OrdinalCode(inputCol=c).fit(df).transform(df)
+    for model in fit_codes(df, [c for c in columns if c in df.columns]):
+        df = model.transform(df)
     return df

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from fumarole import vocab
 from fumarole.functions.maths import safe_divide
 from fumarole.operators.cleaning import add_logs
-from fumarole.operators.encode import GroupMean, GroupMeanModel, OrdinalCode, OrdinalCodeModel
+from fumarole.operators.encode import GroupMean, GroupMeanModel, OrdinalCodeModel, fit_codes
 
 
 class Encoders(NamedTuple):
@@ -31,7 +31,7 @@ def fit_encoders(
     groups: Sequence[str] = ("sector", "country"),
 ) -> Encoders:
     return Encoders(
-        [OrdinalCode(inputCol=c).fit(df) for c in categories if c in df.columns],
+        fit_codes(df, [c for c in categories if c in df.columns]),
         [GroupMean(groupCol=g).fit(df) for g in groups if g in df.columns],
     )
 

@@ -75,6 +75,14 @@ def test_many_values_are_numbered_per_partition(spark):
     assert few == many and sorted(many.values()) == list(range(5000))
 
 
+def test_codes_of_several_columns_in_one_pass(spark):
+    df = spark.createDataFrame([("b", None), ("a", "x"), ("a", "y")], "p string, q string")
+    for bound in (100, 2):
+        one, two = encode.fit_codes(df, ["p", "q"], max_rows=bound)
+        rows = two.transform(one.transform(df)).collect()
+        assert [(r["p_encoded"], r["q_encoded"]) for r in sorted(rows, key=str)] == [(0, 1), (0, 2), (1, 0)]
+
+
 def test_encoders_survive_saving(spark):
     df, _ = rows(spark)
     fitted = Pipeline(stages=[encode.GroupMean(groupCol="sector"), encode.OrdinalCode(inputCol="sector")]).fit(df)
