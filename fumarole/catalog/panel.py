@@ -30,6 +30,9 @@ COUNTRY_OF_NATION = [
 #: Legal form per remainder of the nation key.
 FORM_OF_NATION = ["Corp", "Inc.", "Group", "Ltd", "Holdings plc"]
 
+#: Order priorities by their leading digit; the smallest number is aggregated, not the text.
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(posixpath.join(sf_dir, f"{name}.parquet"))
@@ -67,7 +70,7 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         orders.join(lines, orders["o_orderkey"] == lines["l_orderkey"], "left")
         .groupBy("o_custkey", "reporting_year")
         .agg(
-            F.min(F.when(booked, F.col("o_orderpriority"))).alias("industry"),
+            F.min(F.when(booked, F.substring("o_orderpriority", 1, 1).cast("int"))).alias("priority"),
             F.round(F.sum(F.when(booked, F.col("o_totalprice"))), 2).alias("revenue"),
             F.round(F.sum("market_cap"), 2).alias("market_cap"),
             F.sum("employee_count").alias("employee_count"),
@@ -82,7 +85,7 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_custkey").cast("string").alias("ticker"),
         "reporting_year",
         F.try_element_at(segments, F.col("c_mktsegment")).alias("sector"),
-        "industry",
+        _pick(PRIORITIES, F.col("priority") - 1).alias("industry"),
         _pick(COUNTRY_OF_NATION, F.col("c_nationkey")).alias("country"),
         "revenue",
         F.col("c_acctbal").alias("total_assets"),

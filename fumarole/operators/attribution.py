@@ -243,18 +243,16 @@ def sampled_attributions(
     )
     scored = predict(
         switched.select(
-            ROW, "x", "step", F.col("plan.number").alias("plan"), mixed.alias("inputs")
+            ROW, "step", F.col("plan.number").alias("plan"), mixed.alias("inputs")
         ).withColumn("features", array_to_vector("inputs"))
     )
-    totals = scored.groupBy(ROW, "plan", "step").agg(
-        F.sum("prediction").alias("total"), F.first("x").alias("x")
-    )
+    totals = scored.groupBy(ROW, "plan", "step").agg(F.sum("prediction").alias("total"))
 
     # step k switches the k-th feature of the order: it gains the step's total and pays the last
     at = F.get(F.array(*[F.lit(order) for order in orders]), F.col("plan"))
 
     def gain(i: Column, change: Column) -> Column:
-        return F.struct(i.alias("i"), change.alias("change"), F.get("x", i).alias("value"))
+        return F.struct(i.alias("i"), change.alias("change"))
 
     gains = F.array(
         gain(F.get(at, F.col("step") - 1), F.col("total")),
@@ -265,7 +263,7 @@ def sampled_attributions(
         totals.select(ROW, F.explode(gains).alias("g"))
         .where("g.i is not null")
         .groupBy(ROW, "g.i")
-        .agg((F.sum("g.change") / runs).alias("phi"), F.first("g.value").alias("value"))
+        .agg((F.sum("g.change") / runs).alias("phi"))
     )
     spark = df.sparkSession
     at_background = predict(
@@ -274,8 +272,8 @@ def sampled_attributions(
     )
     base = at_background.agg(F.avg("prediction")).first()[0]
     label = F.get(F.array(*[F.lit(c) for c in names]), F.col("i"))
-    return sums.select(
-        ROW, label.alias("feature"), "value", "phi", F.lit(base).alias("base")
+    return sums.join(df.select(ROW, x.alias("x")), ROW).select(
+        ROW, label.alias("feature"), F.get("x", F.col("i")).alias("value"), "phi", F.lit(base).alias("base")
     )
 
 
