@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from fumarole.llm.quality_rules import op2_quality_rules
+from fumarole.llm.simhash import op4_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     run.__name__: run
     for run in [
         op2_quality_rules,
+        op4_simhash,
     ]
 }
 
