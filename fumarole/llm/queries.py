@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fumarole.llm.quality_rules import op2_quality_rules
 from fumarole.llm.simhash import op4_simhash
+from fumarole.llm.substrings import op5_substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     run.__name__: run
     for run in [
         op2_quality_rules,
         op4_simhash,
+        op5_substrings,
     ]
 }
 

@@ -49,14 +49,7 @@ def fingerprints(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     data, bounds = ta.flat(texts)
     data = LOWER[data]
     words = ta.words_of(data, bounds)
-    # the words again with exactly one space after each
-    edges = np.zeros(len(words) + 1, np.int64)
-    np.cumsum(words.end - words.start + 1, out=edges[1:])
-    source = np.arange(edges[-1]) + np.repeat(words.start - edges[:-1], np.diff(edges))
-    spaced = np.append(data, np.uint8(32))[source]
-    spaced[edges[1:] - 1] = 32
-    joined = spaced.tobytes()
-
+    joined, edges = ta.spaced(data, words.start, words.end)
     counts = words.counts
     size = np.where(counts >= shingle, counts - shingle + 1, np.minimum(counts, 1))
     ends = np.zeros(len(size) + 1, np.int64)

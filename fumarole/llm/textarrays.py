@@ -162,10 +162,27 @@ def window_starts(first: np.ndarray, size: int) -> np.ndarray:
 
 def covered(n: int, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """Which of ``n`` positions lie in at least one of the spans."""
-    steps = np.zeros(n + 1, np.int64)
-    np.add.at(steps, start, 1)
-    np.add.at(steps, stop, -1)
-    return np.cumsum(steps[:-1]) > 0
+    steps = np.bincount(start, minlength=n + 1) - np.bincount(stop, minlength=n + 1)
+    return np.cumsum(steps[:n]) > 0
+
+
+def spaced(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The spans' bytes with one space after each, and where each begins in them."""
+    edges = np.zeros(len(start) + 1, np.int64)
+    np.cumsum(end - start + 1, out=edges[1:])
+    source = np.arange(edges[-1]) + np.repeat(start - edges[:-1], np.diff(edges))
+    out = np.append(data, np.uint8(32))[source]
+    out[edges[1:] - 1] = 32
+    return out.tobytes(), edges
+
+
+def select_bytes(data: np.ndarray, bounds: np.ndarray, keep: np.ndarray) -> pa.Array:
+    """Texts of the bytes that stay."""
+    sums = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(keep, out=sums[1:])
+    offsets = pa.py_buffer(sums[bounds].astype(np.int64))
+    body = pa.py_buffer(np.ascontiguousarray(data[keep]))
+    return pa.Array.from_buffers(pa.large_string(), len(bounds) - 1, [None, offsets, body]).cast(pa.string())
 
 
 def repeated(keys: np.ndarray) -> np.ndarray:
