@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fumarole.llm.byte_bpe import op7_byte_bpe
 from fumarole.llm.decontamination import op9_decontamination
 from fumarole.llm.quality_rules import op2_quality_rules
 from fumarole.llm.simhash import op4_simhash
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_quality_rules,
         op4_simhash,
         op5_substrings,
+        op7_byte_bpe,
         op9_decontamination,
     ]
 }
