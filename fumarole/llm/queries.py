@@ -11,6 +11,7 @@ from fumarole.llm.decontamination import op9_decontamination
 from fumarole.llm.quality_rules import op2_quality_rules
 from fumarole.llm.simhash import op4_simhash
 from fumarole.llm.substrings import op5_substrings
+from fumarole.llm.token_files import op6_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     run.__name__: run
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_quality_rules,
         op4_simhash,
         op5_substrings,
+        op6_token_files,
         op7_byte_bpe,
         op9_decontamination,
     ]
