@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from fumarole.llm.byte_bpe import op7_byte_bpe
+from fumarole.llm.chat import op1_chat_windows
 from fumarole.llm.decontamination import op9_decontamination
 from fumarole.llm.quality_rules import op2_quality_rules
 from fumarole.llm.simhash import op4_simhash
@@ -16,6 +17,7 @@ from fumarole.llm.token_files import op6_token_files
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     run.__name__: run
     for run in [
+        op1_chat_windows,
         op2_quality_rules,
         op4_simhash,
         op5_substrings,
