@@ -13,12 +13,14 @@ from fumarole.llm.quality_rules import op2_quality_rules
 from fumarole.llm.simhash import op4_simhash
 from fumarole.llm.substrings import op5_substrings
 from fumarole.llm.token_files import op6_token_files
+from fumarole.llm.url_lists import op3_url_lists
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     run.__name__: run
     for run in [
         op1_chat_windows,
         op2_quality_rules,
+        op3_url_lists,
         op4_simhash,
         op5_substrings,
         op6_token_files,
