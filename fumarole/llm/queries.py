@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from fumarole.llm.byte_bpe import op7_byte_bpe
 from fumarole.llm.chat import op1_chat_windows
 from fumarole.llm.decontamination import op9_decontamination
+from fumarole.llm.quality_classifier import op8_quality_classifier
 from fumarole.llm.quality_rules import op2_quality_rules
 from fumarole.llm.simhash import op4_simhash
 from fumarole.llm.substrings import op5_substrings
 from fumarole.llm.token_files import op6_token_files
+from fumarole.llm.toxicity import op10_toxicity
 from fumarole.llm.url_lists import op3_url_lists
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -25,7 +27,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_substrings,
         op6_token_files,
         op7_byte_bpe,
+        op8_quality_classifier,
         op9_decontamination,
+        op10_toxicity,
     ]
 }
 
