@@ -11,6 +11,8 @@ sys.path.insert(0, str(pathlib.Path(__file__).resolve().parents[1] / "tools"))
 import __spark_entry__ as entry  # noqa: E402
 import check_oracle  # noqa: E402
 
+from fumarole.catalog import load  # noqa: E402
+
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not pathlib.Path(SF).exists(), reason="no test tables")
 
@@ -41,12 +43,12 @@ def answers(spark):
         except Exception as err:  # noqa: BLE001 - reported by the query's own test
             return err
 
-    names = sorted(entry.oracle_sql())
+    names = sorted(load().SQL)
     with ThreadPool(6) as pool:
         return dict(zip(names, pool.map(inheritable_thread_target(spark)(run), names, chunksize=1)))
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(load().SQL))
 def test_query_equals_sql(answers, duck, name):
     if isinstance(answers[name], Exception):
         raise answers[name]
