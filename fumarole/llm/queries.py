@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fumarole.llm import oracles
 from fumarole.llm.byte_bpe import op7_byte_bpe
 from fumarole.llm.chat import op1_chat_windows
 from fumarole.llm.decontamination import op9_decontamination
@@ -33,4 +34,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     ]
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = dict(oracles.SQL)
