@@ -78,8 +78,11 @@ COUNTRY_CODE = (
 
 SECTOR_TABLE = f"sector_of(low, canonical) AS ({values([(s.lower(), s) for s in vocab.SECTORS])})"
 
-_WORDS = [w + r"\.?" for w in vocab.DOTTED_SUFFIXES] + vocab.PLAIN_SUFFIXES
-SUFFIX = r"\b(" + "|".join(_WORDS) + r")\b"
+SUFFIX = (
+    r"\b(inc\.?|ltd\.?|corp\.?|plc\.?|co\.?|llc|sa|ag|nv|se|"
+    r"group|holdings|international|global|solutions|systems|"
+    r"partners|industries)\b"
+)
 NAME_KEY = (
     f"regexp_replace(trim(regexp_replace(lower(company_name), '{SUFFIX}', '', 'g')), '\\s+', ' ', 'g')"
 )

@@ -1,4 +1,4 @@
-"""Queries: scans, sinks, generated rows, cleaning, joins and encoders."""
+"""Queries: scans, sinks, cleaning, joins and encoders."""
 
 from __future__ import annotations
 
@@ -27,7 +27,7 @@ from fumarole.plans.clean import clean
 from fumarole.plans.features import add_ratios, features
 from fumarole.plans.ingest import merge_sources
 from fumarole.session import materialise, stage_path
-from fumarole.sources import files, generated, indicators, schemas
+from fumarole.sources import files, indicators, schemas
 from fumarole.sources.dimensions import sector_industry
 
 KEYED = ["company_name", "reporting_year"]
@@ -130,65 +130,6 @@ def narrow_types(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-# --- generated rows ----------------------------------------------------------------------
-
-
-def _u(tag: str) -> str:
-    bits = f"('0x' || substr(md5('{vocab.SEED}:{tag}|' || c_custkey), 1, 13))::BIGINT"
-    return f"(({bits} + 0.5) / 4503599627370496.0)"
-
-
-def _z(tag: str) -> str:
-    return f"(sqrt(-2.0 * ln({_u(tag + ':a')})) * cos(2.0 * pi() * {_u(tag + ':b')}))"
-
-
-def _edges() -> str:
-    total, at = 0.0, []
-    for row in vocab.COUNTRIES[:-1]:
-        total += row[3]
-        at.append(total)
-    whole = total + vocab.COUNTRIES[-1][3]
-    return "[" + ", ".join(repr(e / whole) for e in at) + "]"
-
-
-def _gap(column: str, value: str) -> str:
-    return f"CASE WHEN {_u('gap:' + column)} >= 0.05 THEN {value} END AS {column}"
-
-
-_GENERATED_SQL = f"""
-WITH profile(no, {', '.join(vocab.PROFILE_COLUMNS)}) AS (
-  {S.values([(i, *r) for i, r in enumerate(vocab.SECTOR_PROFILE)])}),
-industry_of(sector, names) AS (VALUES {', '.join(f'({S.text(s)}, {S.texts(v)})' for s, v in vocab.INDUSTRIES.items())}),
-prefix_of(sector, names) AS (VALUES {', '.join(f'({S.text(s)}, {S.texts(v)})' for s, v in vocab.NAME_PREFIXES.items())}),
-place(no, country, gdp, energy) AS ({S.values([(i, *r[:3]) for i, r in enumerate(vocab.COUNTRIES)])}),
-drawn AS (
-  SELECT c_custkey, floor({_u('sector')} * 11) AS s,
-         len(list_filter({_edges()}, lambda e: e <= {_u('country')})) AS c FROM customer),
-named AS (
-  SELECT d.*, p.*, place.country, place.energy, i.names[CAST(floor({_u('industry')} * 4) AS INT) + 1] AS ind,
-         n.names[CAST(floor({_u('prefix')} * len(n.names)) AS INT) + 1] || printf('%04d', c_custkey) AS stem,
-         exp(rev_mu + rev_sig * {_z('rev')}) AS rev
-  FROM drawn d JOIN profile p ON p.no = d.s JOIN industry_of i ON i.sector = p.sector
-  JOIN prefix_of n ON n.sector = p.sector JOIN place ON place.no = d.c)
-SELECT stem || ' ' || {S.texts(vocab.NAME_SUFFIXES)}[CAST(floor({_u('suffix')} * 10) AS INT) + 1] AS company_name,
-       upper(substr(stem, 1, 4)) || {S.texts(vocab.TICKER_LETTERS)}[CAST(floor({_u('letter')} * 5) AS INT) + 1] AS ticker,
-       CAST(2020 + floor({_u('year')} * 4) AS INTEGER) AS reporting_year, sector,
-       {_gap('industry', 'ind')}, country, {_gap('revenue', 'round(rev, 2)')},
-       {_gap('total_assets', f"round(exp(ast_mu + ast_sig * {_z('ast')}), 2)")},
-       {_gap('market_cap', f"round(exp(mcap_mu + mcap_sig * {_z('mcap')}), 2)")},
-       {_gap('employee_count', f"greatest(floor(exp(emp_mu + emp_sig * {_z('emp')})), 50.0)")},
-       round(greatest(s1_factor * rev * exp(0.4 * {_z('s1_noise')}) * (energy / 4.5), 1.0), 2) AS scope1_emissions,
-       round(greatest(s2_factor * rev * exp(0.35 * {_z('s2_noise')}) * (energy / 4.5), 1.0), 2) AS scope2_emissions
-FROM named"""
-
-
-@query(_GENERATED_SQL)
-def generated_companies(spark: SparkSession, sf: str) -> DataFrame:
-    """One generated company per customer key, with revenue taken in millions."""
-    ids = read(spark, sf, "customer").select("c_custkey")
-    return generated.generate_companies(ids, "c_custkey", revenue_unit=1.0)
-
-
 # --- cleaning ----------------------------------------------------------------------------
 
 
@@ -509,7 +450,7 @@ def merge_all(spark: SparkSession, sf: str) -> DataFrame:
                    round(ln(1 + coalesce(f2, 100.0) * 50), 8) AS sector_mean_log_scope2
             FROM (SELECT *, {S.FIXED_SECTOR} AS fixed FROM panel) LEFT JOIN factor ON factor.name = fixed""",
         S.SECTOR_TABLE, S.SECTOR_MODE,
-        f"factor(name, f1, f2) AS ({S.values([(r[0], r[9], r[10]) for r in vocab.SECTOR_PROFILE])})",
+        f"factor(name, f1, f2) AS ({S.values([(s, p['s1_factor'], p['s2_factor']) for s, p in vocab.SECTOR_PROFILE.items()])})",
     )
 )
 def sector_prior(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,4 +1,4 @@
-from fumarole.functions.hashing import key_bits, uniform
+from fumarole.functions.hashing import key_bits
 from fumarole.functions.maths import (
     back_transform,
     clip,
@@ -16,5 +16,5 @@ from fumarole.functions.text import company_key, country_code, strip
 __all__ = [
     "back_transform", "clip", "company_key", "confidence_band", "country_code", "floor_at",
     "key_bits", "null_nan", "residual", "round_even", "safe_divide", "safe_log1p",
-    "share_of", "strip", "uniform",
+    "share_of", "strip",
 ]

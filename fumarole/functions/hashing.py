@@ -1,4 +1,4 @@
-"""Key hashes for splits, samples and generated rows.
+"""Key hashes for splits, folds and samples.
 
 The hash is a function of the key and a seed only, so a row keeps its place however the
 table is partitioned and however often a task is retried. MD5 gives the same bits on every
@@ -19,8 +19,3 @@ def key_bits(keys: Sequence[Column], seed: int | str) -> Column:
     """A 52-bit integer drawn from the text form of the keys."""
     text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(k.cast("string"), F.lit("")) for k in keys])
     return F.conv(F.substring(F.md5(text), 1, BITS // 4), 16, 10).cast("bigint")
-
-
-def uniform(keys: Sequence[Column], seed: int | str) -> Column:
-    """A value in (0, 1)."""
-    return (key_bits(keys, seed) + F.lit(0.5)) / F.lit(float(1 << BITS))

@@ -10,11 +10,7 @@ from fumarole import vocab
 # (?U): white space, letters and word boundaries in the Unicode sense
 _EDGES = r"(?U)^\s+|\s+$"
 _RUNS = r"(?U)\s+"
-_SUFFIX = (
-    r"(?U)\b("
-    + "|".join([w + r"\.?" for w in vocab.DOTTED_SUFFIXES] + vocab.PLAIN_SUFFIXES)
-    + r")\b"
-)
+_SUFFIX = "(?U)" + vocab.COMPANY_SUFFIX
 
 
 def strip(c: Column) -> Column:

@@ -4,12 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fumarole import vocab
 from fumarole.operators.cleaning import normalise_countries
 from fumarole.operators.joins import merge_financials, merge_indicators
-from fumarole.sources.dimensions import country_macro
 from fumarole.sources.files import load_emissions, load_financials, nulls_only
-from fumarole.sources.generated import generate_companies
 from fumarole.sources.indicators import load_indicators
 
 
@@ -40,20 +37,17 @@ def merge_sources(
 
 def ingest(
     spark: SparkSession,
-    emissions_path: str | None = None,
+    emissions_path: str,
     financials_path: str | None = None,
     indicators_path: str | None = None,
-    generate: bool = False,
-    n: int = 500,
-    seed: int = vocab.SEED,
+    long_indicators: bool = False,
+    multi_line: bool = False,
     **options: bool,
 ) -> DataFrame:
-    """Landed files, or generated companies with the macro table, as one merged table."""
-    if generate or emissions_path is None:
-        ids = spark.range(n).withColumnRenamed("id", "company_id")
-        companies = generate_companies(ids, "company_id", seed)
-        return merge_sources(companies, None, country_macro(spark).drop("weight"), **options)
-    emissions = load_emissions(spark, emissions_path, indicators_path, n)
+    """Landed files as one merged table; only the two companions may be absent."""
     return merge_sources(
-        emissions, load_financials(spark, financials_path), load_indicators(spark, indicators_path), **options
+        load_emissions(spark, emissions_path, multi_line),
+        load_financials(spark, financials_path),
+        load_indicators(spark, indicators_path, long_indicators),
+        **options,
     )

@@ -19,8 +19,9 @@ def local_table(spark: SparkSession, rows: Iterable[tuple], columns: list[str])
 
 
 def sector_profile(spark: SparkSession) -> DataFrame:
-    rows = [(i, *row) for i, row in enumerate(vocab.SECTOR_PROFILE)]
-    return local_table(spark, rows, ["sector_no", *vocab.PROFILE_COLUMNS])
+    rows = [(sector, *fields.values()) for sector, fields in vocab.SECTOR_PROFILE.items()]
+    names = next(iter(vocab.SECTOR_PROFILE.values()))
+    return local_table(spark, rows, ["sector", *names])
 
 
 def sector_industry(spark: SparkSession) -> DataFrame:
@@ -36,7 +37,7 @@ def sector_names(spark: SparkSession) -> DataFrame:
 
 def country_macro(spark: SparkSession) -> DataFrame:
     return local_table(
-        spark, vocab.COUNTRIES, ["country", "gdp_per_capita", "energy_intensity", "weight"]
+        spark, vocab.COUNTRIES, ["country", "gdp_per_capita", "energy_intensity"]
     )
 
 

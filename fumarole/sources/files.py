@@ -12,8 +12,6 @@ from pyspark.sql import types as T
 from fumarole import vocab
 from fumarole.functions.maths import null_nan
 from fumarole.sources import schemas
-from fumarole.sources.dimensions import country_macro
-from fumarole.sources.generated import generate_companies
 
 # fixed values: cell texts read as missing
 MISSING_TEXTS = [
@@ -22,13 +20,17 @@ MISSING_TEXTS = [
 ]
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False
+) -> DataFrame:
     """Scan a CSV file with a header; a missing path raises ``AnalysisException``.
 
     Columns are found by header name, so their order is free and optional ones may be
     absent. Columns outside ``schema`` stay text. Nothing is inferred from the data.
+    ``multi_line`` reads cells that hold line breaks, at the price of one task for each file;
+    without it files are split, and a line break always ends a row.
     """
-    raw = spark.read.options(header=True, escape="\"").csv(path)
+    raw = spark.read.options(header=True, escape="\"", multiLine=multi_line).csv(path)
     kinds = {f.name: f.dataType for f in schema.fields}
     return raw.select([_typed(name, kinds.get(name, T.StringType())) for name in raw.columns])
 
@@ -43,7 +45,10 @@ def _typed(name: str, kind: T.DataType) -> Column:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """One CSV file per partition with a header; an earlier table at ``path`` is replaced."""
+    """One CSV file per partition with a header; an earlier table at ``path`` is replaced.
+
+    Cells with line breaks are quoted; ``read_csv`` needs ``multi_line`` for them.
+    """
     df.write.mode("overwrite").options(
         header=True, escape="\"", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
     ).csv(path)
@@ -74,24 +79,9 @@ def emissions_summary(df: DataFrame) -> DataFrame:
     )
 
 
-def load_emissions(
-    spark: SparkSession, path: str, indicators_path: str | None = None, n: int = 500
-) -> DataFrame:
-    """The landed emissions table; if none is there, generated companies take its place.
-
-    Generated companies are written to ``path`` first (and their country indicators to
-    ``indicators_path``), so the next run reads the same rows.
-    """
-    try:
-        df = read_csv(spark, path, schemas.EMISSIONS)
-    except AnalysisException as err:
-        if err.getCondition() != "PATH_NOT_FOUND":
-            raise
-        ids = spark.range(n).withColumnRenamed("id", "company_id")
-        write_csv(generate_companies(ids, "company_id"), path)
-        if indicators_path is not None:
-            write_csv(country_macro(spark).drop("weight"), indicators_path)
-        df = read_csv(spark, path, schemas.EMISSIONS)
+def load_emissions(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """The landed emissions table; a missing path or column raises."""
+    df = read_csv(spark, path, schemas.EMISSIONS, multi_line)
     require_columns(df, vocab.REQUIRED, "emissions")
     return df
 

@@ -47,36 +47,96 @@ INDICATORS = {
 
 # --- fixed values: legal-form and filler words dropped from company names ----------------
 
-DOTTED_SUFFIXES = ["inc", "ltd", "corp", "plc", "co"]
-PLAIN_SUFFIXES = [
-    "llc", "sa", "ag", "nv", "se", "group", "holdings", "international", "global",
-    "solutions", "systems", "partners", "industries",
-]
+COMPANY_SUFFIX = (
+    r"\b(inc\.?|ltd\.?|corp\.?|plc\.?|co\.?|llc|sa|ag|nv|se|group|holdings|international|global|solutions|systems|partners|industries)\b"
+)
 
 # --- fixed values: sector profile --------------------------------------------------------
-# sector, then mean and sigma of the log of revenue, assets, employees and market cap,
-# then tonnes per million of revenue for scope 1 and scope 2
+# mean and sigma of the logs of revenue, assets and employees, tonnes per million of revenue
+# for scope 1 and scope 2, mean and sigma of the log of market cap
 
-PROFILE_COLUMNS = [
-    "sector", "rev_mu", "rev_sig", "ast_mu", "ast_sig", "emp_mu", "emp_sig",
-    "mcap_mu", "mcap_sig", "s1_factor", "s2_factor",
-]
-SECTOR_PROFILE = [
-    ("Energy", 9.5, 1.2, 10.0, 1.1, 9.0, 0.9, 10.0, 1.3, 850.0, 120.0),
-    ("Materials", 8.8, 1.1, 9.3, 1.0, 8.5, 0.8, 9.2, 1.2, 600.0, 180.0),
-    ("Industrials", 8.5, 1.0, 9.0, 1.0, 9.2, 0.9, 9.0, 1.1, 200.0, 100.0),
-    ("Consumer Discretionary", 8.3, 1.1, 8.8, 1.0, 9.5, 1.0, 9.0, 1.2, 50.0, 80.0),
-    ("Consumer Staples", 8.8, 1.0, 9.0, 0.9, 9.6, 0.8, 9.3, 1.0, 80.0, 60.0),
-    ("Health Care", 8.5, 1.2, 9.0, 1.1, 9.3, 1.0, 9.5, 1.3, 30.0, 50.0),
-    ("Financials", 8.8, 1.3, 11.0, 1.5, 9.5, 1.0, 10.0, 1.4, 5.0, 30.0),
-    ("Information Technology", 8.5, 1.3, 9.0, 1.2, 9.0, 1.1, 9.8, 1.5, 10.0, 60.0),
-    ("Communication Services", 8.5, 1.2, 9.2, 1.1, 9.0, 0.9, 9.5, 1.3, 15.0, 55.0),
-    ("Utilities", 8.5, 0.9, 9.8, 0.8, 8.5, 0.7, 9.3, 0.9, 1200.0, 50.0),
-    ("Real Estate", 7.8, 1.0, 9.5, 1.0, 7.5, 0.8, 9.0, 1.1, 20.0, 70.0),
-]
-SECTORS = [row[0] for row in SECTOR_PROFILE]
+SECTOR_PROFILE = {
+    "Energy": {
+        "rev_mu": 9.5, "rev_sig": 1.2,
+        "ast_mu": 10.0, "ast_sig": 1.1,
+        "emp_mu": 9.0, "emp_sig": 0.9,
+        "s1_factor": 850.0, "s2_factor": 120.0,
+        "mcap_mu": 10.0, "mcap_sig": 1.3,
+    },
+    "Materials": {
+        "rev_mu": 8.8, "rev_sig": 1.1,
+        "ast_mu": 9.3, "ast_sig": 1.0,
+        "emp_mu": 8.5, "emp_sig": 0.8,
+        "s1_factor": 600.0, "s2_factor": 180.0,
+        "mcap_mu": 9.2, "mcap_sig": 1.2,
+    },
+    "Industrials": {
+        "rev_mu": 8.5, "rev_sig": 1.0,
+        "ast_mu": 9.0, "ast_sig": 1.0,
+        "emp_mu": 9.2, "emp_sig": 0.9,
+        "s1_factor": 200.0, "s2_factor": 100.0,
+        "mcap_mu": 9.0, "mcap_sig": 1.1,
+    },
+    "Consumer Discretionary": {
+        "rev_mu": 8.3, "rev_sig": 1.1,
+        "ast_mu": 8.8, "ast_sig": 1.0,
+        "emp_mu": 9.5, "emp_sig": 1.0,
+        "s1_factor": 50.0, "s2_factor": 80.0,
+        "mcap_mu": 9.0, "mcap_sig": 1.2,
+    },
+    "Consumer Staples": {
+        "rev_mu": 8.8, "rev_sig": 1.0,
+        "ast_mu": 9.0, "ast_sig": 0.9,
+        "emp_mu": 9.6, "emp_sig": 0.8,
+        "s1_factor": 80.0, "s2_factor": 60.0,
+        "mcap_mu": 9.3, "mcap_sig": 1.0,
+    },
+    "Health Care": {
+        "rev_mu": 8.5, "rev_sig": 1.2,
+        "ast_mu": 9.0, "ast_sig": 1.1,
+        "emp_mu": 9.3, "emp_sig": 1.0,
+        "s1_factor": 30.0, "s2_factor": 50.0,
+        "mcap_mu": 9.5, "mcap_sig": 1.3,
+    },
+    "Financials": {
+        "rev_mu": 8.8, "rev_sig": 1.3,
+        "ast_mu": 11.0, "ast_sig": 1.5,
+        "emp_mu": 9.5, "emp_sig": 1.0,
+        "s1_factor": 5.0, "s2_factor": 30.0,
+        "mcap_mu": 10.0, "mcap_sig": 1.4,
+    },
+    "Information Technology": {
+        "rev_mu": 8.5, "rev_sig": 1.3,
+        "ast_mu": 9.0, "ast_sig": 1.2,
+        "emp_mu": 9.0, "emp_sig": 1.1,
+        "s1_factor": 10.0, "s2_factor": 60.0,
+        "mcap_mu": 9.8, "mcap_sig": 1.5,
+    },
+    "Communication Services": {
+        "rev_mu": 8.5, "rev_sig": 1.2,
+        "ast_mu": 9.2, "ast_sig": 1.1,
+        "emp_mu": 9.0, "emp_sig": 0.9,
+        "s1_factor": 15.0, "s2_factor": 55.0,
+        "mcap_mu": 9.5, "mcap_sig": 1.3,
+    },
+    "Utilities": {
+        "rev_mu": 8.5, "rev_sig": 0.9,
+        "ast_mu": 9.8, "ast_sig": 0.8,
+        "emp_mu": 8.5, "emp_sig": 0.7,
+        "s1_factor": 1200.0, "s2_factor": 50.0,
+        "mcap_mu": 9.3, "mcap_sig": 0.9,
+    },
+    "Real Estate": {
+        "rev_mu": 7.8, "rev_sig": 1.0,
+        "ast_mu": 9.5, "ast_sig": 1.0,
+        "emp_mu": 7.5, "emp_sig": 0.8,
+        "s1_factor": 20.0, "s2_factor": 70.0,
+        "mcap_mu": 9.0, "mcap_sig": 1.1,
+    },
+}
+SECTORS = list(SECTOR_PROFILE)
 
-# --- fixed values: industries and name prefixes per sector -------------------------------
+# --- fixed values: industries per sector -------------------------------------------------
 
 INDUSTRIES = {
     "Energy": ["Oil & Gas Exploration", "Oil & Gas Refining", "Renewable Energy", "Coal Mining"],
@@ -95,43 +155,25 @@ INDUSTRIES = {
         "REITs", "Real Estate Development", "Property Management", "Real Estate Services",
     ],
 }
-NAME_PREFIXES = {
-    "Energy": ["Petro", "Ener", "Fuel", "Solar", "Geo", "Hydro"],
-    "Materials": ["Chem", "Steel", "Poly", "Timber", "Mine", "Alloy"],
-    "Industrials": ["Aero", "Mech", "Trans", "Build", "Dynamo", "Forge"],
-    "Consumer Discretionary": ["Auto", "Retail", "Luxe", "Travel", "Style"],
-    "Consumer Staples": ["Nutri", "Fresh", "Harvest", "Pure", "Globe"],
-    "Health Care": ["Pharma", "Bio", "Medi", "Vita", "Gene", "Cure"],
-    "Financials": ["Capital", "Trust", "Apex", "Vanguard", "Pinnacle"],
-    "Information Technology": ["Tech", "Cyber", "Quantum", "Nexus", "Digi"],
-    "Communication Services": ["Tele", "Media", "Signal", "Stream", "Link"],
-    "Utilities": ["Power", "Grid", "Volt", "Aqua", "Flux"],
-    "Real Estate": ["Realty", "Metro", "Urban", "Haven", "Horizon"],
-}
-NAME_SUFFIXES = [
-    "Corp", "Inc", "Group", "Holdings", "Global", "International", "Solutions", "Systems",
-    "Partners", "Industries",
-]
-TICKER_LETTERS = ["X", "Y", "Z", "Q", "W"]
 
-# --- fixed values: country code, GDP per head, energy use, share of companies ------------
+# --- fixed values: country code, GDP per head, energy use --------------------------------
 
 COUNTRIES = [
-    ("USA", 76330.0, 4.58, 0.25),
-    ("GBR", 46510.0, 2.88, 0.08),
-    ("DEU", 51380.0, 3.31, 0.07),
-    ("FRA", 43520.0, 3.58, 0.06),
-    ("JPN", 39290.0, 3.41, 0.08),
-    ("CHN", 12720.0, 8.91, 0.12),
-    ("IND", 2410.0, 4.73, 0.08),
-    ("BRA", 8920.0, 3.89, 0.04),
-    ("CAN", 52960.0, 6.81, 0.04),
-    ("AUS", 64490.0, 5.32, 0.03),
-    ("KOR", 34990.0, 5.01, 0.04),
-    ("ZAF", 6010.0, 7.22, 0.02),
-    ("MEX", 10820.0, 3.41, 0.03),
-    ("NOR", 82830.0, 4.91, 0.02),
-    ("SAU", 27610.0, 6.52, 0.04),
+    ("USA", 76330.0, 4.58),
+    ("GBR", 46510.0, 2.88),
+    ("DEU", 51380.0, 3.31),
+    ("FRA", 43520.0, 3.58),
+    ("JPN", 39290.0, 3.41),
+    ("CHN", 12720.0, 8.91),
+    ("IND", 2410.0, 4.73),
+    ("BRA", 8920.0, 3.89),
+    ("CAN", 52960.0, 6.81),
+    ("AUS", 64490.0, 5.32),
+    ("KOR", 34990.0, 5.01),
+    ("ZAF", 6010.0, 7.22),
+    ("MEX", 10820.0, 3.41),
+    ("NOR", 82830.0, 4.91),
+    ("SAU", 27610.0, 6.52),
 ]
 
 # ISO 3166 numeric codes and formal names of the countries above; the two-letter codes and

@@ -3,7 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import plan_of
+from conftest import companies, plan_of
 from pyspark.sql import functions as F
 
 from fumarole import vocab
@@ -12,7 +12,6 @@ from fumarole.operators.dedup import most_complete
 from fumarole.plans.clean import clean
 from fumarole.sources import schemas
 from fumarole.sources.dimensions import country_macro
-from fumarole.sources.generated import generate_companies
 
 
 def test_most_complete_row_wins(spark):
@@ -65,9 +64,9 @@ def test_logs_only_where_absent(spark):
 
 
 def raw(spark, n=300):
-    df = generate_companies(spark.range(n).withColumnRenamed("id", "k"), "k", revenue_unit=1.0)
+    df = companies(spark, n)
     messy = df.withColumn("sector", F.when(F.length("company_name") % 7 == 0, F.lit("Crypto")).otherwise(F.upper("sector")))
-    return messy.join(country_macro(spark).drop("weight"), "country").select(*schemas.MERGED.names)
+    return messy.join(country_macro(spark), "country").select(*schemas.MERGED.names)
 
 
 def test_clean_equals_pandas(spark):

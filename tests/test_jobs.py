@@ -1,4 +1,5 @@
 import pytest
+from conftest import companies
 from pyspark.sql import functions as F
 
 from fumarole import vocab
@@ -7,12 +8,11 @@ from fumarole.operators.split import add_folds
 from fumarole.plans import train as jobs
 from fumarole.plans.clean import clean
 from fumarole.plans.features import features, fit_encoders
-from fumarole.plans.ingest import ingest, merge_sources
+from fumarole.plans.ingest import merge_sources
 from fumarole.session import materialise, stage_path
 from fumarole.sources import schemas
 from fumarole.sources.dimensions import country_macro
 from fumarole.sources.files import read_table
-from fumarole.sources.generated import generate_companies
 
 SMALL = {
     "RandomForest": {"numTrees": 3, "maxDepth": 3, "minInstancesPerNode": 1, "featureSubsetStrategy": "sqrt"},
@@ -22,8 +22,7 @@ SMALL = {
 
 @pytest.fixture(scope="module")
 def cleaned(spark):
-    companies = generate_companies(spark.range(400).withColumnRenamed("id", "k"), "k", revenue_unit=1.0)
-    return materialise(clean(merge_sources(companies, None, country_macro(spark).drop("weight"))), "clean")
+    return materialise(clean(merge_sources(companies(spark, 400), None, country_macro(spark))), "clean")
 
 
 @pytest.fixture(scope="module")
@@ -168,7 +167,3 @@ def test_confidence():
     assert scoring.confidence_of({}) == 0.5
     assert scoring.confidence_of({vocab.SCOPE1: 0.9, vocab.SCOPE2: 0.7}) == pytest.approx(0.8)
     assert scoring.confidence_of({vocab.SCOPE1: -3.0, vocab.SCOPE2: 0.7}) == 0.0
-
-
-def test_generated_pipeline_end_to_end(spark):
-    assert features(clean(ingest(spark, generate=True, n=60))).count() == 60
