@@ -1,22 +1,29 @@
-"""Exact quantiles with bounded state, modes, and quantile binning.
+"""Exact quantiles by counting buckets, modes, and quantile binning.
 
-A group of a checked, moderate size is sorted in one buffer. Beyond that size, narrow passes
-take over: a sketch brackets each wanted rank, then only the values inside the brackets are
-counted and sorted.
+Quantiles take one algorithm for all sizes. A first pass finds the range and the number of
+values of every group and column. Then rounds of equal-width bucket counts, combined in the map
+tasks, narrow the range around each wanted rank, for all columns and ranks at once, until what
+is left of each holds one distinct value or a few thousand values; those are counted value by
+value. No step holds the values of a group, and the state is a count for each bucket.
 """
 
 from __future__ import annotations
 
+import math
+import operator
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fumarole.session import small_table
+from fumarole.session import materialise, small_table
 
-#: Values a group may have and still be sorted in one aggregation buffer.
-DIRECT_VALUES = 500_000
-#: Relative rank error of the bracketing sketch is one over this.
+#: Buckets into which a range is cut in each round.
+BUCKETS = 4096
+#: Values a range may hold and be counted value by value.
+FEW_VALUES = 4096
+#: Relative rank error of the approximate variant is one over this.
 SKETCH_ACCURACY = 100_000
 
 
@@ -26,157 +33,193 @@ def quantile_table(
     probs: Sequence[float],
     by: Sequence[str] = (),
     approx: bool = False,
-    direct_values: int = DIRECT_VALUES,
-    accuracy: int = SKETCH_ACCURACY,
+    buckets: int = BUCKETS,
+    few: int = FEW_VALUES,
 ) -> DataFrame:
     """Linearly interpolated quantiles: the grouping columns, then one array per column.
 
-    Nulls are skipped; a group without values gives null. The result has one row per group
-    and is broadcast if it proves small.
+    Nulls and NaN are skipped; a group without values gives null. The result has one row per
+    group and is broadcast if it proves small. The rows are staged once and read in each pass.
     """
-    probs = [float(p) for p in probs]
+    probs, by = [float(p) for p in probs], list(by)
     if approx:
-        return small_table(
-            df.groupBy(*by).agg(
-                *[
-                    F.percentile_approx(c, probs, F.lit(accuracy)).cast("array<double>").alias(c)
-                    for c in columns
-                ]
-            )
-        )
-    if df.count() <= direct_values or _largest_group(df, columns, by) <= direct_values:
-        ordered = df.groupBy(*by).agg(
-            *[F.sort_array(F.collect_list(F.col(c).cast("double"))).alias(c) for c in columns]
-        )
-        return small_table(
-            ordered.select(*by, *[_within(c, probs).alias(c) for c in columns])
-        )
-    return _bracketed(df, list(columns), probs, list(by), accuracy)
+        sketch = [
+            F.percentile_approx(c, probs, F.lit(SKETCH_ACCURACY)).cast("array<double>").alias(c)
+            for c in columns
+        ]
+        return small_table(df.groupBy(*by).agg(*sketch))
+    groups = [f"g{i}" for i in range(len(by))]
+    named = [F.col(b).alias(g) for b, g in zip(by, groups)]
+    values = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(f"v{i}") for i, c in enumerate(columns)]
+    rows = materialise(df.select(*named, *values), "values")
+    facts = small_table(_facts(rows, len(columns), groups))
+    cells = _cells(rows, len(columns), groups)
+
+    ranges = small_table(_first_ranges(facts, len(columns), groups, probs, few))
+    while ranges.where("open").limit(1).count():
+        ranges = small_table(_narrowed(cells, ranges, groups, buckets, few))
+    found = _found(cells, ranges, groups)
+    if not by:
+        return _one_row(found, facts, list(columns), probs)
+    return small_table(_answers(found, facts, list(columns), by, probs))
 
 
-def _between(low: Column, high: Column, position: Column) -> Column:
-    """Linear interpolation between the values at the ranks around a position."""
-    return F.when(low == high, low).otherwise(
-        low * (F.ceil(position) - position) + high * (position - F.floor(position))
-    )
+def _facts(rows: DataFrame, width: int, groups: list[str]) -> DataFrame:
+    """Range and number of values of each group, column by column."""
+    spans = [
+        expr.alias(f"{name}{i}")
+        for i in range(width)
+        for name, expr in (("lo", F.min(f"v{i}")), ("hi", F.max(f"v{i}")), ("n", F.count(f"v{i}")))
+    ]
+    return rows.groupBy(*groups).agg(*spans)
 
 
-def _within(values: str, probs: Sequence[float]) -> Column:
-    """Quantiles of a sorted array column, null if it is empty."""
+def _cells(rows: DataFrame, width: int, groups: list[str]) -> DataFrame:
+    """One row for each value, with its column's number."""
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"v{i}").alias("v")) for i in range(width)])
+    return rows.select(*groups, F.explode(pairs).alias("cell")).select(*groups, "cell.*").where("v is not null")
 
-    def one(p: Column) -> Column:
-        position = (F.size(values) - 1) * p
-        low, high = (F.get(values, rank(position).cast("int")) for rank in (F.floor, F.ceil))
-        return _between(low, high, position)
 
-    return F.when(F.size(values) > 0, F.transform(F.array(*[F.lit(p) for p in probs]), one))
+def _first_ranges(
+    facts: DataFrame, width: int, groups: list[str], probs: list[float], few: int
+) -> DataFrame:
+    """(group, i, ranks, lo, hi, below, open): the whole range of every group and column."""
+    each = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("i"),
+                _ranks(F.col(f"n{i}"), probs).alias("ranks"),
+                F.col(f"lo{i}").alias("lo"),
+                F.col(f"hi{i}").alias("hi"),
+                F.lit(0).cast("long").alias("below"),
+                ((F.col(f"n{i}") > few) & (F.col(f"lo{i}") < F.col(f"hi{i}"))).alias("open"),
+            )
+            for i in range(width)
+        ]
+    )
+    return facts.select(*groups, F.explode(each).alias("r")).select(*groups, "r.*").where("lo is not null")
+
 
+def _ranks(n: Column, probs: list[float]) -> Column:
+    """The ranks, from 0, between which the wanted quantiles lie."""
+    wanted = [step((n - 1) * p).cast("long") for p in probs for step in (F.floor, F.ceil)]
+    return F.array_distinct(F.array(*wanted))
 
-def _largest_group(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> int:
-    """Most values any group has in any column."""
-    counts = df.groupBy(*by).agg(*[F.count(c).alias(c) for c in columns])
-    return max(counts.agg(*[F.max(c) for c in columns]).first(), default=0) or 0
 
+def _within(cells: DataFrame, ranges: DataFrame, groups: list[str]) -> DataFrame:
+    """Values that lie in a range, with that range; ranges of a group and column are disjoint."""
+    same = [cells[g].eqNullSafe(ranges[g]) for g in groups]
+    match = (cells["i"] == ranges["i"]) & cells["v"].between(ranges["lo"], ranges["hi"])
+    for s in same:
+        match &= s
+    kept = [ranges[c] for c in (*groups, "i", "ranks", "lo", "hi", "below", "open")]
+    return cells.join(ranges, match).select(*kept, cells["v"])
 
-def _bracketed(
-    df: DataFrame, columns: list[str], probs: list[float], by: list[str], accuracy: int
+
+def _narrowed(
+    cells: DataFrame, ranges: DataFrame, groups: list[str], buckets: int, few: int
 ) -> DataFrame:
-    margin = 4.0 / accuracy
-    targets = [(c, t) for c in columns for t in range(len(probs))]
-
-    def edge(c: str, p: float, side: int) -> Column:
-        # the sketch errs by n / accuracy ranks; from accuracy values on, the margin of four
-        # times that leaves room for the two ranks an interpolated quantile lies between
-        at, extreme = p + side * margin, F.min(c) if side < 0 else F.max(c)
-        if not 0.0 < at < 1.0:
-            return extreme
-        sketched = F.percentile_approx(c, F.lit(at), F.lit(accuracy))
-        return F.when(F.count(c) <= accuracy, extreme).otherwise(sketched)
-
-    brackets = small_table(
-        df.groupBy(*by).agg(
-            *[edge(c, probs[t], -1).cast("double").alias(f"_lo_{c}_{t}") for c, t in targets],
-            *[edge(c, probs[t], +1).cast("double").alias(f"_hi_{c}_{t}") for c, t in targets],
-            *[F.count(c).alias(f"_n_{c}") for c in columns],
+    """The ranges after one round: open ones shrink to the buckets that hold a wanted rank."""
+    closed = ranges.where("not open")
+    # halves, so that the widest range does not overflow
+    share = (F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
+    bucket = F.least(F.floor(share * buckets), F.lit(buckets - 1)).alias("bucket")
+    inside = _within(cells, ranges.where("open"), groups)
+    place = [*groups, "i", "lo", "bucket"]
+    counted = (
+        inside.select(*groups, "i", "lo", "ranks", "below", "v", bucket)
+        .groupBy(*place)
+        .agg(
+            F.first("ranks").alias("ranks"),
+            F.first("below").alias("below"),
+            F.count("*").alias("n"),
+            F.min("v").alias("low"),
+            F.max("v").alias("high"),
         )
     )
-    marked = _attach(df.select(*by, *columns), brackets, by)
-
-    below = small_table(
-        marked.groupBy(*by).agg(
-            *[F.count_if(F.col(c) < F.col(f"_lo_{c}_{t}")).alias(f"_below_{c}_{t}") for c, t in targets]
+    order = Window.partitionBy(*groups, "i", "lo").orderBy("bucket")
+    end = F.col("below") + F.sum("n").over(order)
+    ranked = counted.withColumn("end", end).withColumn("start", F.col("end") - F.col("n"))
+    held = ranked.where(F.exists("ranks", lambda r: (r >= F.col("start")) & (r < F.col("end"))))
+    still = (F.col("n") > few) & (F.col("low") < F.col("high"))
+    return closed.unionByName(
+        held.select(
+            *groups, "i", "ranks", F.col("low").alias("lo"), F.col("high").alias("hi"),
+            F.col("start").alias("below"), still.alias("open"),
         )
     )
-    inside = F.array(
-        *[
-            F.when(
-                F.col(c).between(F.col(f"_lo_{c}_{t}"), F.col(f"_hi_{c}_{t}")),
-                F.struct(
-                    F.lit(c).alias("column"), F.lit(t).alias("target"),
-                    F.col(c).cast("double").alias("value"),
-                ),
-            )
-            for c, t in targets
-        ]
-    )
-    held = (
-        marked.select(*by, F.explode(F.filter(inside, lambda s: s.isNotNull())).alias("s"))
-        .groupBy(*by, "s.column", "s.target", "s.value")
-        .agg(F.count(F.lit(1)).alias("times"))
-    )
 
-    # rank of each bracketed value: what lies below the bracket, then a running count in it
-    facts = _attach(brackets.select(*by, *[f"_n_{c}" for c in columns]), below, by).select(
-        *by,
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(c).alias("column"), F.lit(t).alias("target"),
-                        F.col(f"_below_{c}_{t}").alias("below"),
-                        ((F.col(f"_n_{c}") - 1) * F.lit(probs[t])).alias("position"),
-                    )
-                    for c, t in targets
-                ]
-            )
-        ).alias("f"),
-    ).select(*by, "f.*")
-    facts = small_table(facts)
-    running = Window.partitionBy(*by, "column", "target").orderBy("value")
-    ranked = _attach(held, facts, [*by, "column", "target"]).withColumn(
-        "upto", F.col("below") + F.sum("times").over(running)
+
+def _found(cells: DataFrame, ranges: DataFrame, groups: list[str]) -> DataFrame:
+    """(group, i, v, start, end): the values at the wanted ranks and the ranks they take."""
+    counted = (
+        _within(cells, ranges, groups)
+        .groupBy(*groups, "i", "lo", "v")
+        .agg(F.first("ranks").alias("ranks"), F.first("below").alias("below"), F.count("*").alias("n"))
     )
+    order = Window.partitionBy(*groups, "i", "lo").orderBy("v")
+    ranked = counted.withColumn("end", F.col("below") + F.sum("n").over(order))
+    ranked = ranked.withColumn("start", F.col("end") - F.col("n"))
+    held = ranked.where(F.exists("ranks", lambda r: (r >= F.col("start")) & (r < F.col("end"))))
+    return held.select(*groups, "i", "v", "start", "end")
 
-    def at_rank(rank: Column) -> Column:
-        return F.min(F.when(F.col("upto") > rank, F.col("value")))
 
-    picked = (
-        ranked.groupBy(*by, "column", "target", "position")
-        .agg(at_rank(F.floor("position")).alias("a"), at_rank(F.ceil("position")).alias("b"))
-        .withColumn("quantile", _between(F.col("a"), F.col("b"), F.col("position")))
-    )
-    wide = picked.groupBy(*by).agg(
-        *[
-            F.max(F.when((F.col("column") == c) & (F.col("target") == t), F.col("quantile")))
-            .alias(f"_q_{c}_{t}")
-            for c, t in targets
-        ]
-    )
-    return small_table(
-        wide.select(
-            *by, *[F.array(*[F.col(f"_q_{c}_{t}") for t in range(len(probs))]).alias(c) for c in columns]
-        )
+def _one_row(found: DataFrame, facts: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
+    """Global quantiles from the few values at the wanted ranks."""
+    held: dict[int, list] = {}
+    for row in found.collect():
+        held.setdefault(row["i"], []).append(row)
+    counts = facts.first()
+
+    def at(i: int, rank: int) -> float:
+        return next(r["v"] for r in held[i] if r["start"] <= rank < r["end"])
+
+    def quantile(i: int, p: float) -> float:
+        position = (counts[f"n{i}"] - 1) * p
+        low, high = math.floor(position), math.ceil(position)
+        a, b = at(i, low), at(i, high)
+        return a if a == b else a * (high - position) + b * (position - low)
+
+    row = [[quantile(i, p) for p in probs] if counts[f"n{i}"] else None for i in range(len(columns))]
+    schema = ", ".join(f"`{c}` array<double>" for c in columns)
+    return F.broadcast(found.sparkSession.createDataFrame([row], schema))
+
+
+def _answers(
+    found: DataFrame, facts: DataFrame, columns: list[str], by: list[str], probs: list[float]
+) -> DataFrame:
+    """One row a group: its quantiles from the values at the wanted ranks."""
+    groups = [f"g{i}" for i in range(len(by))]
+    lists = [
+        F.collect_list(F.when(F.col("i") == i, F.struct("start", "end", "v"))).alias(f"f{i}")
+        for i in range(len(columns))
+    ]
+    wide = found.groupBy(*[F.col(g).alias(f"f_{g}") for g in groups]).agg(*lists)
+    match = reduce(operator.and_, [facts[g].eqNullSafe(wide[f"f_{g}"]) for g in groups])
+    joined = facts.join(wide, match, "left")
+
+    def quantiles(i: int) -> Column:
+        def at(rank: Column) -> Column:
+            held = F.filter(f"f{i}", lambda x: (x["start"] <= rank) & (rank < x["end"]))
+            return F.get(held, 0)["v"]
+
+        def one(p: Column) -> Column:
+            position = (F.col(f"n{i}") - 1) * p
+            return _between(at(F.floor(position)), at(F.ceil(position)), position)
+
+        return F.when(F.col(f"n{i}") > 0, F.transform(F.array(*[F.lit(p) for p in probs]), one))
+
+    return joined.select(
+        *[F.col(g).alias(b) for g, b in zip(groups, by)],
+        *[quantiles(i).alias(c) for i, c in enumerate(columns)],
     )
 
 
-def _attach(df: DataFrame, table: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Join per-group facts to rows; null groups match. A global table is inlined as literals."""
-    if not by:
-        row = table.first().asDict()
-        return df.withColumns({name: F.lit(value) for name, value in row.items()})
-    renamed = table.withColumnsRenamed({b: f"_g_{b}" for b in by})
-    same = [df[b].eqNullSafe(renamed[f"_g_{b}"]) for b in by]
-    return df.join(renamed, same).drop(*[f"_g_{b}" for b in by])
+def _between(low: Column, high: Column, position: Column) -> Column:
+    """Linear interpolation between the values at the ranks around a position."""
+    return F.when(low == high, low).otherwise(
+        low * (F.ceil(position) - position) + high * (position - F.floor(position))
+    )
 
 
 def quantile_values(

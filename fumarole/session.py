@@ -2,57 +2,86 @@
 
 from __future__ import annotations
 
+import contextlib
 import posixpath
-import tempfile
 import uuid
+from collections.abc import Iterator
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows a table may have and still be held on the driver and broadcast.
+#: Rows and bytes a table may have and still be held on the driver and broadcast.
 SMALL_ROWS = 100_000
+SMALL_BYTES = 32 << 20
 
+#: Scopes that own the stage tables written while they are open, innermost last.
+_scopes: list[list[str]] = []
 
-def build_session(app: str = "fumarole", cpus: int | str = "*", **conf: str) -> SparkSession:
-    """A local session with the settings the jobs are written for.
 
-    On a cluster the session comes from ``spark-submit``; nothing below is required for
-    right results.
+def build_session(app: str = "fumarole", cpus: int | str | None = None, **conf: str) -> SparkSession:
+    """A session with the settings the jobs are written for.
+
+    Master, memory and partition counts stay with ``spark-submit``. Only ``cpus`` asks for a
+    local master with as many threads, for tests and benchmarks.
     """
     builder = (
-        SparkSession.builder.master(f"local[{cpus}]")
-        .appName(app)
+        SparkSession.builder.appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "8g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.sql.shuffle.partitions", "8")
     )
+    if cpus is not None:
+        builder = (
+            builder.master(f"local[{cpus}]")
+            .config("spark.driver.memory", "8g")
+            .config("spark.sql.shuffle.partitions", "8")
+        )
     for key, value in conf.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
+    """The folder of this application's stage tables, which all executors can reach.
 
-    A machine-local folder is only used when Spark itself runs on one machine.
+    It lies in ``spark.checkpoint.dir``, or in the warehouse where that is unset; both are
+    shared on a cluster. The driver removes it when its JVM ends.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if named:
-        return named
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="fumarole-"))
-    return context.getCheckpointDir()
+    base = named or spark.conf.get("spark.sql.warehouse.dir")
+    folder = posixpath.join(base, f"stages-{context.applicationId}")
+    _file_system(spark, folder, lambda fs, path: fs.deleteOnExit(path))
+    return folder
+
+
+def _file_system(spark: SparkSession, folder: str, use) -> object:
+    """Calls ``use`` with the Hadoop file system and path of a folder (classic sessions)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return use(path.getFileSystem(spark._jsc.hadoopConfiguration()), path)
 
 
 def stage_path(spark: SparkSession, name: str) -> str:
-    return posixpath.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    path = posixpath.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+@contextlib.contextmanager
+def owned_stages(spark: SparkSession) -> Iterator[None]:
+    """Stage tables written inside are removed at the end; for jobs whose results do not read
+    them any more."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            _file_system(spark, path, lambda fs, place: fs.delete(place, True))
 
 
 def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -67,13 +96,17 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_table(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
+def small_table(df: DataFrame, max_rows: int = SMALL_ROWS, max_bytes: int = SMALL_BYTES) -> DataFrame:
     """Evaluate an aggregated table once and hint a broadcast if it proves small.
 
     At most ``max_rows + 1`` rows reach the driver. A larger table is written as a stage
-    table and joined without a hint.
+    table from the shuffled rows at hand, and joined without a hint.
     """
-    rows = df.limit(max_rows + 1).toArrow()
-    if rows.num_rows > max_rows:
-        return materialise(df, "lookup")
+    held = df.persist(StorageLevel.DISK_ONLY)
+    try:
+        rows = held.limit(max_rows + 1).toArrow()
+        if rows.num_rows > max_rows or rows.nbytes > max_bytes:
+            return materialise(held, "lookup")
+    finally:
+        held.unpersist()
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))

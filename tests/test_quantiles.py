@@ -17,19 +17,31 @@ def table(spark, seed, n, ties):
 
 
 @pytest.mark.parametrize("n, ties", [(1, False), (2, True), (7, False), (500, True), (3000, False)])
-def test_bracketed_equals_built_in(spark, n, ties):
+@pytest.mark.parametrize("buckets, few", [(q.BUCKETS, q.FEW_VALUES), (4, 3), (64, 1)])
+def test_quantiles_equal_numpy(spark, n, ties, buckets, few):
     df = table(spark, n, n, ties)
     probs = [0.0, 0.01, 0.25, 0.5, 0.99, 1.0]
+    rows = df.collect()
     for by in ([], ["g"]):
-        want = q.quantile_table(df, ["x", "y"], probs, by=by)
-        got = q.quantile_table(df, ["x", "y"], probs, by=by, direct_values=0, accuracy=200)
-        pick = lambda t: {
-            tuple(r[b] for b in by): [v for c in ("x", "y") for v in (r[c] or [])] for r in t.collect()
-        }
-        a, b = pick(want), pick(got)
-        assert a.keys() == b.keys()
-        for k in a:
-            assert [v for v in b[k] if v is not None] == pytest.approx([v for v in a[k] if v is not None])
+        got = q.quantile_table(df, ["x", "y"], probs, by=by, buckets=buckets, few=few).collect()
+        groups = {tuple(r[b] for b in by) for r in rows}
+        assert {tuple(r[b] for b in by) for r in got} == groups and len(got) == len(groups)
+        for r in got:
+            for c in ("x", "y"):
+                own = [x[c] for x in rows if x[c] is not None and all(x[b] == r[b] for b in by)]
+                if own:
+                    assert r[c] == pytest.approx(list(np.quantile(own, probs)))
+                else:
+                    assert r[c] is None
+
+
+def test_widest_range_nan_and_one_hot_group(spark):
+    values = [(0, v) for v in (-1.7e308, 1.7e308, 0.0, 5e-324, 1.0, float("nan"), None)]
+    values += [(1, float(i % 7) ** 9) for i in range(5000)] + [(2, 4.0)]
+    df = spark.createDataFrame(values, "g int, x double")
+    got = {r["g"]: r["x"] for r in q.quantile_table(df, ["x"], [0.25, 0.5], by=["g"], buckets=8, few=2).collect()}
+    assert got[0] == [0.0, 5e-324] and got[2] == [4.0, 4.0]
+    assert got[1] == list(np.quantile([float(i % 7) ** 9 for i in range(5000)], [0.25, 0.5]))
 
 
 def test_quantiles_match_numpy(spark):
