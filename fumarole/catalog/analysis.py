@@ -13,7 +13,7 @@ from fumarole.catalog import sql as S
 from fumarole.catalog.panel import panel as make_panel
 from fumarole.catalog.panel import read
 from fumarole.catalog.registry import query
-from fumarole.catalog.tables import FOLD_SQL, KEYED, rounded, staged_panel
+from fumarole.catalog.tables import FOLD_SQL, KEYED, TICKER_FOLD_SQL, rounded, staged_panel
 from fumarole.functions import confidence_band
 from fumarole.operators import attribution, cleaning, metrics, profiling, scoring, split
 from fumarole.operators.learners import prepare
@@ -68,9 +68,11 @@ def sector_medians(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     S.on_panel(
-        """SELECT bin, round(lo + bin * width, 6) AS lo, round(lo + (bin + 1) * width, 6) AS hi, count(*) AS n
-           FROM (SELECT CAST(least(floor((log_scope1_emissions - lo) / width), 49) AS INTEGER) AS bin, lo, width
-                 FROM logged, span WHERE log_scope1_emissions IS NOT NULL) GROUP BY ALL""",
+        """SELECT CAST(k AS INTEGER) AS bin, round(lo + k * width, 6) AS lo,
+                  round(lo + (k + 1) * width, 6) AS hi, count(log_scope1_emissions) AS n
+           FROM span CROSS JOIN range(50) r(k)
+           LEFT JOIN logged ON least(floor((log_scope1_emissions - lo) / width), 49) = k
+           GROUP BY k, lo, width""",
         _LOGGED,
         """span AS (SELECT min(log_scope1_emissions) AS lo,
                     (max(log_scope1_emissions) - min(log_scope1_emissions)) / 50 AS width FROM logged)""",
@@ -319,6 +321,12 @@ def group_folds(spark: SparkSession, sf: str) -> DataFrame:
     return split.group_folds(make_panel(spark, sf), "country")
 
 
+@query(S.on_panel(f"SELECT ticker, count(*) AS n_rows, {TICKER_FOLD_SQL} AS fold FROM panel GROUP BY ticker"))
+def group_folds_many(spark: SparkSession, sf: str) -> DataFrame:
+    """No ticker holds a hundredth of the rows, so all take the fold of their hash."""
+    return split.group_folds(make_panel(spark, sf), "ticker")
+
+
 @query(S.on_panel(f"SELECT ticker, reporting_year, {FOLD_SQL} AS fold FROM panel"))
 def row_folds(spark: SparkSession, sf: str) -> DataFrame:
     """Without groups the folds come from the key hash."""
@@ -478,9 +486,10 @@ def residuals(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     S.on_panel(
-        """SELECT bin, round(lo + bin * width, 4) AS lo, round(lo + (bin + 1) * width, 4) AS hi, count(*) AS n
-           FROM (SELECT CAST(least(floor((r - lo) / width), 39) AS INTEGER) AS bin, lo, width
-                 FROM res, span) GROUP BY ALL""",
+        """SELECT CAST(k AS INTEGER) AS bin, round(lo + k * width, 4) AS lo,
+                  round(lo + (k + 1) * width, 4) AS hi, count(r) AS n
+           FROM span CROSS JOIN range(40) b(k) LEFT JOIN res ON least(floor((r - lo) / width), 39) = k
+           GROUP BY k, lo, width""",
         f"""res AS (SELECT actual - predicted AS r FROM {_points_sql()}
             WHERE actual IS NOT NULL AND predicted IS NOT NULL)""",
         "span AS (SELECT min(r) AS lo, (max(r) - min(r)) / 40 AS width FROM res)",

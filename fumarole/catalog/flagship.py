@@ -10,7 +10,7 @@ from fumarole.catalog.panel import panel
 from fumarole.functions import safe_divide
 from fumarole.operators.profiling import group_medians
 from fumarole.plans.clean import clean
-from fumarole.plans.features import add_ratios
+from fumarole.operators.cleaning import add_ratios
 from fumarole.session import materialise
 
 

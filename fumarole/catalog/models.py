@@ -236,4 +236,4 @@ def explain_models(spark: SparkSession, sf: str) -> DataFrame:
     jobs.train(
         _clean_features(spark, sf), folder, [vocab.SCOPE1], ["RandomForest"], smoke=True, overrides=SMALL,
     )
-    return jobs.explain(spark, folder, [vocab.SCOPE1], cap=None)[vocab.SCOPE1]
+    return jobs.explain(spark, folder, [vocab.SCOPE1])[vocab.SCOPE1]

@@ -24,8 +24,9 @@ from fumarole.operators.dedup import most_complete, non_null_count
 from fumarole.operators.scoring import default_macro, prior_means
 from fumarole.operators.split import row_fold
 from fumarole.plans.clean import clean
-from fumarole.plans.features import add_ratios, features
-from fumarole.plans.ingest import merge_sources
+from fumarole.operators.cleaning import add_ratios
+from fumarole.plans.features import features
+from fumarole.plans.ingest import ingest, merge_sources
 from fumarole.session import materialise, stage_path
 from fumarole.sources import files, indicators, schemas
 from fumarole.sources.dimensions import sector_industry
@@ -420,30 +421,55 @@ def merge_null_safe(spark: SparkSession, sf: str) -> DataFrame:
     return joins.merge_indicators(rows, figures, null_safe=True)
 
 
+# several country texts stand for one code: the code itself, then the first text, gives the row
+_BY_CODE = f"""by_code AS (
+  SELECT code, first(gdp_per_capita ORDER BY country <> code, country) AS gdp_per_capita,
+         first(energy_intensity ORDER BY country <> code, country) AS energy_intensity
+  FROM (SELECT *, {S.COUNTRY_CODE} AS code FROM nation_figures) GROUP BY code)"""
+
+
 @query(
     S.on_panel(
         f"""SELECT ticker, reporting_year, code AS country, coalesce(revenue, f_revenue) AS revenue,
                    last_order_year, gdp_per_capita, energy_intensity
             FROM (SELECT *, {S.COUNTRY_CODE} AS code FROM panel) p
             LEFT JOIN fin USING (ticker)
-            LEFT JOIN (SELECT {S.COUNTRY_CODE} AS code, gdp_per_capita, energy_intensity
-                       FROM nation_figures WHERE country NOT IN ('usa', '840', ' DE ')) USING (code)""",
-        _FIN, _NATION, S.ALIAS_TABLE,
+            LEFT JOIN by_code USING (code)""",
+        _FIN, _NATION, S.ALIAS_TABLE, _BY_CODE,
     )
 )
 def merge_all(spark: SparkSession, sf: str) -> DataFrame:
     """All three sources, countries brought to codes before the indicator join."""
-    # several country texts stand for one code; one indicator row per code is kept
-    figures = cleaning.normalise_countries(
-        nation_indicators(spark, sf).where(~F.col("country").isin("usa", "840", " DE "))
-    )
-    merged = merge_sources(make_panel(spark, sf), financials(spark, sf), figures)
+    merged = merge_sources(make_panel(spark, sf), financials(spark, sf), nation_indicators(spark, sf))
     return merged.select(
         "ticker", "reporting_year", "country", "revenue", "last_order_year", "gdp_per_capita",
         "energy_intensity",
     )
 
 
+@query(
+    S.on_panel(
+        f"""SELECT ticker, reporting_year, code AS country, coalesce(revenue, f_revenue) AS revenue,
+                   gdp_per_capita, energy_intensity
+            FROM (SELECT *, {S.COUNTRY_CODE} AS code FROM panel) p
+            LEFT JOIN fin USING (ticker) LEFT JOIN by_code USING (code)""",
+        _FIN, _NATION, S.ALIAS_TABLE, _BY_CODE,
+    )
+)
+def ingest_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The ingest job over landed CSV files, one cell with a line break included."""
+    paths = [stage_path(spark, name) for name in ("emissions", "financials", "indicators")]
+    noted = make_panel(spark, sf).withColumn("note", F.lit("two\nlines"))
+    files.write_csv(noted, paths[0])
+    files.write_csv(financials(spark, sf), paths[1])
+    files.write_csv(nation_indicators(spark, sf), paths[2])
+    merged = ingest(spark, *paths, multi_line=True)
+    return merged.select(
+        "ticker", "reporting_year", "country", "revenue", "gdp_per_capita", "energy_intensity"
+    )
+
+
+
 @query(
     S.on_panel(
         f"""SELECT ticker, reporting_year, round(ln(1 + coalesce(f1, 100.0) * 50), 8) AS sector_mean_log_scope1,
@@ -553,6 +579,7 @@ def group_mean_train(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(fitted.transform(rows).select("ticker", "reporting_year", *names), names)
 
 
+TICKER_FOLD_SQL = "CAST((('0x' || substr(md5('42|' || ticker), 1, 13))::BIGINT) % 5 AS INTEGER)"
 FOLD_SQL = (
     "CAST((('0x' || substr(md5('42|' || company_name || '|' || reporting_year), 1, 13))::BIGINT) % 5 AS INTEGER)"
 )

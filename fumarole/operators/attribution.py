@@ -28,8 +28,17 @@ MIN_TASKS = 32
 
 
 def with_row_id(df: DataFrame, keys: Sequence[str] = vocab.KEYS) -> DataFrame:
-    """A stable row id made from the keys."""
-    return df.withColumn(ROW, F.concat_ws("|", *[F.col(k).cast("string") for k in keys]))
+    """A row id that is unique by construction: the keys, and a number where rows share them.
+
+    Rows that share their keys are numbered in the order of all their columns, so the ids are
+    the same in every run.
+    """
+    plain = df.withColumn(ROW, F.concat_ws("|", *[F.col(k).cast("string") for k in keys]))
+    simple = [f.name for f in df.schema if f.dataType.typeName() not in ("map", "udt")]
+    number = F.row_number().over(Window.partitionBy(ROW).orderBy(*simple))
+    numbered = plain.withColumn("_number", number)
+    again = F.concat(F.col(ROW), F.lit("#"), F.col("_number").cast("string"))
+    return numbered.withColumn(ROW, F.when(F.col("_number") == 1, F.col(ROW)).otherwise(again)).drop("_number")
 
 
 # --- linear ------------------------------------------------------------------------------

@@ -7,13 +7,14 @@ expressions to the plan. A column that is absent is skipped.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fumarole import vocab
-from fumarole.functions.maths import clip, safe_log1p
-from fumarole.functions.text import company_key, country_code, country_upper, strip
+from fumarole.functions.maths import clip, safe_divide, safe_log1p
+from fumarole.functions.text import company_key, country_code, strip
 from fumarole.operators.quantiles import medians, modes, quantile_values
 from fumarole.sources.dimensions import country_aliases, sector_names
 
@@ -90,11 +91,6 @@ def normalise_countries(
     return found.withColumn(column, country_code(F.col(column), F.col("code"))).select(*df.columns)
 
 
-def upper_countries(df: DataFrame) -> DataFrame:
-    """Country text in trimmed upper case, for use without an alias table."""
-    return df.withColumn("country", country_upper(F.col("country")))
-
-
 def add_flags(df: DataFrame) -> DataFrame:
     """0/1 flags for missing financials and targets."""
     return df.withColumns(
@@ -157,3 +153,35 @@ def add_logs(df: DataFrame, targets: bool = True, overwrite: bool = True) -> Dat
             if raw in df.columns and (overwrite or log not in df.columns)
         }
     )
+
+
+def add_ratios(df: DataFrame) -> DataFrame:
+    return df.withColumns(
+        {name: safe_divide(F.col(top), F.col(bottom)) for name, (top, bottom) in vocab.RATIO_OF.items()}
+    )
+
+
+class Cleaning(NamedTuple):
+    """What cleaning learned from its rows: the sector mode, fill values and clipping bounds."""
+
+    sector: str | None
+    fill: dict[str, float | str | None]
+    bounds: dict[str, list[float | None]]
+
+
+def fit_cleaning(rows: DataFrame, impute_targets: bool = True, approx: bool = False) -> Cleaning:
+    """Fitted on deduplicated rows; medians come before the bounds, which see imputed values."""
+    top = category_modes(rows)
+    flagged = add_flags(validate_sectors(rows, top.get("sector")))
+    fill = fit_fill(flagged, categorical=[], approx=approx)
+    if not impute_targets:
+        fill = {c: v for c, v in fill.items() if c not in vocab.TARGETS}
+    fill.update({c: "Unknown" if v is None else v for c, v in top.items()})
+    return Cleaning(top.get("sector"), fill, fit_bounds(apply_fill(flagged, fill), approx=approx))
+
+
+def apply_cleaning(rows: DataFrame, fitted: Cleaning) -> DataFrame:
+    """Sectors, flags, fill values, clipping and logs, for the fitted rows or later ones."""
+    flagged = add_flags(validate_sectors(rows, fitted.sector))
+    present_bounds = {c: b for c, b in fitted.bounds.items() if c in rows.columns}
+    return add_logs(apply_bounds(apply_fill(flagged, fitted.fill), present_bounds))

@@ -187,10 +187,11 @@ def fit_learner(
     return Fit(plan.fit(train, chosen), errors[best], settings[best])
 
 
-def importances(model: PipelineModel, names: Sequence[str], top: int = 15) -> DataFrame:
-    """Tree importance or absolute coefficient per feature, largest first."""
+def importances(model: PipelineModel, names: Sequence[str], top: int | None = None) -> DataFrame:
+    """Tree importance or absolute coefficient per feature, largest first; ``top`` keeps as many."""
     last = model.stages[-1]
     weights = last.featureImportances if hasattr(last, "featureImportances") else last.coefficients
     rows = [(n, abs(float(w))) for n, w in zip(names, weights.toArray())]
     table = local_table(SparkSession.active(), rows, ["feature", "importance"])
-    return table.orderBy(F.desc("importance"), "feature").limit(top)
+    ordered = table.orderBy(F.desc("importance"), "feature")
+    return ordered if top is None else ordered.limit(top)

@@ -46,19 +46,27 @@ def column_ranges(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
-    """Counts in equal-width bins between the smallest and the largest value."""
+    """Counts in equal-width bins between the smallest and the largest value, empty ones too.
+
+    A constant column gets bins of total width one around its value.
+    """
     lo, hi = df.agg(F.min(column), F.max(column)).first()
     value = F.col(column).cast("double")
     if lo is None:
         return df.sparkSession.createDataFrame([], "bin int, lo double, hi double, n bigint")
+    if lo == hi:
+        lo, hi = lo - 0.5, hi + 0.5
     width = (hi - lo) / bins
-    number = (
-        F.least(F.floor((value - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)) if width > 0 else F.lit(0)
-    )
+    number = F.least(F.floor((value - F.lit(lo)) / F.lit(width)), F.lit(bins - 1))
+    # a bin's number in each of its rows and once more, so that no bin is missing
     counts = (
         df.where(F.col(column).isNotNull())
-        .groupBy(number.cast("int").alias("bin"))
-        .agg(F.count(F.lit(1)).alias("n"))
+        .select(number.cast("int").alias("bin"), F.lit(1).alias("one"))
+        .unionByName(
+            df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"), F.lit(0).alias("one"))
+        )
+        .groupBy("bin")
+        .agg(F.sum("one").alias("n"))
     )
     return counts.select(
         "bin",

@@ -9,6 +9,13 @@ from pyspark.sql import functions as F
 
 from fumarole import vocab
 from fumarole.functions.maths import back_transform, floor_at, round_even, share_of
+from fumarole.operators.cleaning import (
+    Cleaning,
+    add_logs,
+    add_ratios,
+    apply_cleaning,
+    normalise_countries,
+)
 from fumarole.operators.encode import GroupMeanModel, OrdinalCodeModel
 from fumarole.sources.dimensions import country_macro, sector_profile
 
@@ -48,38 +55,37 @@ def score_features(
     companies: DataFrame,
     means: Sequence[GroupMeanModel] = (),
     codes: Sequence[OrdinalCodeModel] = (),
+    cleaning: Cleaning | None = None,
 ) -> DataFrame:
     """Model features of raw company rows.
 
-    Financials are floored at 1. Group means and codes come from the fitted encoders; where
-    none is given, means take the priors and codes are -1 (unseen).
+    With ``cleaning``, as fitted on the training rows, the rows take the training rows' steps:
+    country codes, canonical sectors, flags, medians, bounds. Flags of the targets are 0, since
+    these are to be estimated. Without it financials are floored at 1 and no flag is set. Group
+    means and codes come from the fitted encoders; where none is given, means take the priors
+    and codes are -1 (unseen).
     """
-    df = prior_means(default_macro(companies))
-    rev, assets, emp, cap = (
-        F.coalesce(floor_at(F.col(c), 1.0), F.lit(1.0))
-        for c in ("revenue", "total_assets", "employee_count", "market_cap")
-    )
-    df = df.withColumns(
-        {
-            "log_revenue": F.log1p(rev),
-            "log_assets": F.log1p(assets),
-            "log_employees": F.log1p(emp),
-            "log_market_cap": F.log1p(cap),
-            "asset_per_employee": assets / emp,
-            "revenue_per_employee": rev / emp,
-            "asset_to_revenue": assets / rev,
-            "employee_density": emp / assets,
-            "market_cap_to_revenue": cap / rev,
-            "capital_intensity": assets / rev,
-            **{c: F.lit(-1) for c in vocab.CODES},
-            **{c: F.lit(0) for c in vocab.FLAGS},
-        }
-    )
+    if cleaning is None:
+        floors = {c: F.coalesce(floor_at(F.col(c), 1.0), F.lit(1.0)) for c in vocab.NUMERIC}
+        df = companies.withColumns({f"_{c}": F.col(c) for c in vocab.NUMERIC}).withColumns(floors)
+        df = add_ratios(add_logs(df, targets=False)).withColumns({c: F.col(f"_{c}") for c in vocab.NUMERIC})
+        df = df.drop(*[f"_{c}" for c in vocab.NUMERIC])
+        df = df.withColumns({c: F.lit(0) for c in vocab.FLAGS})
+    else:
+        rows = normalise_countries(companies.drop(*vocab.TARGETS))
+        df = add_ratios(apply_cleaning(rows, cleaning))
+        df = df.withColumns({f"{t}_missing": F.lit(0) for t in vocab.TARGETS})
+    df = prior_means(default_macro(df)).withColumns({c: F.lit(-1) for c in vocab.CODES})
     for model in [*means, *codes]:
         df = model.transform(df)
     return df
 
 
+def with_all(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The table with any named feature that it lacks, as 0."""
+    return df.withColumns({c: F.lit(0.0) for c in names if c not in df.columns})
+
+
 def aligned(df: DataFrame, names: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Exactly the named features in order, 0 where the table lacks one."""
     columns = [F.col(c) if c in df.columns else F.lit(0).alias(c) for c in names]

@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 from fumarole import vocab
 from fumarole.functions.hashing import key_bits
 from fumarole.operators.quantiles import bin_edges, bin_of, quantile_table
-from fumarole.sources.dimensions import local_table
 
-#: Groups a fold table may have; the greedy assignment runs over this many counts.
-MAX_GROUPS = 1_000_000
+#: A group with more than this share of the rows is placed by its size, the others by their hash.
+PLACED_SHARE = 0.01
 
 
 def stratify(df: DataFrame, target: str, bins: int = 5, approx: bool = False) -> DataFrame:
@@ -55,33 +54,47 @@ def train_and_test(split: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
 
 
-def group_sizes(df: DataFrame, group: str) -> list[tuple[object, int]]:
-    rows = df.groupBy(group).count().limit(MAX_GROUPS + 1).collect()
-    if len(rows) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups in {group}: use row folds instead")
-    return [(row[0], row["count"]) for row in rows]
+def placed_groups(counts: DataFrame, group: str, folds: int) -> list[tuple[object, int]]:
+    """Fold of each group above ``PLACED_SHARE`` of the rows; there are fewer than one over that.
 
-
-def group_folds(df: DataFrame, group: str, folds: int = vocab.FOLDS) -> DataFrame:
-    """Fold per group value: the largest group goes to the fold with the fewest rows so far.
-
-    Groups of equal size are taken from the last name to the first. Only counts reach the
-    driver. The result has one row per group: the group, its rows and its fold.
+    The largest group goes to the fold with the fewest such rows so far; groups of equal size
+    are taken from the last name to the first.
     """
-    named = sorted(
-        ((str(g), n, g) for g, n in group_sizes(df, group) if g is not None), reverse=True
-    )
+    known = counts.where(F.col(group).isNotNull())
+    total = known.agg(F.sum("n_rows")).first()[0] or 0
+    rows = known.where(F.col("n_rows") > total * PLACED_SHARE).collect()
+    named = sorted(((str(r[group]), r["n_rows"], r[group]) for r in rows), reverse=True)
     sizes = sorted(named, key=lambda item: -item[1])
-    loads = [(0, fold) for fold in range(min(folds, len(sizes)))]
-    heapq.heapify(loads)
-    rows = []
+    loads = [(0, fold) for fold in range(folds)]
+    found = []
     for _, n, value in sizes:
         load, fold = heapq.heappop(loads)
-        rows.append((value, n, fold))
+        found.append((value, fold))
         heapq.heappush(loads, (load + n, fold))
-    return local_table(df.sparkSession, rows, [group, "n_rows", "fold"]).withColumn(
-        "fold", F.col("fold").cast("int")
-    )
+    return found
+
+
+def group_fold(group: str, placed: Sequence[tuple[object, int]], folds: int, seed: int) -> Column:
+    """Fold of a group value: as placed, else by its hash; null stays null."""
+    by_hash = row_fold([F.col(group)], folds, seed)
+    chosen = F.when(F.col(group).isNull(), F.lit(None).cast("int"))
+    for value, fold in placed:
+        chosen = chosen.when(F.col(group) == F.lit(value), F.lit(fold))
+    return chosen.otherwise(by_hash)
+
+
+def group_folds(
+    df: DataFrame, group: str, folds: int = vocab.FOLDS, seed: int = vocab.SEED
+) -> DataFrame:
+    """One row per group: the group, its rows and its fold, for any number of groups.
+
+    Groups above ``PLACED_SHARE`` of the rows are spread by size, all others by their key hash;
+    only the former reach the driver.
+    """
+    counts = df.groupBy(group).agg(F.count("*").alias("n_rows"))
+    placed = placed_groups(counts, group, folds)
+    known = counts.where(F.col(group).isNotNull())
+    return known.withColumn("fold", group_fold(group, placed, folds, seed))
 
 
 def row_fold(keys: Sequence[Column], folds: int = vocab.FOLDS, seed: int = vocab.SEED) -> Column:
@@ -100,12 +113,14 @@ def add_folds(
 
     Returns the table and the number of folds.
     """
-    if group is not None and group in df.columns:
-        table = group_folds(df, group, folds) if _two_groups(df, group) else None
-        if table is not None:
-            count = table.agg(F.max("fold")).first()[0] + 1
-            found = df.join(F.broadcast(table.select(group, "fold")), group, "left")
-            return found.withColumn("fold", F.coalesce("fold", F.lit(0))), count
+    if group is not None and group in df.columns and _two_groups(df, group):
+        counts = df.groupBy(group).agg(F.count("*").alias("n_rows"))
+        fold = group_fold(group, placed_groups(counts, group, folds), folds, seed)
+        # folds that no group fell into are left out of the numbering
+        used = df.where(F.col(group).isNotNull()).select(fold.alias("fold")).distinct().collect()
+        numbers = {fold: i for i, fold in enumerate(sorted(r["fold"] for r in used))}
+        dense = F.coalesce(*[F.when(fold == F.lit(f), F.lit(i)) for f, i in numbers.items()], F.lit(0))
+        return df.withColumn("fold", dense), len(numbers)
     return df.withColumn("fold", row_fold([F.col(k) for k in keys], folds, seed)), folds
 
 

@@ -4,18 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from fumarole import vocab
 from fumarole.operators.cleaning import (
-    add_flags,
-    add_logs,
-    apply_bounds,
-    apply_fill,
-    category_modes,
-    fit_bounds,
-    fit_fill,
+    apply_cleaning,
+    fit_cleaning,
     normalise_countries,
     normalise_names,
-    validate_sectors,
 )
 from fumarole.operators.dedup import most_complete
 from fumarole.session import materialise
@@ -35,17 +28,15 @@ def clean(
     values. ``second_dedup`` deduplicates again once names are normalised;
     ``impute_targets=False`` leaves missing targets missing.
     """
+    rows = standard_rows(merged, second_dedup, stage)
+    fitted = fit_cleaning(rows, impute_targets, approx)
+    return apply_cleaning(rows, fitted)
+
+
+def standard_rows(merged: DataFrame, second_dedup: bool = False, stage: bool = True) -> DataFrame:
+    """One row a key with standard names and countries; what ``fit_cleaning`` is fitted on."""
     rows = most_complete(merged)
     rows = normalise_countries(normalise_names(rows))
     if second_dedup:
         rows = most_complete(rows)
-    rows = materialise(rows, "deduplicated") if stage else rows
-    top = category_modes(rows)
-    flagged = add_flags(validate_sectors(rows, top.get("sector")))
-    fill = fit_fill(flagged, categorical=[], approx=approx)
-    if not impute_targets:
-        fill = {c: v for c, v in fill.items() if c not in vocab.TARGETS}
-    fill.update({c: "Unknown" if v is None else v for c, v in top.items()})
-    filled = apply_fill(flagged, fill)
-    clipped = apply_bounds(filled, fit_bounds(filled, approx=approx))
-    return add_logs(clipped)
+    return materialise(rows, "deduplicated") if stage else rows

@@ -6,11 +6,9 @@ from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from fumarole import vocab
-from fumarole.functions.maths import safe_divide
-from fumarole.operators.cleaning import add_logs
+from fumarole.operators.cleaning import add_logs, add_ratios
 from fumarole.operators.encode import GroupMean, GroupMeanModel, OrdinalCodeModel, fit_codes
 
 
@@ -19,12 +17,6 @@ class Encoders(NamedTuple):
     means: list[GroupMeanModel]
 
 
-def add_ratios(df: DataFrame) -> DataFrame:
-    return df.withColumns(
-        {name: safe_divide(F.col(top), F.col(bottom)) for name, (top, bottom) in vocab.RATIO_OF.items()}
-    )
-
-
 def fit_encoders(
     df: DataFrame,
     categories: Sequence[str] = vocab.CATEGORICAL,

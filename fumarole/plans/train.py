@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import posixpath
 from collections.abc import Sequence
 
@@ -13,13 +14,21 @@ from pyspark.sql import types as T
 
 from fumarole import vocab
 from fumarole.operators import attribution, metrics
-from fumarole.operators.learners import encoders, feature_names, fit_learner, learners, prepare
+from fumarole.operators.cleaning import Cleaning
+from fumarole.operators.learners import (
+    encoders,
+    feature_names,
+    fit_learner,
+    importances,
+    learners,
+    prepare,
+)
 from fumarole.operators.metrics import best_model, both_scales, ranked_models
 from fumarole.operators.profiling import histogram
-from fumarole.operators.scoring import default_macro, score, score_features
+from fumarole.operators.scoring import default_macro, score, score_features, with_all
 from fumarole.operators.split import add_folds, stratified_split, train_and_test
 from fumarole.plans.features import Encoders
-from fumarole.session import materialise
+from fumarole.session import materialise, owned_stages
 from fumarole.sources.files import read_table, write_table
 
 RESULTS = T.StructType(
@@ -84,54 +93,79 @@ def train(
     parallelism: int = 4,
     seed: int = vocab.SEED,
     overrides: dict[str, dict[str, object]] | None = None,
+    cleaning: Cleaning | None = None,
 ) -> DataFrame:
     """Train the chosen models per target and save models, snapshots, tables and the best.
 
     A model that fails is recorded with its error and the others go on. ``overrides`` fixes
-    regressor settings per model name and skips the search over them. Returns one row per
-    target and model.
+    regressor settings per model name and skips the search over them. ``cleaning`` is stored
+    with the models, so that companies to score take the same steps. Returns one row per target
+    and model; the job's stage tables are removed at its end.
     """
     spark = feature_table.sparkSession
+    if cleaning is not None:
+        save_cleaning(spark, cleaning, folder)
     draws = draws or (vocab.SMOKE_DRAWS if smoke else vocab.SEARCH_DRAWS)
     rows = []
     for target in targets:
-        label = f"log_{target}"
-        train_rows, test_rows = split_for(feature_table, target, fold_safe, seed)
-        write_table(test_rows, posixpath.join(folder, f"test_{target}"))
-        inputs = model_inputs(train_rows.columns, fold_safe)
-        folded, folds = add_folds(train_rows, fold_group)
-        folded = materialise(folded, "folds")
-        first = encoders(folded, fold_safe)
-        for name, learner in learners(label, seed, smoke).items():
-            if names is not None and name not in names:
-                continue
-            row = dict.fromkeys(RESULTS.names)
-            row.update(target=target, model=name)
-            try:
-                fixed = (overrides or {}).get(name, {})
-                if fixed:
-                    learner.regressor._set(**fixed)
-                    learner = type(learner)(
-                        name, learner.regressor,
-                        {k: v for k, v in learner.grid.items() if k not in fixed}, learner.scaled,
-                    )
-                fit = fit_learner(learner, folded, label, inputs, folds, draws, first, parallelism, seed)
-                path = posixpath.join(folder, f"{target}_{name}")
-                fit.model.write().overwrite().save(path)
-                scored = fit.model.transform(test_rows)
-                row.update(both_scales(scored, label, "prediction").first().asDict())
-                row.update(
-                    cv_mse=float(fit.cv_mse), settings=str({**fixed, **fit.settings}), model_path=path
-                )
-            except Exception as err:  # noqa: BLE001 - one model's failure must not stop the others
-                row["error"] = f"{type(err).__name__}: {err}"
-            rows.append(row)
-        results = spark.createDataFrame([r for r in rows if r["target"] == target], RESULTS)
-        write_table(ranked_models(results), posixpath.join(folder, f"model_comparison_{target}"))
-        save_best(results, folder, target, inputs)
+        with owned_stages(spark):
+            rows += _train_target(
+                feature_table, folder, target, names, smoke, fold_safe, fold_group, draws,
+                parallelism, seed, overrides or {},
+            )
     return spark.createDataFrame(rows, RESULTS)
 
 
+def _train_target(
+    feature_table: DataFrame,
+    folder: str,
+    target: str,
+    names: Sequence[str] | None,
+    smoke: bool,
+    fold_safe: bool,
+    fold_group: str | None,
+    draws: int,
+    parallelism: int,
+    seed: int,
+    overrides: dict[str, dict[str, object]],
+) -> list[dict]:
+    spark, rows = feature_table.sparkSession, []
+    label = f"log_{target}"
+    train_rows, test_rows = split_for(feature_table, target, fold_safe, seed)
+    write_table(test_rows, posixpath.join(folder, f"test_{target}"))
+    inputs = model_inputs(train_rows.columns, fold_safe)
+    folded, folds = add_folds(train_rows, fold_group)
+    first = encoders(folded, fold_safe)
+    for name, learner in learners(label, seed, smoke).items():
+        if names is not None and name not in names:
+            continue
+        row = dict.fromkeys(RESULTS.names)
+        row.update(target=target, model=name)
+        try:
+            fixed = overrides.get(name, {})
+            if fixed:
+                learner.regressor._set(**fixed)
+                learner = type(learner)(
+                    name, learner.regressor,
+                    {k: v for k, v in learner.grid.items() if k not in fixed}, learner.scaled,
+                )
+            fit = fit_learner(learner, folded, label, inputs, folds, draws, first, parallelism, seed)
+            path = posixpath.join(folder, f"{target}_{name}")
+            fit.model.write().overwrite().save(path)
+            scored = fit.model.transform(test_rows)
+            row.update(both_scales(scored, label, "prediction").first().asDict())
+            row.update(
+                cv_mse=float(fit.cv_mse), settings=str({**fixed, **fit.settings}), model_path=path
+            )
+        except Exception as err:  # noqa: BLE001 - one model's failure must not stop the others
+            row["error"] = f"{type(err).__name__}: {err}"
+        rows.append(row)
+    results = spark.createDataFrame(rows, RESULTS)
+    write_table(ranked_models(results), posixpath.join(folder, f"model_comparison_{target}"))
+    save_best(results, folder, target, inputs)
+    return rows
+
+
 def save_best(results: DataFrame, folder: str, target: str, inputs: Sequence[str]) -> None:
     """Record the best model: its name, score, place and feature order, in one row."""
     best = best_model(results).collect()
@@ -188,19 +222,46 @@ def evaluate(
     return reports
 
 
+def save_cleaning(spark: SparkSession, fitted: Cleaning, folder: str) -> None:
+    """One JSON text, next to the models."""
+    rows = [(json.dumps(fitted._asdict()),)]
+    write_table(spark.createDataFrame(rows, "cleaning string"), posixpath.join(folder, "cleaning"))
+
+
+def stored_cleaning(spark: SparkSession, folder: str) -> Cleaning | None:
+    try:
+        text = read_table(spark, posixpath.join(folder, "cleaning")).first()["cleaning"]
+    except AnalysisException as err:
+        if err.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return Cleaning(**json.loads(text))
+
+
+def company_features(
+    companies: DataFrame, folder: str, fitted: Encoders | None, names: Sequence[str]
+) -> DataFrame:
+    """Features of companies to score, made by the steps stored with the models and aligned to
+    the models' own feature lists."""
+    steps = stored_cleaning(companies.sparkSession, folder)
+    table = score_features(
+        companies, fitted.means if fitted else (), fitted.codes if fitted else (), steps
+    )
+    return with_all(table, names)
+
+
 def score_companies(
     companies: DataFrame, folder: str, fitted: Encoders | None = None, keep: Sequence[str] = vocab.KEYS
 ) -> DataFrame:
     """Score a company table with the best models of a folder.
 
     ``fitted`` are the encoders of the feature table the models were trained on; fold-safe
-    models carry their own group means.
+    models carry their own group means. The cleaning stored with the models is applied.
     """
     spark = companies.sparkSession
     best = best_models(spark, folder)
-    table = score_features(
-        companies, fitted.means if fitted else (), fitted.codes if fitted else ()
-    )
+    names = dict.fromkeys(c for _, meta in best.values() for c in meta["features"])
+    table = company_features(companies, folder, fitted, list(names))
     predictors = {
         target: (
             lambda df, out, model=model: model.transform(df)
@@ -212,15 +273,39 @@ def score_companies(
     return score(table, predictors, {t: meta["r2"] for t, (_, meta) in best.items()}, keep)
 
 
+def explain_companies(
+    companies: DataFrame,
+    folder: str,
+    fitted: Encoders | None = None,
+    targets: Sequence[str] = vocab.TARGETS,
+) -> dict[str, DataFrame]:
+    """Attributions of the predictions for a company table, one long table per target."""
+    tables = {}
+    for target, (model, meta) in best_models(companies.sparkSession, folder, targets).items():
+        rows = company_features(companies, folder, fitted, meta["features"])
+        tables[target] = attribution.attributions(model, attribution.with_row_id(rows), meta["features"])
+    return tables
+
+
+def best_importances(
+    spark: SparkSession, folder: str, targets: Sequence[str] = vocab.TARGETS
+) -> dict[str, DataFrame]:
+    """Importance of every feature in the stored best model of each target."""
+    return {
+        target: importances(model, meta["features"])
+        for target, (model, meta) in best_models(spark, folder, targets).items()
+    }
+
+
 def explain(
     spark: SparkSession,
     folder: str,
     targets: Sequence[str] = vocab.TARGETS,
-    cap: int | None = vocab.EXPLAIN_ROWS,
+    cap: int | None = None,
 ) -> dict[str, DataFrame]:
     """Attributions of held-out rows per target, written next to the models.
 
-    ``cap=None`` explains every held-out row.
+    Every held-out row is explained; ``cap`` asks for a fixed-size sample instead.
     """
     tables = {}
     for target, (model, meta) in best_models(spark, folder, targets).items():

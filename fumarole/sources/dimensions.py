@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fumarole import vocab
+from fumarole.functions.text import strip
+from fumarole.session import small_table
 
 
 def local_table(spark: SparkSession, rows: Iterable[tuple], columns: list[str]) -> DataFrame:
@@ -46,13 +48,17 @@ def country_aliases(spark: SparkSession, extra: DataFrame | None = None) -> Data
 
     Alpha-2 codes and English names of all countries come from the Java locale data; formal
     names and numeric codes are given for the countries of the macro table. ``extra`` adds
-    rows (alias, code), for instance a full ISO 3166 extract, and wins over the built-in ones.
+    rows (alias, code), for instance a landed ISO 3166 extract with all numeric codes and
+    official names, and wins over the built-in ones; of several codes for one text, after
+    trimming and lower-casing, the smallest counts. Its size is checked before any broadcast.
     """
     base = local_table(spark, _locale_aliases(), ["alias", "code"])
     if extra is None:
         return base
-    own = extra.select(F.lower("alias").alias("alias"), "code")
-    return base.join(own, "alias", "left_anti").unionByName(own)
+    own = extra.select(strip(F.lower("alias")).alias("alias"), F.upper("code").alias("code"))
+    own = own.where("alias is not null and code is not null")
+    own = small_table(own.groupBy("alias").agg(F.min("code").alias("code")))
+    return small_table(base.join(own, "alias", "left_anti").unionByName(own))
 
 
 @cache

@@ -19,7 +19,7 @@ def latest_wide(
     key: str = "country",
     order: str = "year",
 ) -> DataFrame:
-    """Most recent non-null value of each named indicator, one row per key.
+    """Most recent non-null value of each named indicator, the largest of one year, per key.
 
     Equals joining one table per indicator with full outer joins, in a single grouped pass
     with partial aggregation: a key with any of the indicators keeps a row.
@@ -27,7 +27,9 @@ def latest_wide(
     known = long.where(F.col("indicator").isin(list(names)) & F.col("value").isNotNull())
     return known.groupBy(key).agg(
         *[
-            F.max_by("value", F.when(F.col("indicator") == code, F.col(order))).alias(name)
+            F.max_by(
+                "value", F.when(F.col("indicator") == code, F.struct(order, "value"))
+            ).alias(name)
             for code, name in names.items()
         ]
     )
@@ -43,7 +45,7 @@ def outer_wide(
     parts = [
         long.where((F.col("indicator") == code) & F.col("value").isNotNull())
         .groupBy(key)
-        .agg(F.max_by("value", order).alias(name))
+        .agg(F.max_by("value", F.struct(order, "value")).alias(name))
         for code, name in names.items()
     ]
     return reduce(lambda left, right: left.join(right, key, "full"), parts)

@@ -122,3 +122,19 @@ def test_cap_and_background_are_fixed_samples(spark, data):
     assert capped.count() == 60
     again = at.background_rows(data.repartition(9), NAMES)
     assert len(again) == 50 and again == at.background_rows(data, NAMES)
+
+
+def test_rows_that_share_their_keys_stay_apart(spark):
+    df = spark.createDataFrame(
+        [("a", 1, 1.0), ("a", 1, 5.0), ("a", 1, 5.0), ("b", 2, 2.0), (None, 2, 3.0)],
+        "company_name string, reporting_year int, x double",
+    )
+    rows = at.with_row_id(df)
+    assert {r["row_id"]: r["x"] for r in rows.collect()} == {
+        "a|1": 1.0, "a|1#2": 5.0, "a|1#3": 5.0, "b|2": 2.0, "2": 3.0,
+    }
+    identity = lambda t: t.withColumn("prediction", F.get("inputs", F.lit(0)))
+    phi = at.sampled_attributions(rows, ["x"], identity, [[0.0]])
+    assert {r["row_id"]: r["phi"] for r in phi.collect()} == {
+        "a|1": 1.0, "a|1#2": 5.0, "a|1#3": 5.0, "b|2": 2.0, "2": 3.0,
+    }

@@ -1,3 +1,5 @@
+import pathlib
+
 import pytest
 from conftest import companies
 from pyspark.sql import functions as F
@@ -6,10 +8,11 @@ from fumarole import vocab
 from fumarole.operators import learners, scoring
 from fumarole.operators.split import add_folds
 from fumarole.plans import train as jobs
-from fumarole.plans.clean import clean
+from fumarole.operators.cleaning import fit_cleaning
+from fumarole.plans.clean import clean, standard_rows
 from fumarole.plans.features import features, fit_encoders
 from fumarole.plans.ingest import merge_sources
-from fumarole.session import materialise, stage_path
+from fumarole.session import materialise, shared_dir, stage_path
 from fumarole.sources import schemas
 from fumarole.sources.dimensions import country_macro
 from fumarole.sources.files import read_table
@@ -99,6 +102,50 @@ def test_scoring_a_portfolio(spark, trained, cleaned, encoders):
         assert set(row["feature_values"]) == {*vocab.FEATURES, *vocab.FLAGS}
 
 
+def test_scoring_takes_the_training_steps(spark, cleaned, encoders):
+    """Companies with gaps and odd spellings get the features that cleaning gave the same rows."""
+    raw = merge_sources(companies(spark, 400), None, country_macro(spark))
+    rows = standard_rows(raw)
+    steps = fit_cleaning(rows)
+    folder = stage_path(spark, "models")
+    jobs.save_cleaning(spark, steps, folder)
+    assert jobs.stored_cleaning(spark, folder) == steps
+    odd = rows.withColumns(
+        {"sector": F.concat(F.lit(" "), F.lower("sector")), "country": F.concat(F.col("country"), F.lit(" "))}
+    ).drop(*vocab.TARGETS, *vocab.MACRO, "company_name_raw")
+    names = [*vocab.LOG_OF.values(), *vocab.RATIO_OF, *vocab.MACRO, *vocab.CODES, *[f"{c}_missing" for c in vocab.NUMERIC]]
+    got = jobs.company_features(odd, folder, encoders, [*names, "unheard_of"])
+    assert got.where("unheard_of <> 0").count() == 0
+    want = features(cleaned, encoders=encoders)
+    keyed = lambda t: {
+        (r["ticker"], r["reporting_year"]): [None if r[c] is None else round(float(r[c]), 9) for c in names]
+        for r in t.collect()
+    }
+    assert keyed(got) == keyed(want)
+
+
+def test_companies_are_scored_and_explained(spark, trained, cleaned, encoders):
+    folder, _ = trained
+    rows = cleaned.select(*vocab.KEYS, *vocab.CATEGORICAL, *vocab.NUMERIC).limit(20)
+    long = jobs.explain_companies(rows, folder, encoders, [vocab.SCOPE1])[vocab.SCOPE1]
+    scored = jobs.score_companies(rows, folder, encoders)
+    total = long.groupBy("row_id").agg(F.expm1(F.sum("phi") + F.first("base")).alias("v")).collect()
+    assert sorted(round(max(r["v"], 0), 1) for r in total) == pytest.approx(
+        sorted(r["scope1"] for r in scored.collect()), rel=1e-3, abs=0.2
+    )
+    ranked = jobs.best_importances(spark, folder)[vocab.SCOPE1]
+    assert ranked.count() == len(jobs.best_models(spark, folder)[vocab.SCOPE1][1]["features"])
+
+
+def test_training_leaves_no_stage_tables(spark, cleaned, encoders, tmp_path):
+    table = features(cleaned, encoders=encoders)
+    place = pathlib.Path(shared_dir(spark).removeprefix("file:"))
+    before = {p.name for p in place.iterdir()}
+    jobs.train(table, str(tmp_path / "m"), [vocab.SCOPE1], ["LinearRegression"])
+    left = {p.name.rsplit("-", 1)[0] for p in place.iterdir() if p.name not in before}
+    assert left <= {"lookup"} - {"lookup"}
+
+
 def test_explanations_add_up(spark, trained):
     folder, _ = trained
     long = jobs.explain(spark, folder, cap=30)[vocab.SCOPE1]

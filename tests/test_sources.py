@@ -119,3 +119,26 @@ def test_country_order_of_merge(spark):
     assert merge_sources(rows, None, macro).first()["gdp_per_capita"] == 76330.0
     late = merge_sources(rows, None, macro, normalise_first=False)
     assert late.first()["gdp_per_capita"] is None
+    spelled = spark.createDataFrame(
+        [("US", 1.0, None), ("840", 2.0, 5.0), ("Germany", 3.0, 3.0)],
+        "country string, gdp_per_capita double, energy_intensity double",
+    )
+    found = merge_sources(rows, None, spelled).collect()
+    assert [(r["country"], r["gdp_per_capita"], r["energy_intensity"]) for r in found] == [("USA", 2.0, 5.0)]
+
+
+def test_latest_value_of_one_year_does_not_depend_on_order(spark):
+    rows = [("USA", "NY.GDP.PCAP.CD", 2020, v) for v in (1.0, 2.0, 0.5)]
+    for order in (rows, rows[::-1]):
+        long = spark.createDataFrame(order, schemas.INDICATORS_LONG)
+        for table in (indicators.latest_wide(long), indicators.outer_wide(long)):
+            assert table.first()["gdp_per_capita"] == 2.0
+
+
+def test_aliases_from_a_landed_table(spark):
+    extra = spark.createDataFrame(
+        [("756", "CHE"), (" 756", "CHX"), ("Swiss Confederation", "che"), (None, "X"), ("y", None)],
+        "alias string, code string",
+    )
+    rows = spark.createDataFrame([("756",), ("swiss confederation",)], "country string")
+    assert [r[0] for r in normalise_countries(rows, extra).collect()] == ["CHE", "CHE"]

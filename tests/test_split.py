@@ -55,7 +55,7 @@ def greedy(sizes, folds):
 
 def test_group_folds_by_brute_force(spark):
     draw = random.Random(9)
-    sizes = {f"g{i}": draw.randint(1, 12) for i in range(23)}
+    sizes = {f"g{i}": draw.randint(3, 12) for i in range(23)}
     df = spark.createDataFrame([(g,) for g, n in sizes.items() for _ in range(n)], "g string")
     got = {r["g"]: r["fold"] for r in split.group_folds(df, "g").collect()}
     assert got == greedy(sizes, 5)
@@ -76,7 +76,17 @@ def test_sample_is_fixed_size_and_stable(spark):
     assert split.hash_sample(df, 900, ["company_name"]).count() == 500
 
 
-def test_too_many_groups(spark, monkeypatch):
-    monkeypatch.setattr(split, "MAX_GROUPS", 2)
-    with pytest.raises(ValueError, match="row folds"):
-        split.group_folds(rows(spark, 60), "company_name")
+def test_many_small_groups_are_spread_by_hash(spark):
+    sizes = {f"g{i}": 2 for i in range(400)} | {"big": 300, "large": 200}
+    df = spark.createDataFrame([(g,) for g, n in sizes.items() for _ in range(n)] + [(None,)], "g string")
+    got = {r["g"]: (r["fold"], r["n_rows"]) for r in split.group_folds(df, "g").collect()}
+    assert {g: n for g, (_, n) in got.items()} == sizes
+    assert got["big"][0] == 0 and got["large"][0] == 1
+    loads = Counter()
+    for g, (fold, n) in got.items():
+        loads[fold] += n if n == 2 else 0
+    assert set(loads) == set(range(5)) and min(loads.values()) > 100
+    rows, folds = split.add_folds(df.withColumns({"company_name": F.lit("a"), "reporting_year": F.lit(1)}), "g")
+    assert folds == 5 and {(r["g"], r["fold"]) for r in rows.collect()} == {
+        (g, fold) for g, (fold, _) in got.items()
+    } | {(None, 0)}
