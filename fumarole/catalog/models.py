@@ -152,6 +152,109 @@ def random_search(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+SPLIT_INPUTS = ["reporting_year", "revenue_missing"]
+
+
+def _split_sql(name: str, rows: str, target: str) -> list[str]:
+    """The best single split of ``rows`` by squared error, with both means, as subqueries."""
+    return [
+        f"""{name}_cut AS (
+  SELECT feature, (x + lead(x) OVER (PARTITION BY feature ORDER BY x)) / 2 AS threshold
+  FROM (SELECT DISTINCT 'reporting_year' AS feature, reporting_year AS x FROM {rows}
+        UNION SELECT DISTINCT 'revenue_missing', revenue_missing FROM {rows})
+  QUALIFY threshold IS NOT NULL)""",
+        f"""{name} AS (
+  SELECT feature, threshold, avg({target}) FILTER (x <= threshold) AS low_mean,
+         avg({target}) FILTER (x > threshold) AS high_mean
+  FROM {name}_cut JOIN (
+    SELECT 'reporting_year' AS feature, reporting_year AS x, {target} FROM {rows}
+    UNION ALL SELECT 'revenue_missing', revenue_missing, {target} FROM {rows}) USING (feature)
+  GROUP BY feature, threshold
+  ORDER BY count(*) FILTER (x <= threshold) * low_mean ** 2
+         + count(*) FILTER (x > threshold) * high_mean ** 2 DESC LIMIT 1)""",
+    ]
+
+
+_SPLIT_ROWS = f"""split_rows AS MATERIALIZED (
+  SELECT CAST(reporting_year AS DOUBLE) AS reporting_year, {LABEL} AS y,
+         CAST(revenue IS NULL AS DOUBLE) AS revenue_missing FROM logged WHERE {LABEL} IS NOT NULL)"""
+
+
+@query(
+    S.on_panel(
+        """SELECT feature, threshold, round(low_mean, 6) AS low_mean, round(high_mean, 6) AS high_mean
+           FROM first""",
+        _LOGGED, _SPLIT_ROWS, *_split_sql("first", "split_rows", "y"),
+    )
+)
+def single_split(spark: SparkSession, sf: str) -> DataFrame:
+    """A forest of one tree of depth one: the split with the least squared error."""
+    one = learners.learners(LABEL)["RandomForest"]
+    one.regressor._set(numTrees=1, maxDepth=1, featureSubsetStrategy="all", bootstrap=False)
+    fitted = learners.pipeline(one, SPLIT_INPUTS).fit(model_rows(spark, sf))
+    low, high = sorted(attribution.tree_leaves(fitted.stages[-1]), key=lambda leaf: leaf.lo)
+    row = (SPLIT_INPUTS[low.features[0]], low.hi[0], low.value, high.value)
+    found = spark.createDataFrame([row], "feature string, threshold double, low_mean double, high_mean double")
+    return rounded(found, ["low_mean", "high_mean"])
+
+
+def _side(name: str) -> str:
+    return (
+        f"CASE WHEN CASE {name}.feature WHEN 'reporting_year' THEN r.reporting_year "
+        f"ELSE r.revenue_missing END <= {name}.threshold THEN {name}.low_mean ELSE {name}.high_mean END"
+    )
+
+
+BOOSTED = ["GradientBoosting", "HistogramBoosting", "OrderedBoosting", "LeafwiseBoosting"]
+
+
+@query(
+    S.on_panel(
+        f"""SELECT DISTINCT unnest({S.texts(BOOSTED)}) AS model, r.reporting_year, r.revenue_missing,
+                   round({_side("first")} + 0.1 * {_side("second")}, 6) AS predicted
+            FROM split_rows r, first, second""",
+        _LOGGED, _SPLIT_ROWS, *_split_sql("first", "split_rows", "y"),
+        # the gradient of the squared error is twice the residual
+        f"""rest AS MATERIALIZED (SELECT r.reporting_year, r.revenue_missing,
+              2 * (y - ({_side("first")})) AS gradient FROM split_rows r, first)""",
+        *_split_sql("second", "rest", "gradient"),
+    )
+)
+def boosting_two_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    """Two rounds of stumps under each boosted preset: the second fits what the first left."""
+    rows, tables = model_rows(spark, sf), None
+    places = rows.select(*[F.col(c).cast("double").alias(c) for c in SPLIT_INPUTS]).distinct()
+    for name in BOOSTED:
+        one = learners.learners(LABEL)[name]
+        one.regressor._set(maxIter=2, maxDepth=1, stepSize=0.1, subsamplingRate=1.0, featureSubsetStrategy="all")
+        fitted = learners.pipeline(one, SPLIT_INPUTS).fit(rows)
+        table = fitted.transform(places).select(
+            F.lit(name).alias("model"), *SPLIT_INPUTS, F.round("prediction", 6).alias("predicted")
+        )
+        tables = table if tables is None else tables.unionByName(table)
+    return tables
+
+
+@query(
+    "SELECT unnest(['GradientBoosting', 'LinearRegression', 'RandomForest']) AS model, 6 AS n_features, "
+    "true AS all_sums_right, true AS in_order"
+)
+def importance_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """Every feature has its importance, largest first; those of trees add up to one."""
+    rows, found = model_rows(spark, sf), []
+    baseline = learners.pipeline(learners.learners(LABEL)["LinearRegression"], TREE_INPUTS)
+    plans = {
+        "GradientBoosting": small_boost("GradientBoosting", LABEL, TREE_INPUTS),
+        "LinearRegression": baseline,
+        "RandomForest": small_forest(LABEL, TREE_INPUTS),
+    }
+    for name, plan in plans.items():
+        weights = [r["importance"] for r in learners.importances(plan.fit(rows), TREE_INPUTS).collect()]
+        right = name == "LinearRegression" or abs(sum(weights) - 1) < 1e-9
+        found.append((name, len(weights), right, weights == sorted(weights, reverse=True)))
+    return spark.createDataFrame(found, "model string, n_features int, all_sums_right boolean, in_order boolean")
+
+
 _LOCAL_ACCURACY = S.on_panel(
     "SELECT count(*) AS n_rows, count(*) AS n_exact FROM panel WHERE scope1_emissions IS NOT NULL"
 )

@@ -5,8 +5,10 @@ For every row the base plus the sum of phi is the prediction.
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import cache
 from typing import NamedTuple
 
 import numpy as np
@@ -15,7 +17,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressionModel, LinearRegressionModel, RandomForestRegressionModel
-from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fumarole import vocab
@@ -89,90 +91,137 @@ class Leaf(NamedTuple):
     and the share of training rows that take the path's branches on that feature."""
 
     value: float
+    features: list[int]
+    lo: list[float]
+    hi: list[float]
+    cover: list[float]
+
+
+class Leaves(NamedTuple):
+    """All leaves with paths of one length, as arrays with a row for each leaf."""
+
+    value: np.ndarray
     features: np.ndarray
     lo: np.ndarray
     hi: np.ndarray
     cover: np.ndarray
 
 
+#: Cells (rows x leaves x path) of one step of the tree attribution.
+STEP_CELLS = 1 << 20
+
+
 def tree_leaves(model) -> list[Leaf]:
     """Leaves of a fitted MLlib tree ensemble with continuous splits.
 
-    Read from the node table of the saved model, which is as large as the model that the
-    driver holds already.
+    Read as columns from the node table of the saved model, which is as large as the model that
+    the driver holds already.
     """
     spark = SparkSession.active()
     path = stage_path(spark, "model")
     model.write().save(path)
-    nodes = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").collect()
+    nodes = spark.read.parquet(f"{path}/data").select(
+        "treeID", "nodeData.id", "nodeData.prediction", "nodeData.rawCount", "nodeData.leftChild",
+        "nodeData.rightChild", "nodeData.split.featureIndex", "nodeData.split.numCategories",
+        F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"),
+    )
+    table = nodes.orderBy("treeID", "id").toArrow()
+    columns = {name: table[name].to_numpy() for name in table.column_names}
+    inner = columns["leftChild"] >= 0
+    if (columns["numCategories"][inner] != -1).any():
+        raise ValueError("categorical splits are not supported")
     weights = model.treeWeights
     average = 1.0 / sum(weights) if isinstance(model, RandomForestRegressionModel) else 1.0
-    trees: dict[int, dict[int, Row]] = {}
-    for node in nodes:
-        trees.setdefault(node["treeID"], {})[node["id"]] = node
-    return [
-        leaf for number, tree in trees.items() for leaf in _leaves(tree, weights[number] * average)
-    ]
+    starts = np.flatnonzero(np.diff(columns["treeID"], prepend=-1))
+    leaves: list[Leaf] = []
+    for start, stop in zip(starts, np.append(starts[1:], len(inner))):
+        tree = {name: column[start:stop].tolist() for name, column in columns.items()}
+        leaves += _leaves(tree, weights[tree["treeID"][0]] * average)
+    return leaves
 
 
-def _leaves(tree: Mapping[int, Row], weight: float) -> Iterator[Leaf]:
+def _leaves(tree: Mapping[str, list], weight: float) -> Iterator[Leaf]:
+    """Leaves of one tree, given as columns; node ids count from 0 without gaps."""
     everywhere = (-np.inf, np.inf, 1.0)
-    open_nodes = [(tree[0], {})]
+    open_nodes: list[tuple[int, dict]] = [(0, {})]
     while open_nodes:
         node, path = open_nodes.pop()
-        if node["leftChild"] < 0:
+        left, right = tree["leftChild"][node], tree["rightChild"][node]
+        if left < 0:
             features = sorted(path)
-            lo, hi, cover = np.array([path[f] for f in features]).reshape(-1, 3).T
-            yield Leaf(weight * node["prediction"], np.array(features, dtype=int), lo, hi, cover)
+            bounds = [path[f] for f in features]
+            lo, hi, cover = ([b[i] for b in bounds] for i in range(3))
+            yield Leaf(weight * tree["prediction"][node], features, lo, hi, cover)
             continue
-        if node["split"]["numCategories"] != -1:
-            raise ValueError("categorical splits are not supported")
-        at, threshold = node["split"]["featureIndex"], node["split"]["leftCategoriesOrThreshold"][0]
+        at, threshold = tree["featureIndex"][node], tree["threshold"][node]
         lo, hi, cover = path.get(at, everywhere)
-        for child, bounds in (
-            (tree[node["leftChild"]], (lo, min(hi, threshold))),
-            (tree[node["rightChild"]], (max(lo, threshold), hi)),
-        ):
-            share = cover * child["rawCount"] / node["rawCount"]
+        for child, bounds in ((left, (lo, min(hi, threshold))), (right, (max(lo, threshold), hi))):
+            share = cover * tree["rawCount"][child] / tree["rawCount"][node]
             open_nodes.append((child, {**path, at: (*bounds, share)}))
 
 
 def tree_base(leaves: Sequence[Leaf]) -> float:
     """Mean prediction over the training rows that fell into each leaf."""
-    return float(sum(leaf.value * leaf.cover.prod() for leaf in leaves))
+    return float(sum(leaf.value * math.prod(leaf.cover) for leaf in leaves))
 
 
-def leaf_phi(leaf: Leaf, x: np.ndarray) -> np.ndarray:
-    """Shapley values of one leaf for a batch, one column per feature on its path.
+def by_length(leaves: Sequence[Leaf]) -> list[Leaves]:
+    """The leaves that split at all, gathered by the length of their path."""
+    groups: dict[int, list[Leaf]] = {}
+    for leaf in leaves:
+        if leaf.features:
+            groups.setdefault(len(leaf.features), []).append(leaf)
+    return [Leaves(*map(np.array, zip(*group))) for _, group in sorted(groups.items())]
+
+
+@cache
+def integration_points(length: int) -> list[tuple[float, float]]:
+    """Gauss-Legendre points and weights on [0, 1] that integrate a path of this length exactly."""
+    points, weights = np.polynomial.legendre.leggauss(max(1, (length + 1) // 2))
+    return list(zip(((points + 1) / 2).tolist(), (weights / 2).tolist()))
+
+
+def leaves_phi(group: Leaves, x: np.ndarray) -> np.ndarray:
+    """Shapley values of many leaves for a batch: rows x features, summed over the leaves.
 
     A feature is either on the leaf's side (1), off it (0) or unknown (its cover). The
     Shapley weights are the integral over t in [0, 1] of the product of the other features'
     terms cover + (side - cover) * t, a polynomial that Gauss-Legendre points integrate
     exactly.
     """
-    columns = x[:, leaf.features]
-    side = ((columns > leaf.lo) & (columns <= leaf.hi)).astype(float)
-    points, weights = np.polynomial.legendre.leggauss(max(1, (len(leaf.features) + 1) // 2))
-    others = np.zeros_like(side)
-    for t, w in zip((points + 1) / 2, weights / 2):
-        terms = leaf.cover + (side - leaf.cover) * t
-        others += w * terms.prod(axis=1, keepdims=True) / terms
-    return leaf.value * (side - leaf.cover) * others
+    phi = np.zeros_like(x)
+    length = group.features.shape[1]
+    leaves = max(1, STEP_CELLS // max(1, len(x) * length))
+    for i in range(0, len(group.value), leaves):
+        part = Leaves(*(column[i : i + leaves] for column in group))
+        columns = x[:, part.features]
+        side = ((columns > part.lo) & (columns <= part.hi)).astype(float) - part.cover
+        others = np.zeros_like(side)
+        for t, weight in integration_points(length):
+            terms = part.cover + side * t
+            others += weight * terms.prod(axis=2, keepdims=True) / terms
+        effect = (part.value[:, None] * side * others).reshape(len(x), -1)
+        place = part.features.ravel()
+        for feature in np.unique(place):
+            phi[:, feature] += effect[:, place == feature].sum(axis=1)
+    return phi
 
 
 def tree_attributions(df: DataFrame, model, names: Sequence[str]) -> DataFrame:
     """Path-dependent tree attributions, batch by batch in each task."""
     leaves = tree_leaves(model)
-    base, split = tree_base(leaves), [leaf for leaf in leaves if len(leaf.features)]
-    shared = SparkSession.active().sparkContext.broadcast(split)
+    base = tree_base(leaves)
+    shared = SparkSession.active().sparkContext.broadcast(by_length(leaves))
     names = list(names)
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x = batch[names].to_numpy(dtype=float)
             phi = np.zeros_like(x)
-            for leaf in shared.value:
-                phi[:, leaf.features] += leaf_phi(leaf, x)
+            for start in range(0, len(x), 256):
+                rows = x[start : start + 256]
+                for group in shared.value:
+                    phi[start : start + 256] += leaves_phi(group, rows)
             yield pd.DataFrame(
                 {
                     ROW: np.repeat(batch[ROW].to_numpy(), len(names)),
@@ -252,10 +301,12 @@ def sampled_attributions(
     )
     scored = predict(
         switched.select(
-            ROW, "step", F.col("plan.number").alias("plan"), mixed.alias("inputs")
+            ROW, "x", "step", F.col("plan.number").alias("plan"), mixed.alias("inputs")
         ).withColumn("features", array_to_vector("inputs"))
     )
-    totals = scored.groupBy(ROW, "plan", "step").agg(F.sum("prediction").alias("total"))
+    totals = scored.groupBy(ROW, "plan", "step").agg(
+        F.sum("prediction").alias("total"), F.first("x").alias("x")
+    )
 
     # step k switches the k-th feature of the order: it gains the step's total and pays the last
     at = F.get(F.array(*[F.lit(order) for order in orders]), F.col("plan"))
@@ -269,10 +320,10 @@ def sampled_attributions(
     )
     runs = float(len(orders) * len(background))
     sums = (
-        totals.select(ROW, F.explode(gains).alias("g"))
+        totals.select(ROW, "x", F.explode(gains).alias("g"))
         .where("g.i is not null")
         .groupBy(ROW, "g.i")
-        .agg((F.sum("g.change") / runs).alias("phi"))
+        .agg((F.sum("g.change") / runs).alias("phi"), F.first("x").alias("x"))
     )
     spark = df.sparkSession
     at_background = predict(
@@ -281,7 +332,7 @@ def sampled_attributions(
     )
     base = at_background.agg(F.avg("prediction")).first()[0]
     label = F.get(F.array(*[F.lit(c) for c in names]), F.col("i"))
-    return sums.join(df.select(ROW, x.alias("x")), ROW).select(
+    return sums.select(
         ROW, label.alias("feature"), F.get("x", F.col("i")).alias("value"), "phi", F.lit(base).alias("base")
     )
 

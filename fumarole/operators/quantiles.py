@@ -52,18 +52,25 @@ def quantile_table(
     named = [F.col(b).alias(g) for b, g in zip(by, groups)]
     values = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(f"v{i}") for i, c in enumerate(columns)]
     rows = materialise(df.select(*named, *values), "values")
-    facts = small_table(_facts(rows, len(columns), groups))
+    facts = _held(_facts(rows, len(columns), groups), groups)
     cells = _cells(rows, len(columns), groups)
 
-    ranges = small_table(_first_ranges(facts, len(columns), groups, probs, few))
+    ranges = _held(_first_ranges(facts, len(columns), groups, probs, few), groups)
     while ranges.where("open").limit(1).count():
-        ranges = small_table(_narrowed(cells, ranges, groups, buckets, few))
+        ranges = _held(_narrowed(cells, ranges, groups, buckets, few), groups)
     found = _found(cells, ranges, groups)
     if not by:
         return _one_row(found, facts, list(columns), probs)
     return small_table(_answers(found, facts, list(columns), by, probs))
 
 
+def _held(df: DataFrame, groups: list[str]) -> DataFrame:
+    """The evaluated table: without groups a few rows for each column and wanted rank."""
+    if groups:
+        return small_table(df)
+    return F.broadcast(df.sparkSession.createDataFrame(df.toArrow(), df.schema))
+
+
 def _facts(rows: DataFrame, width: int, groups: list[str]) -> DataFrame:
     """Range and number of values of each group, column by column."""
     spans = [
