@@ -55,9 +55,9 @@ def quantile_table(
     facts = _held(_facts(rows, len(columns), groups), groups)
     cells = _cells(rows, len(columns), groups)
 
-    ranges = _held(_first_ranges(facts, len(columns), groups, probs, few), groups)
-    while ranges.where("open").limit(1).count():
-        ranges = _held(_narrowed(cells, ranges, groups, buckets, few), groups)
+    ranges, more = _checked(_first_ranges(facts, len(columns), groups, probs, few), groups)
+    while more:
+        ranges, more = _checked(_narrowed(cells, ranges, groups, buckets, few), groups)
     found = _found(cells, ranges, groups)
     if not by:
         return _one_row(found, facts, list(columns), probs)
@@ -71,6 +71,16 @@ def _held(df: DataFrame, groups: list[str]) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(df.toArrow(), df.schema))
 
 
+def _checked(ranges: DataFrame, groups: list[str]) -> tuple[DataFrame, bool]:
+    """The evaluated ranges, and whether any is still open."""
+    if groups:
+        held = small_table(ranges)
+        return held, held.where("open").limit(1).count() > 0
+    rows = ranges.toArrow()
+    held = F.broadcast(ranges.sparkSession.createDataFrame(rows, ranges.schema))
+    return held, any(rows["open"].to_pylist())
+
+
 def _facts(rows: DataFrame, width: int, groups: list[str]) -> DataFrame:
     """Range and number of values of each group, column by column."""
     spans = [
