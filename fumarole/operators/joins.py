@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +19,12 @@ HOT_ROWS = 100_000
 def lookup(
     df: DataFrame, table: DataFrame, on: str | Sequence[str], max_rows: int = SMALL_ROWS
 ) -> DataFrame:
-    """Left join with a lookup table that is broadcast only if its size proves small."""
+    """Left join with a lookup table that is broadcast only if its size proves small.
+
+    Besides the keys the sides must not share columns.
+    """
     keys = [on] if isinstance(on, str) else list(on)
+    reject_shared(df, table, keys)
     added = [c for c in table.columns if c not in keys]
     return df.join(small_table(table, max_rows), keys, "left").select(*df.columns, *added)
 
@@ -35,9 +40,20 @@ def hot_keys(
     df: DataFrame, key: str, share: float = HOT_SHARE, min_rows: int = HOT_ROWS
 ) -> list[object]:
     """Keys holding more than ``share`` of the rows, fewer than ``1 / share`` by construction."""
-    limit = max(df.select(key).count() * share, min_rows)
-    heavy = df.groupBy(key).count().where(F.col("count") > limit)
-    return [row[0] for row in heavy.collect()]
+    counts = df.groupBy(key).count().persist(StorageLevel.DISK_ONLY)
+    try:
+        total = counts.agg(F.sum("count")).first()[0] or 0
+        heavy = counts.where(F.col("count") > max(total * share, min_rows))
+        return [row[0] for row in heavy.collect()]
+    finally:
+        counts.unpersist()
+
+
+def reject_shared(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> None:
+    """Raise if both sides have a column besides the keys: a join would make it ambiguous."""
+    shared = sorted(set(left.columns) & set(right.columns) - set(keys))
+    if shared:
+        raise ValueError(f"columns on both sides of a join: {shared}")
 
 
 def skew_safe_left_join(
@@ -56,6 +72,7 @@ def skew_safe_left_join(
     an ordinary shuffled join. If the right side has too many rows under hot keys for a
     broadcast, their join is left to the adaptive skew handling.
     """
+    reject_shared(left, right, [key])
     added = [c for c in right.columns if c != key]
     columns = [*left.columns, *added]
 

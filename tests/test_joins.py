@@ -56,3 +56,10 @@ def test_lookup_beyond_the_broadcast_bound_is_exact(spark):
     small = sorted(map(str, joins.lookup(left, table, "k").collect()))
     large = sorted(map(str, joins.lookup(left, table, "k", max_rows=5).collect()))
     assert small == large
+
+
+def test_shared_columns_are_rejected(spark):
+    df = spark.createDataFrame([(1, 2)], "k int, x int")
+    for join in (joins.lookup, joins.skew_safe_left_join):
+        with pytest.raises(ValueError, match="x"):
+            join(df, df, "k")
