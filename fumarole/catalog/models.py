@@ -18,8 +18,10 @@ from fumarole.catalog.tables import KEYED, logged, rounded, staged_panel
 from fumarole.operators import attribution, cleaning, encode, learners, split
 from fumarole.plans import train as jobs
 from fumarole.plans.clean import clean
+from fumarole.plans.explore import write_exploration
 from fumarole.plans.features import features, fit_encoders
 from fumarole.session import materialise, stage_path
+from fumarole.sources.files import read_table
 
 LABEL = "log_scope1_emissions"
 INPUTS = ["log_market_cap", "log_employees"]
@@ -340,3 +342,27 @@ def explain_models(spark: SparkSession, sf: str) -> DataFrame:
         _clean_features(spark, sf), folder, [vocab.SCOPE1], ["RandomForest"], smoke=True, overrides=SMALL,
     )
     return jobs.explain(spark, folder, [vocab.SCOPE1])[vocab.SCOPE1]
+
+
+@query(
+    S.on_panel(
+        """SELECT 'box_scope1_emissions' AS name, count(DISTINCT sector) AS n_rows FROM clean
+           UNION ALL SELECT 'distribution_scope1_emissions', 50
+           UNION ALL SELECT 'distribution_scope2_emissions', 50
+           UNION ALL SELECT 'missing', 0
+           UNION ALL SELECT 'pairs', least(300, count(*)) FROM clean
+           UNION ALL SELECT 'revenue_vs_scope1', count(*) FROM clean WHERE revenue > 0 AND scope1_emissions > 0
+           UNION ALL SELECT 'sector_medians', count(DISTINCT sector) FROM clean""",
+        *S.CLEAN,
+    )
+)
+def exploration_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """The exploration job: rows of some of the tables it writes."""
+    folder = stage_path(spark, "exploration")
+    names = write_exploration(materialise(clean(make_panel(spark, sf)), "clean"), folder)
+    shown = [
+        "box_scope1_emissions", "distribution_scope1_emissions", "distribution_scope2_emissions",
+        "missing", "pairs", "revenue_vs_scope1", "sector_medians",
+    ]
+    rows = [(name, read_table(spark, f"{folder}/{name}").count()) for name in shown if name in names]
+    return spark.createDataFrame(rows, "name string, n_rows long")
