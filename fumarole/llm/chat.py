@@ -2,9 +2,11 @@
 
 Prefix sums of turn tokens cut a conversation into spans of whole turns: a turn belongs to the
 span in whose cell its prefix sum falls. The cell is the room left in the budget by the system
-turn and the history, less the longest turn (at least half the room), so a span fits unless one
-turn alone takes more than half the room. Every window after the first repeats the system turn
-and the last turns before it, up to a history budget; only new assistant texts carry loss.
+turn and the history, less the longest turn (at least half the room). Only the last turn of a cell
+can lead out of the room, and then it begins a span of its own. Every window after the first
+repeats the system turn and the last turns before it, up to a history budget and up to what its
+new turns leave of the whole budget; only new assistant texts carry loss. So every window keeps the
+budget, except that of a turn that does not fit beside the system turn: it is marked.
 
 A turn is ``<|turn|>role``, a line break, the text and ``<|end|>``. Control strings inside roles
 and texts get a backslash behind their first character, and backslashes are doubled, so no text
@@ -110,10 +112,11 @@ def windows(
     budget: int = BUDGET,
     history: int = HISTORY,
 ) -> DataFrame:
-    """(key, window, formatted, loss_spans, n_repeated, n_tokens) of every window.
+    """(key, window, formatted, loss_spans, n_repeated, n_tokens, over_budget) of every window.
 
     ``loss_spans`` are (start, length) in characters of ``formatted``; the first ``n_repeated``
-    turns repeat earlier ones. ``tokens`` counts the tokens of the column ``text``.
+    turns repeat earlier ones. ``over_budget`` marks a turn that does not fit beside the system
+    turn. ``tokens`` counts the tokens of the column ``text``.
     """
     empty = F.lit("")
     rows = turns.select(
@@ -125,7 +128,10 @@ def windows(
     rows = numbered(rows, tokens)
     room = F.greatest(F.lit(budget - history) - F.col("system_tokens"), F.lit(2))
     cell = F.greatest(room - F.col("longest"), F.floor(room / 2))
-    span = F.when(F.col("system"), 0).otherwise(F.floor(F.col("before") / cell))
+    rows = rows.withColumn("cell", F.when(F.col("system"), 0).otherwise(F.floor(F.col("before") / cell)))
+    since = F.min("before").over(Window.partitionBy("c", "cell"))
+    alone = (F.col("before") > since) & (F.col("before") - since + F.col("tokens") > room)
+    span = 2 * F.col("cell") + F.when(F.col("system") | ~alone, 0).otherwise(1)
     body = F.concat(F.lit(TURN), escape_role(F.col("role")), F.lit("\n"))
     rows = rows.withColumns(
         {
@@ -134,17 +140,20 @@ def windows(
             "piece": F.concat(body, escape(F.col("text")), F.lit(END)),
             "target": F.col("role") == "assistant",
         }
-    ).drop("text", "role")
+    ).drop("text", "role", "cell")
     part = ["c", "span", "place", "piece", "head", "tokens"]
     fresh = rows.select(*part, F.lit(False).alias("repeated"), "target")
 
-    spans = rows.where(~F.col("system")).groupBy("c", "span").agg(F.min("before").alias("from"))
-    later = spans.where("span > 0").select(F.col("c").alias("c2"), F.col("span").alias("to"), "from")
+    left = F.lit(budget) - F.max("system_tokens") - F.sum("tokens")
+    spans = rows.where(~F.col("system")).groupBy("c", "span").agg(
+        F.min("before").alias("from"), F.least(F.lit(history), left).alias("allowed")
+    )
+    later = spans.where("span > 0").select(F.col("c").alias("c2"), F.col("span").alias("to"), "from", "allowed")
     again = ["c", F.col("to").alias("span"), *part[2:], F.lit(True).alias("repeated"), F.lit(False).alias("target")]
     system = rows.where("system")
     pieces = fresh.unionByName(system.join(later, system.c.eqNullSafe(later.c2)).select(*again))
     if history > 0:
-        # the turns less than ``history`` tokens before a span lie in two cells of that size
+        # the turns at most ``history`` tokens before a span lie in two cells of that size
         cells = F.array_distinct(
             F.array(F.floor((F.col("from") - history) / history), F.floor((F.col("from") - 1) / history))
         )
@@ -152,7 +161,7 @@ def windows(
         past = rows.where(~F.col("system")).withColumn("hcell", F.floor(F.col("before") / history))
         past = past.withColumnRenamed("hcell", "hcell1")
         near = past.join(looks, past.c.eqNullSafe(looks.c2) & (F.col("hcell1") == F.col("hcell")))
-        near = near.where((F.col("before") < F.col("from")) & (F.col("before") >= F.col("from") - history))
+        near = near.where((F.col("before") < F.col("from")) & (F.col("before") >= F.col("from") - F.col("allowed")))
         pieces = pieces.unionByName(near.select(*again))
 
     ahead = Window.partitionBy("c", "span").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
@@ -168,7 +177,10 @@ def windows(
         F.sort_array(F.collect_list("loss")).alias("loss_spans"),
         F.count_if("repeated").alias("n_repeated"),
         F.sum("tokens").alias("n_tokens"),
-    ).select(F.col("c").alias(key), F.col("span").alias("window"), "formatted", "loss_spans", "n_repeated", "n_tokens")
+    ).select(
+        F.col("c").alias(key), F.col("span").alias("window"), "formatted", "loss_spans", "n_repeated", "n_tokens",
+        (F.col("n_tokens") > budget).alias("over_budget"),
+    )
 
 
 def turns_of(formatted: Column) -> Column:

@@ -99,3 +99,32 @@ def test_empty_table_and_other_columns(spark):
     rows = spark.createDataFrame([(1, 0, "assistant", "a")], SCHEMA).withColumn("span", F.lit(3)).withColumn("c", F.lit(1))
     assert digests(chat.read_back(chat.windows(rows))) == expected([(1, 0, "assistant", "a")])
     assert chat.read_back(chat.windows(rows.where(F.lit(False)))).count() == 0
+
+
+def test_mixed_long_turns_keep_the_budget(spark):
+    rng = random.Random(9)
+    budget, history, rows = 512, 128, []
+    for c in range(60):
+        system = rng.choice([0, 0, 40, 900])
+        if system:
+            rows.append((c, 0, "system", "s" * system))
+        for t in range(1, rng.randint(2, 40)):
+            size = rng.choice([0, 10, 60, 300, 780, 900, 1500, 1900, 1990, 2600])
+            rows.append((c, t, rng.choice(["user", "assistant"]), f"{t:02d}" + "x" * size))
+    table = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    cost = lambda text: -(-len(text) // 4) + 4
+    systems = {c: cost(x) for c, _, r, x in rows if r == "system"}
+    alone = {c: 0 for c, *_ in rows}
+    for c, _, r, x in rows:
+        alone[c] += r != "system" and systems.get(c, 0) + cost(x) > budget
+    found = chat.windows(table, budget=budget, history=history)
+    over = dict.fromkeys(alone, 0)
+    for w in found.collect():
+        pieces = w.formatted.split(chat.TURN)[1:]
+        new = [p for p in pieces[w.n_repeated :] if not p.startswith("system\n")]
+        assert w.over_budget == (w.n_tokens > budget)
+        if w.over_budget:
+            over[w.conv_id] += 1
+            assert len(new) == 1 and all(p.startswith("system\n") for p in pieces if p not in new)
+    assert over == alone and sum(alone.values()) > 20
+    assert digests(chat.read_back(found)) == expected(rows)
