@@ -20,11 +20,11 @@ from pyspark.sql import DataFrame, SparkSession
 from fumarole.llm import textarrays as ta
 
 #: Highest share of a text's word characters inside repeated n-grams, by n-gram length. The
-#: first occurrence counts too, so a passage that stands there twice counts in full.
-NGRAM_SHARES = {5: 0.30, 6: 0.28, 7: 0.26, 8: 0.24, 9: 0.22, 10: 0.20}
+#: first occurrence counts too. All are tighter than the base rule's share of words in 5-grams.
+NGRAM_SHARES = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 #: Highest share of lines equal to an earlier line, and of characters on such lines.
-LINE_SHARE = 0.40
-LINE_CHAR_SHARE = 0.20
+LINE_SHARE = 0.20
+LINE_CHAR_SHARE = 0.10
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 

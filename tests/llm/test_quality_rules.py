@@ -65,3 +65,26 @@ def test_rows_and_clashing_columns(spark):
     for r in found.collect():
         assert {k: r[k] for k in qr.MEASURES} == brute(r.text)
     assert qr.repetition_rules(docs.where(F.lit(False))).count() == 0
+
+
+def passages(n, total):
+    """``total`` words of one length, all different but for a passage of ``n`` that stands twice."""
+    words = [f"w{i:04d}" for i in range(total - n)]
+    return " ".join(words[:n] + words[n : 2 * n] + words[:n] + words[2 * n :])
+
+
+def test_each_rule_rejects_texts_that_pass_the_base_rule():
+    totals = {5: 60, 6: 83, 7: 104, 8: 128, 9: 157, 10: 190}
+    whole = [passages(n, total) for n, total in totals.items()]
+    lone = [" ".join(f"l{i}w{j}" for j in range(9)) for i in range(11)]
+    short = "\n".join(x for i, line in enumerate(lone) for x in ([line, "x"] if i < 5 else [line]))
+    wide = " ".join(c * 20 for c in "abcd")
+    long = "\n".join([lone[0], wide, *lone[1:6], wide, *lone[6:9]])
+    found = qr.measure(pa.array([*whole, short, long, passages(5, 80), lone[0]]))
+    shares = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
+    for i, n in enumerate(totals):
+        fails = [m for m, s in shares.items() if found[f"dup_{m}gram_chars"][i] > s * found["word_chars"][i]]
+        assert fails == [n]
+    assert found["n_dup_lines"].tolist()[6:8] == [4, 1] and not found["n_repeat_words"][6:8].any()
+    assert not found["base_failed"][:9].any()
+    assert found["kept"].tolist() == [False] * 8 + [True, False]
