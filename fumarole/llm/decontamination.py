@@ -2,10 +2,14 @@
 
 Texts and items are brought to a normal form: lower case, runs of ASCII letters, digits and all
 non-ASCII characters, joined by one space. An item of ``n`` bytes may differ from a passage by
-``budget`` edits (inserted, dropped or replaced bytes). It is split into ``budget + 1`` pieces;
-whatever the edits, one piece is left whole. One narrow pass hashes every place of a text, looks
-the hashes up among the pieces' heads, compares whole pieces, and verifies the surroundings of
-each hit with Myers' bit-parallel distance.
+``budget`` edits (inserted, dropped or replaced bytes), a tenth of its length. It is split into
+``budget + 1`` pieces; whatever the edits, one piece is left whole. One narrow pass hashes every
+place of a text, looks the hashes up among the pieces' heads, compares whole pieces, and verifies
+the surroundings of each hit with Myers' bit-parallel distance.
+
+Pieces in groups of two and of four sort out most hits before that. A match of at most ``budget``
+edits has fewer edits than pieces in some group of four, then in some pair in it, then in some
+piece in that; so a hit counts only if its pair and its group are that near.
 
 The items are a stated query set. They go to the tasks in blocks of bounded size, one pass over
 the documents for each block, so neither the driver nor a task holds more than a block of them.
@@ -13,7 +17,7 @@ Hits of one item in one text are merged before verification, so its cost is boun
 length of the text however often a piece occurs there.
 
 Defined cases: null texts and items count as empty and match nothing; an item without letters or
-digits matches nothing; items shorter than a piece must occur exactly; equal items are all
+digits matches nothing; items shorter than ten bytes must occur exactly; equal items are all
 reported; repeated rows are reported each; empty tables give empty results.
 """
 
@@ -29,9 +33,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fumarole.llm import textarrays as ta
 
-#: Edits allowed as a share of an item's length, as far as pieces keep their least length.
+#: Edits allowed as a share of an item's length.
 RATE = 0.10
-PIECE = 12
+#: Most bytes of a piece's head; at this rate the pieces of long items have nine or ten bytes.
+PIECE = 9
+#: Pieces in the groups that are tested before a whole item, each a multiple of the one before.
+GROUPS = (2, 4)
+#: Tested places that are remembered, as repeated passages are tested again and again.
+TESTED = 100_000
 #: Bytes of normal items in one block.
 BLOCK_BYTES = 8 << 20
 #: Bits of the table that sorts out most places before the look-up.
@@ -54,8 +63,8 @@ def normal(texts: pa.Array) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
     return joined, edges[words.first], edges, words.first
 
 
-def edit_budget(length: int, rate: float = RATE, piece: int = PIECE) -> int:
-    return max(0, min(int(length * rate), length // piece - 1))
+def edit_budget(length: int, rate: float = RATE) -> int:
+    return max(0, min(int(length * rate), length - 1))
 
 
 @dataclass
@@ -65,23 +74,25 @@ class Items:
     ids: list
     texts: list[bytes]
     budgets: list[int]
+    cuts: list[list[int]] = field(default_factory=list)
     tables: list[tuple] = field(default_factory=list)
 
     @classmethod
     def of(cls, ids: list, texts: list[str | None], rate: float = RATE, piece: int = PIECE) -> Items:
         joined, bounds, _, _ = normal(pa.array(texts, pa.string()))
         forms = [joined[a : max(a, b - 1)] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-        block = cls(list(ids), forms, [edit_budget(len(f), rate, piece) for f in forms])
+        block = cls(list(ids), forms, [edit_budget(len(f), rate) for f in forms])
         heads: dict[int, list[tuple[int, int, int]]] = {}
         for i, form in enumerate(forms):
             parts = block.budgets[i] + 1
             cuts = [len(form) * j // parts for j in range(parts + 1)]
-            for a, b in zip(cuts, cuts[1:]):
+            block.cuts.append(cuts)
+            for j, (a, b) in enumerate(zip(cuts, cuts[1:])):
                 if b > a:
-                    heads.setdefault(min(piece, b - a), []).append((i, a, b - a))
+                    heads.setdefault(min(piece, b - a), []).append((i, j, a))
         for width, pieces in sorted(heads.items()):
             place = np.array(pieces, np.int64)
-            text = np.frombuffer(b"".join(forms[i][a : a + width] for i, a, _ in pieces), np.uint8)
+            text = np.frombuffer(b"".join(forms[i][a : a + width] for i, _, a in pieces), np.uint8)
             hashes = place_hashes(text, width)[::width]
             order = np.argsort(hashes, kind="stable")
             table = np.zeros(1 << TABLE_BITS, bool)
@@ -131,10 +142,36 @@ def best_end(pattern: bytes, text: bytes, anchored: bool = False) -> tuple[int,
     return best, at
 
 
+def groups_near(
+    block: Items, item: int, piece: int, joined: bytes, place: int, low: int, high: int, tested: dict
+) -> bool:
+    """Whether the groups of a piece found whole at ``place`` have fewer edits than pieces."""
+    form, cuts = block.texts[item], block.cuts[item]
+    had = 1
+    for many in GROUPS:
+        first = piece - piece % many
+        last = min(first + many, len(cuts) - 1)
+        slack = last - first - 1
+        if last - first > had:
+            had = last - first
+            a = max(low, place - cuts[piece] + cuts[first] - slack)
+            b = min(high, place - cuts[piece] + cuts[last] + slack)
+            known = item, first, many, joined[a:b]
+            near = tested.get(known)
+            if near is None:
+                if len(tested) >= TESTED:
+                    tested.clear()
+                near = tested[known] = best_end(form[cuts[first] : cuts[last]], joined[a:b])[0] <= slack
+            if not near:
+                return False
+    return True
+
+
 def hits_of(joined: bytes, bounds: np.ndarray, block: Items) -> dict[tuple[int, int], list[tuple[int, int]]]:
     """Byte spans to verify, by (text, item), around every place that holds a whole piece."""
     data = np.frombuffer(joined, np.uint8)
     found: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    tested: dict[tuple, bool] = {}
     for width, hashes, pieces, table in block.tables:
         here = place_hashes(data, width)
         places = np.flatnonzero(table[here >> np.uint64(64 - TABLE_BITS)])
@@ -145,12 +182,17 @@ def hits_of(joined: bytes, bounds: np.ndarray, block: Items) -> dict[tuple[int,
         rows = zip(
             np.repeat(places, many).tolist(), np.repeat(owner, many).tolist(), pieces[which].tolist()
         )
-        for place, text, (item, offset, size) in rows:
+        for place, text, (item, piece, offset) in rows:
             form = block.texts[item]
-            end = int(bounds[text + 1])
-            if place + size <= end and joined[place : place + size] == form[offset : offset + size]:
+            size = block.cuts[item][piece + 1] - offset
+            low, end = int(bounds[text]), int(bounds[text + 1])
+            if (
+                place + size <= end
+                and joined[place : place + size] == form[offset : offset + size]
+                and groups_near(block, item, piece, joined, place, low, end, tested)
+            ):
                 slack = block.budgets[item]
-                a = max(int(bounds[text]), place - offset - slack)
+                a = max(low, place - offset - slack)
                 found.setdefault((text, item), []).append((a, min(end, place - offset + len(form) + slack)))
     return found
 

@@ -113,3 +113,34 @@ def test_a_common_piece_in_a_long_text_is_verified_once():
     text = pa.array(["spam " * 50_000])
     assert len(dc.hits_of(*dc.normal(text)[:2], block)) == 1
     assert dc.matches(text, block) == []
+
+
+def test_a_tenth_of_an_item_may_be_edited(spark):
+    item = "which of these seven rivers crosses most borders before it reaches the black sea?"
+    near = item.replace("rivers", "shoals")
+    assert len(plain_form(item)) == 80 and substring_distance(plain_form(item), plain_form(near)) in range(5, 9)
+    items = spark.createDataFrame([(1, item)], "item_id int, text string")
+    docs = spark.createDataFrame([(1, f"One, {near} and more")], "doc_id long, text string")
+    assert dc.leaks(docs, items).count() == 1 and dc.without_leaks(docs, items).count() == 0
+
+
+def test_matches_brute_force_with_a_budget_of_a_tenth():
+    rng = random.Random(23)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(1, 7)))
+    items = [" ".join(word() for _ in range(rng.randint(1, 45))) for _ in range(25)]
+    texts = []
+    for source in items * 8:
+        cut = edited(rng, source, rng.randint(0, len(source) // 8 + 1))
+        texts.append(" ".join([*(word() for _ in range(rng.randint(0, 9))), cut, word()]))
+    forms = [plain_form(x) for x in items]
+    want = set()
+    for t, text in enumerate(texts):
+        for i, form in enumerate(forms):
+            if i == t % 25 or len(form) < 20:
+                distance = substring_distance(form, plain_form(text))
+                if distance <= len(form) // 10:
+                    want.add((t, i, distance))
+    block = dc.Items.of(list(range(25)), items)
+    found = {m[:3] for m in dc.matches(pa.array(texts), block)}
+    assert len(want) > 100 and want <= found
+    assert all(substring_distance(forms[i], plain_form(texts[t])) == d <= len(forms[i]) // 10 for t, i, d in found)
