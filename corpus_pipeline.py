@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from fumarole.llm.byte_bpe import encoded
 from fumarole.llm.decontamination import without_leaks
 from fumarole.llm.quality_rules import repetition_rules
-from fumarole.llm.simhash import keep_one
+from fumarole.llm.simhash import one_of_each
 from fumarole.llm.substrings import cut_repeats
 from fumarole.session import materialise
 
@@ -30,7 +30,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, with the smallest id, of each group of near-duplicates."""
-    return keep_one(docs).select(*docs.columns)
+    return one_of_each(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -201,6 +201,45 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     return docs.join(losers, key, "left_anti")
 
 
+def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Exactly one row of ``docs`` for each component: that with the smallest key, a null key last,
+    then the smallest fingerprint.
+
+    The rows are written once with a number and a fingerprint. The number tells apart rows that
+    repeat a key or have none, and stays the same when a task is run again.
+    """
+    inner = [f"c{i}" for i in range(len(docs.columns))]
+    own, body = (inner[docs.columns.index(c)] for c in (key, text))
+    plain = docs.toDF(*inner).withColumn("row", F.monotonically_increasing_id())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in ta.chunks(batch, body):
+                found = fingerprints(part.column(body)).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array(found)], [*part.schema.names, "fp"]
+                )
+
+    schema = [f"{f.name} {f.dataType.simpleString()}" for f in plain.schema]
+    rows = materialise(plain.mapInArrow(run, ", ".join([*schema, "fp long"])), "numbered")
+    best = F.min(F.struct(F.col(own).isNull().alias("none"), F.col(own).alias("key"), "row"))
+    classes = rows.groupBy("fp").agg(best.alias("best"), F.count("*").alias("n"))
+    classes = materialise(classes, "classes")
+    roots = components(links(classes.select("fp")))
+    members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    linked = classes.join(members, classes.fp == members.node, "left").where("n > 1 or root is not null")
+    linked = linked.select("fp", "best", F.coalesce("root", "fp").alias("root"))
+    first = F.min(F.struct("best.none", "best.key", "fp", "best.row"))
+    stays = linked.groupBy("root").agg(first.alias("first"))
+    stays = linked.select("fp", "root").join(stays, "root").select("fp", F.col("first.row").alias("stays"))
+    # rows of a frequent fingerprint are spread over several copies of its class
+    salted = stays.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")
+    lost = rows.select("row", "fp").withColumn("salt", salt).join(salted, ["fp", "salt"])
+    lost = lost.where("row != stays").select("row")
+    return rows.join(lost, "row", "left_anti").select(*inner).toDF(*docs.columns)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicates(docs).select(

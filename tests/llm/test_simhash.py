@@ -123,3 +123,20 @@ def test_popcount_vector_bounds_the_bit_distance(spark):
             abs((r.a >> s & 3).bit_count() - (r.b >> s & 3).bit_count()) for s in range(0, 64, 2)
         ]
         assert r.m == sum(segments) <= ((r.a ^ r.b) & (1 << 64) - 1).bit_count()
+
+
+def test_one_row_of_each_component_stays_whole(spark):
+    from fumarole.llm.substrings import cut_repeats
+
+    long = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcde"]
+    rows = [(7, long[0], 1), (7, long[0], 2), (None, long[1], 3), (None, long[1], 4), (5, long[2], 5),
+            (9, long[2], 6), (9, long[3], 7), (None, long[4], 8), (3, long[4], 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3)
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    want = [(None, long[1]), (3, long[4]), (5, long[2]), (7, long[0]), (9, long[3])]
+    found = sorted(((r.doc_id, r.text) for r in kept.collect()), key=lambda r: r[0] or -1)
+    assert found == want
+    left = cut_repeats(kept).select("doc_id", "kept_text").collect()
+    assert sorted((tuple(r) for r in left), key=lambda r: r[0] or -1) == want
+    assert simhash.one_of_each(docs.where(F.lit(False))).count() == 0
