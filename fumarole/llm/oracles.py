@@ -105,6 +105,71 @@ FROM w LEFT JOIN again USING (conv_id)
 """
 
 
+FILTER_AUDIT = r"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+least_id AS (SELECT text, min(doc_id) AS least FROM t GROUP BY text),
+lab AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good,
+        max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+      list_filter(['A', 'B', 'C', 'D', 'E'], lambda x: CASE x
+        WHEN 'A' THEN len(ws) < 50
+        WHEN 'B' THEN 100 * len(list_distinct(ws)) < 65 * len(ws)
+        WHEN 'C' THEN 100 * length(regexp_replace(t.text, '[^A-Z]', '', 'g')) > 5 * length(t.text)
+        WHEN 'D' THEN regexp_matches(t.text, '[#$%&*|]')
+        ELSE least IS NOT NULL AND (t.doc_id IS NULL OR least < t.doc_id) END) AS fails
+      FROM t JOIN least_id USING (text) LEFT JOIN lab ON t.doc_id = lab.doc_id),
+c AS (SELECT part, list_sort(fails) AS fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+p AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e
+      WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, step, filter_order[step] AS own, string_split(filter_order[1:step - 1], '') AS before
+      FROM p, (SELECT unnest(range(1, 6)) AS step)),
+r AS (SELECT part, filter_order, step, own,
+      sum(CASE WHEN NOT list_contains(fails, own) AND NOT list_has_any(fails, before) THEN n ELSE 0 END) AS kept,
+      sum(CASE WHEN list_contains(fails, own) AND NOT list_has_any(fails, before) THEN n ELSE 0 END) AS removed,
+      sum(CASE WHEN list_contains(fails, own) AND list_has_any(fails, before) THEN n ELSE 0 END) AS redundant,
+      sum(CASE WHEN fails = [own] THEN n ELSE 0 END) AS unique_fails,
+      sum(CASE WHEN list_contains(fails, own) AND NOT list_has_any(fails, before) THEN good ELSE 0 END) AS good_lost,
+      sum(CASE WHEN list_contains(fails, own) AND NOT list_has_any(fails, before) THEN toxic ELSE 0 END) AS toxic_lost
+      FROM c, s GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r
+"""
+
+
+def _centroids(count: int = 16, rounds: int = 3) -> str:
+    def nearest(n: int) -> str:
+        return f"""
+a{n} AS (SELECT vec_id, row, v, min_by(cluster, (distance, cluster)) AS cluster, min(distance) AS distance
+  FROM (SELECT kept.*, cluster, CAST(list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS distance
+        FROM kept, c{n}) GROUP BY vec_id, row, v)"""
+
+    def moved(n: int) -> str:
+        return f"""
+m{n} AS (SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c
+  FROM (SELECT cluster, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n
+        FROM (SELECT cluster, unnest(v) AS x, unnest(range(1, 65)) AS i FROM a{n}) GROUP BY cluster, i) GROUP BY cluster),
+c{n + 1} AS (SELECT cluster, coalesce(m{n}.c, c{n}.c) AS c FROM c{n} LEFT JOIN m{n} USING (cluster))"""
+
+    steps = ",".join(nearest(n) + "," + moved(n) for n in range(rounds))
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER () AS row,
+         list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')), v) - 1 AS cluster, v AS c FROM kept
+       ORDER BY cluster LIMIT {count}),{steps},{nearest(rounds)}
+SELECT vec_id, CAST(a{rounds}.cluster AS INTEGER) AS cluster, distance,
+       CAST(sum(distance) OVER (PARTITION BY a{rounds}.cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON a{rounds}.cluster = c{rounds}.cluster
+"""
+
+
 URL_LISTS = r"""
 WITH u AS (SELECT page_id, url,
     regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)), '\.$', '') AS host,
@@ -134,5 +199,7 @@ SQL = {
     "op1_chat_windows": _chat(),
     "op2_quality_rules": _quality_rules(),
     "op3_url_lists": URL_LISTS,
+    "op11_filter_audit": FILTER_AUDIT,
+    "op12_centroids": _centroids(),
     "op5_substrings": _substrings(),
 }

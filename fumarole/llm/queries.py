@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from fumarole.llm import oracles
 from fumarole.llm.byte_bpe import op7_byte_bpe
 from fumarole.llm.chat import op1_chat_windows
+from fumarole.llm.clustering import op12_centroids
 from fumarole.llm.decontamination import op9_decontamination
+from fumarole.llm.filter_audit import op11_filter_audit
 from fumarole.llm.quality_classifier import op8_quality_classifier
 from fumarole.llm.quality_rules import op2_quality_rules
 from fumarole.llm.simhash import op4_simhash
@@ -31,6 +33,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_classifier,
         op9_decontamination,
         op10_toxicity,
+        op11_filter_audit,
+        op12_centroids,
     ]
 }
 
