@@ -233,13 +233,9 @@ def steps() -> Column:
         name = "".join(FILTERS[i] for i in order)
         for place, at in enumerate(order):
             before = sum(1 << i for i in order[:place])
-            each.append((name, place + 1, 1 << at, before))
-    return F.array(
-        *[
-            F.struct(F.lit(a).alias("filter_order"), F.lit(b).alias("step"), F.lit(c).alias("own"), F.lit(d).alias("before"))
-            for a, b, c, d in each
-        ]
-    )
+            each.append(f"('{name}', {place + 1}, {1 << at}, {before})")
+    fields = "array<struct<filter_order: string, step: int, own: int, before: int>>"
+    return F.expr(f"cast(array({', '.join(each)}) as {fields})")
 
 
 def audit(found: DataFrame) -> DataFrame:
