@@ -86,14 +86,18 @@ b AS (SELECT *, coalesce(sum(cost) OVER (PARTITION BY conv_id ORDER BY place
       max(cost) OVER (PARTITION BY conv_id) AS longest,
       max(CASE WHEN sys THEN tok ELSE 0 END) OVER (PARTITION BY conv_id) AS sys_tok,
       max(CASE WHEN sys THEN size ELSE 0 END) OVER (PARTITION BY conv_id) AS sys_size FROM q),
-k AS (SELECT *, CASE WHEN sys THEN 0 ELSE before // greatest({room} - longest, {room} // 2) END AS span FROM b),
-spans AS (SELECT conv_id, span, min(before) AS since, max(sys_size) AS sys_size
+e AS (SELECT *, {room} AS room, CASE WHEN sys THEN 0 ELSE before // greatest({room} - longest, {room} // 2) END AS cell FROM b),
+o AS (SELECT *, min(before) OVER (PARTITION BY conv_id, cell) AS opened FROM e),
+k AS (SELECT *, 2 * cell + CASE WHEN NOT sys AND before > opened AND before - opened + tok > room
+                                THEN 1 ELSE 0 END AS span FROM o),
+spans AS (SELECT conv_id, span, min(before) AS since, max(sys_size) AS sys_size,
+                 least({chat.HISTORY}, {chat.BUDGET} - max(sys_tok) - sum(tok)) AS allowed
           FROM k WHERE NOT sys GROUP BY conv_id, span),
 later AS (SELECT * FROM spans WHERE span > 0),
 again AS (SELECT conv_id, sum(size) AS size FROM (
     SELECT conv_id, sys_size AS size FROM later
     UNION ALL SELECT k.conv_id, k.size FROM k JOIN later ON k.conv_id = later.conv_id AND NOT k.sys
-      AND k.before < later.since AND k.before >= later.since - {chat.HISTORY}) GROUP BY conv_id),
+      AND k.before < later.since AND k.before >= later.since - later.allowed) GROUP BY conv_id),
 w AS (SELECT conv_id, count(DISTINCT span) AS n_windows, count(*) AS n_turns, sum(size) AS size,
       sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY place)) AS turns_sha256,
       coalesce(string_agg(CASE WHEN r = 'assistant' THEN x ELSE '' END, '' ORDER BY place), '') AS loss

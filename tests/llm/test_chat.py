@@ -128,3 +128,63 @@ def test_mixed_long_turns_keep_the_budget(spark):
             assert len(new) == 1 and all(p.startswith("system\n") for p in pieces if p not in new)
     assert over == alone and sum(alone.values()) > 20
     assert digests(chat.read_back(found)) == expected(rows)
+
+
+def sizes_by_hand(rows, budget=chat.BUDGET, history=chat.HISTORY):
+    """Windows and formatted characters of each conversation, turn by turn."""
+    def cost(text):
+        return -(-len(text) // 4) + 4
+
+    def size(role, text):
+        def hidden(x):
+            return len(x) + x.count("\\") + sum(x.count(c) for c in chat.CONTROL)
+
+        return len("<|turn|>") + hidden(role) + role.count("\n") + 1 + hidden(text) + len("<|end|>")
+
+    found = {}
+    for conv in {r[0] for r in rows}:
+        turns = sorted((r[1] is not None, r[1] or 0, r[2] or "", r[3] or "") for r in rows if r[0] == conv)
+        turns = [(role, text) for *_, role, text in turns]
+        system = turns[0] if turns[0][0] == "system" else None
+        own = cost(system[1]) if system else 0
+        rest = turns[1:] if system else turns
+        room = max(budget - history - own, 2)
+        cell = max(room - max((cost(x) for _, x in rest), default=0), room // 2)
+        spans, opened, before = {}, {}, 0
+        for role, text in rest:
+            start = opened.setdefault(before // cell, before)
+            late = before > start and before - start + cost(text) > room
+            spans.setdefault((before // cell, late), []).append((before, role, text))
+            before += cost(text)
+        chars = size(*system) if system else 0
+        everything = [turn for part in spans.values() for turn in part]
+        for key, part in spans.items():
+            chars += sum(size(role, text) for _, role, text in part)
+            if key == (0, False):
+                continue
+            chars += size(*system) if system else 0
+            allowed = min(history, budget - own - sum(cost(text) for *_, text in part))
+            first = part[0][0]
+            chars += sum(size(role, text) for at, role, text in everything if first - allowed <= at < first)
+        first = (0, False) not in spans  # the system turn alone is a window too
+        found[conv] = (len(spans) + first, chars)
+    return found
+
+
+def test_windows_and_lengths_equal_a_plain_count(spark):
+    rng = random.Random(12)
+    rows = []
+    for c in range(40):
+        if c % 3 == 0:
+            rows.append((c, 0, "system", "s" * rng.choice([0, 40, 700])))
+        for t in range(1, rng.randint(2, 30)):
+            turn = (c, t // 2 if c % 5 == 0 else t, rng.choice(["user", "assistant", None]), rng.choice([None, "</s>\\", "x" * rng.randint(0, 2200)]))
+            rows += [turn] * rng.choice([1, 1, 1, 2])
+    rows += [(99, 0, "system", "alone")]
+    table = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    found = chat.read_back(chat.windows(table)).collect()
+    assert {r.conv_id: (r.n_windows, r.formatted_chars) for r in found} == sizes_by_hand(rows)
+    real = [tuple(r) for r in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    real += [(-7, 0, "user", FORGED), (-7, 1, "assistant", FORGED)]
+    found = QUERIES["op1_chat_windows"](spark, SF).collect()
+    assert {r.conv_id: (r.n_windows, r.formatted_chars) for r in found} == sizes_by_hand(real)
