@@ -12,6 +12,7 @@ from fumarole.llm.chat import op1_chat_windows
 from fumarole.llm.clustering import op12_centroids
 from fumarole.llm.decontamination import op9_decontamination
 from fumarole.llm.filter_audit import op11_filter_audit
+from fumarole.llm.minhash import op13_minhash
 from fumarole.llm.quality_classifier import op8_quality_classifier
 from fumarole.llm.quality_rules import op2_quality_rules
 from fumarole.llm.simhash import op4_simhash
@@ -35,6 +36,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_toxicity,
         op11_filter_audit,
         op12_centroids,
+        op13_minhash,
     ]
 }
 

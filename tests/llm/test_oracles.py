@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_all_operators_are_registered():
     numbers = sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES)
-    assert numbers == list(range(1, 13))
+    assert numbers == list(range(1, 14))
     assert set(queries.SQL) <= set(queries.QUERIES)
 
 
