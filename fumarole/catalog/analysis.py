@@ -17,6 +17,7 @@ from fumarole.catalog.tables import FOLD_SQL, KEYED, TICKER_FOLD_SQL, rounded, s
 from fumarole.functions import confidence_band
 from fumarole.operators import attribution, cleaning, metrics, profiling, scoring, split
 from fumarole.operators.learners import prepare
+from fumarole.operators.quantiles import quantile_table
 from fumarole.plans.features import add_ratios
 from fumarole.session import materialise, stage_path
 from fumarole.sources.files import read_table, write_table
@@ -66,6 +67,30 @@ def sector_medians(spark: SparkSession, sf: str) -> DataFrame:
     return profiling.group_medians(staged_panel(spark, sf))
 
 
+_UNBOUNDED = """CASE WHEN total_assets < 0 THEN '-infinity'::DOUBLE WHEN reporting_year = 1995 THEN 'infinity'::DOUBLE
+              WHEN reporting_year = 1996 THEN revenue * 1e-320 ELSE revenue END"""
+
+
+@query(
+    S.on_panel(
+        f"""SELECT sector, {', '.join(f'quantile_cont(v, {p}) AS q{round(100 * p)}' for p in (0.01, 0.25, 0.5, 0.75, 0.99))}
+            FROM (SELECT sector, {_UNBOUNDED} AS v FROM panel) GROUP BY sector
+            UNION ALL SELECT 'all', {', '.join(f'quantile_cont(v, {p})' for p in (0.01, 0.25, 0.5, 0.75, 0.99))}
+            FROM (SELECT {_UNBOUNDED} AS v FROM panel)"""
+    )
+)
+def unbounded_quantiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Quantiles of a column with both infinities and denormal numbers, overall and by sector."""
+    year = F.col("reporting_year")
+    v = F.when(F.col("total_assets") < 0, float("-inf")).when(year == 1995, float("inf"))
+    v = v.when(year == 1996, F.col("revenue") * 1e-320).otherwise(F.col("revenue"))
+    rows = make_panel(spark, sf).select("sector", v.alias("v"))
+    probs = [0.01, 0.25, 0.5, 0.75, 0.99]
+    overall = quantile_table(rows, ["v"], probs).withColumn("sector", F.lit("all"))
+    table = quantile_table(rows, ["v"], probs, by=["sector"]).unionByName(overall)
+    return table.select("sector", *[F.get("v", i).alias(f"q{round(100 * p)}") for i, p in enumerate(probs)])
+
+
 @query(
     S.on_panel(
         """SELECT CAST(k AS INTEGER) AS bin, round(lo + k * width, 6) AS lo,

@@ -1,31 +1,70 @@
-"""Exact quantiles by counting buckets, modes, and quantile binning.
-
-Quantiles take one algorithm for all sizes. A first pass finds the range and the number of
-values of every group and column. Then rounds of equal-width bucket counts, combined in the map
-tasks, narrow the range around each wanted rank, for all columns and ranks at once, until what
-is left of each holds one distinct value or a few thousand values; those are counted value by
-value. No step holds the values of a group, and the state is a count for each bucket.
+"""Exact quantiles by counting buckets of bit keys, modes, and quantile binning.
+
+A double becomes a long of the same order: its IEEE bits, negated for negative numbers. So
+infinities and denormals are ordinary values, and a bucket is a shift of the key. The first pass
+counts 16 leading bits of every group and column, combined in the map tasks; each further round
+counts 12 more bits of the buckets that hold a wanted rank and too many values, for all columns
+and ranks at once. After at most ``len(LEVELS)`` rounds all bits are used; mostly one round leaves
+a few thousand values a rank, which are counted value by value. No step holds the values of a
+group, and the state is a count for each bucket.
 """
 
 from __future__ import annotations
 
 import math
-import operator
+import struct
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fumarole.session import materialise, small_table
 
-#: Buckets into which a range is cut in each round.
-BUCKETS = 4096
-#: Values a range may hold and be counted value by value.
+#: Bits that a key is shifted by in each round.
+LEVELS = (48, 36, 24, 12, 0)
+#: Values a bucket may hold and be counted value by value.
 FEW_VALUES = 4096
 #: Relative rank error of the approximate variant is one over this.
 SKETCH_ACCURACY = 100_000
 
+#: Bits of the fraction of a double, its smallest exponent, and the key of infinity.
+FRACTION = 52
+LEAST_EXPONENT = -1022
+INFINITY = 0x7FF << FRACTION
+
+
+def bit_key(c: Column) -> Column:
+    """The order-preserving long of a number; null for null and NaN, 0 for both zeros.
+
+    The exponent comes from a logarithm, corrected by one comparison; all scaling is by powers of
+    two and exact.
+    """
+    x = c.cast("double")
+    size = F.abs(x)
+    guess = F.floor(F.log2(size))
+    power = F.pow(F.lit(2.0), guess)
+    exact = guess + F.when(size < power, -1).when(size >= 2 * power, 1).otherwise(0)
+    exponent = F.greatest(exact, F.lit(LEAST_EXPONENT))
+    scaled = size / F.pow(F.lit(2.0), exponent) * float(1 << FRACTION)
+    bits = (exponent - LEAST_EXPONENT) * (1 << FRACTION) + scaled.cast("long")
+    bits = F.when(size == 0, 0).when(size == float("inf"), INFINITY).otherwise(bits)
+    return F.when(~F.isnan(x), F.when(x < 0, -bits).otherwise(bits))
+
+
+def key_value(key: Column) -> Column:
+    """The number of a bit key."""
+    size = F.abs(key)
+    exponent = F.shiftright(size, FRACTION)
+    part = size.bitwiseAND(F.lit((1 << FRACTION) - 1)).cast("double")
+    least = F.pow(F.lit(2.0), F.lit(float(LEAST_EXPONENT - FRACTION)))
+    normal = (1 + part / float(1 << FRACTION)) * F.pow(F.lit(2.0), exponent + (LEAST_EXPONENT - 1))
+    value = F.when(size == INFINITY, float("inf")).when(exponent == 0, part * least).otherwise(normal)
+    return F.when(key < 0, -value).otherwise(value)
+
+
+def plain_value(key: int) -> float:
+    return math.copysign(struct.unpack("<d", struct.pack("<q", abs(key)))[0], key or 1)
+
 
 def quantile_table(
     df: DataFrame,
@@ -33,13 +72,14 @@ def quantile_table(
     probs: Sequence[float],
     by: Sequence[str] = (),
     approx: bool = False,
-    buckets: int = BUCKETS,
+    levels: Sequence[int] = LEVELS,
     few: int = FEW_VALUES,
 ) -> DataFrame:
     """Linearly interpolated quantiles: the grouping columns, then one array per column.
 
-    Nulls and NaN are skipped; a group without values gives null. The result has one row per
-    group and is broadcast if it proves small. The rows are staged once and read in each pass.
+    Nulls and NaN are skipped; a group without values gives null, and so does a point between the
+    two infinities. The result has one row per group and is broadcast if it proves small. The keys
+    are staged once and read in each pass.
     """
     probs, by = [float(p) for p in probs], list(by)
     if approx:
@@ -50,170 +90,192 @@ def quantile_table(
         return small_table(df.groupBy(*by).agg(*sketch))
     groups = [f"g{i}" for i in range(len(by))]
     named = [F.col(b).alias(g) for b, g in zip(by, groups)]
-    values = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(f"v{i}") for i, c in enumerate(columns)]
-    rows = materialise(df.select(*named, *values), "values")
-    facts = _held(_facts(rows, len(columns), groups), groups)
-    cells = _cells(rows, len(columns), groups)
-
-    ranges, more = _checked(_first_ranges(facts, len(columns), groups, probs, few), groups)
-    while more:
-        ranges, more = _checked(_narrowed(cells, ranges, groups, buckets, few), groups)
-    found = _found(cells, ranges, groups)
-    if not by:
-        return _one_row(found, facts, list(columns), probs)
-    return small_table(_answers(found, facts, list(columns), by, probs))
-
-
-def _held(df: DataFrame, groups: list[str]) -> DataFrame:
-    """The evaluated table: without groups a few rows for each column and wanted rank."""
-    if groups:
-        return small_table(df)
-    return F.broadcast(df.sparkSession.createDataFrame(df.toArrow(), df.schema))
-
-
-def _checked(ranges: DataFrame, groups: list[str]) -> tuple[DataFrame, bool]:
-    """The evaluated ranges, and whether any is still open."""
-    if groups:
-        held = small_table(ranges)
-        return held, held.where("open").limit(1).count() > 0
-    rows = ranges.toArrow()
-    held = F.broadcast(ranges.sparkSession.createDataFrame(rows, ranges.schema))
-    return held, any(rows["open"].to_pylist())
-
-
-def _facts(rows: DataFrame, width: int, groups: list[str]) -> DataFrame:
-    """Range and number of values of each group, column by column."""
-    spans = [
-        expr.alias(f"{name}{i}")
-        for i in range(width)
-        for name, expr in (("lo", F.min(f"v{i}")), ("hi", F.max(f"v{i}")), ("n", F.count(f"v{i}")))
-    ]
-    return rows.groupBy(*groups).agg(*spans)
-
-
-def _cells(rows: DataFrame, width: int, groups: list[str]) -> DataFrame:
-    """One row for each value, with its column's number."""
-    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"v{i}").alias("v")) for i in range(width)])
-    return rows.select(*groups, F.explode(pairs).alias("cell")).select(*groups, "cell.*").where("v is not null")
-
-
-def _first_ranges(
-    facts: DataFrame, width: int, groups: list[str], probs: list[float], few: int
-) -> DataFrame:
-    """(group, i, ranks, lo, hi, below, open): the whole range of every group and column."""
-    each = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("i"),
-                _ranks(F.col(f"n{i}"), probs).alias("ranks"),
-                F.col(f"lo{i}").alias("lo"),
-                F.col(f"hi{i}").alias("hi"),
-                F.lit(0).cast("long").alias("below"),
-                ((F.col(f"n{i}") > few) & (F.col(f"lo{i}") < F.col(f"hi{i}"))).alias("open"),
-            )
-            for i in range(width)
-        ]
+    keys = [bit_key(F.col(c)).alias(f"k{i}") for i, c in enumerate(columns)]
+    rows = materialise(df.select(*named, *keys), "keys")
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"k{i}").alias("k")) for i in range(len(columns))])
+    cells = rows.select(*groups, F.explode(pairs).alias("cell")).select(*groups, "cell.*")
+    if by:
+        return small_table(_by_group(cells, groups, list(columns), by, probs, levels, few))
+    return _overall(df.sparkSession, cells, list(columns), probs, levels, few)
+
+
+def _counted(cells: DataFrame, place: Sequence[str], shift: int) -> DataFrame:
+    """Counts and ranges of keys by ``place`` and the bits left after a shift, as ``p``."""
+    return cells.groupBy(*place, F.shiftright("k", shift).alias("p")).agg(
+        F.count("*").alias("n"), F.min("k").alias("low"), F.max("k").alias("high")
     )
-    return facts.select(*groups, F.explode(each).alias("r")).select(*groups, "r.*").where("lo is not null")
 
 
-def _ranks(n: Column, probs: list[float]) -> Column:
+def _positions(total: int, probs: Sequence[float]) -> list[int]:
     """The ranks, from 0, between which the wanted quantiles lie."""
-    wanted = [step((n - 1) * p).cast("long") for p in probs for step in (F.floor, F.ceil)]
-    return F.array_distinct(F.array(*wanted))
+    return sorted({step((total - 1) * p) for p in probs for step in (math.floor, math.ceil)})
 
 
-def _within(cells: DataFrame, ranges: DataFrame, groups: list[str]) -> DataFrame:
-    """Values that lie in a range, with that range; ranges of a group and column are disjoint."""
-    same = [cells[g].eqNullSafe(ranges[g]) for g in groups]
-    match = (cells["i"] == ranges["i"]) & cells["v"].between(ranges["lo"], ranges["hi"])
-    for s in same:
-        match &= s
-    kept = [ranges[c] for c in (*groups, "i", "ranks", "lo", "hi", "below", "open")]
-    return cells.join(ranges, match).select(*kept, cells["v"])
+def _overall(
+    spark: SparkSession,
+    cells: DataFrame,
+    columns: list[str],
+    probs: list[float],
+    levels: Sequence[int],
+    few: int,
+) -> DataFrame:
+    """Quantiles without groups: the counts of the buckets (a few hundred a column) are ranked on
+    the driver, and the few buckets that hold a wanted rank are broadcast."""
+    first, shift = levels[0], levels[0]
+    known = cells.where("k is not null")
+    counts = [r.asDict() for r in _counted(known, ["i"], shift).collect()]
+    totals = [sum(r["n"] for r in counts if r["i"] == i) for i in range(len(columns))]
+    wanted = [_positions(n, probs) if n else [] for n in totals]
+    found: list[tuple[int, int, int, int]] = []  # column, key, first rank, end of ranks
+    closed: list[tuple] = []
+
+    def ranked(rows: list[dict], below: int, i: int) -> list[dict]:
+        """The rows that hold a wanted rank, with the ranks below them."""
+        held = []
+        for r in sorted(rows, key=lambda r: r["low"]):
+            if any(below <= rank < below + r["n"] for rank in wanted[i]):
+                held.append(r | {"below": below})
+            below += r["n"]
+        return held
+
+    def dealt(held: list[dict]) -> list[dict]:
+        """Sorts buckets into found values, closed buckets and those still open."""
+        still = []
+        for r in held:
+            if r["low"] == r["high"]:
+                found.append((r["i"], r["low"], r["below"], r["below"] + r["n"]))
+            elif r["n"] <= few:
+                closed.append((r["i"], r["low"] >> first, r["low"], r["high"], r["below"]))
+            else:
+                still.append(r)
+        return still
+
+    by_column = [[r for r in counts if r["i"] == i] for i in range(len(columns))]
+    open_ = dealt([r for i, rows in enumerate(by_column) for r in ranked(rows, 0, i)])
+    for shift, next_shift in zip(levels, levels[1:]):
+        if not open_:
+            break
+        places = spark.createDataFrame([(r["i"], r["low"] >> shift) for r in open_], "i int, o long")
+        inside = known.withColumn("o", F.shiftright("k", shift)).join(F.broadcast(places), ["i", "o"])
+        counts = [r.asDict() for r in _counted(inside, ["i", "o"], next_shift).collect()]
+        held = []
+        for r in open_:
+            own = [c for c in counts if c["i"] == r["i"] and c["o"] == r["low"] >> shift]
+            held += ranked(own, r["below"], r["i"])
+        open_ = dealt(held)
+    if closed:
+        places = spark.createDataFrame([c[:4] for c in closed], "i int, o long, from long, to long")
+        inside = known.withColumn("o", F.shiftright("k", first)).join(F.broadcast(places), ["i", "o"])
+        values = inside.where(F.col("k").between(F.col("from"), F.col("to")))
+        counts = [r.asDict() for r in _counted(values, ["i", "from"], 0).collect()]
+        for i, _, low, _, below in closed:
+            own = [{"low": c["p"], "n": c["n"]} for c in counts if c["i"] == i and c["from"] == low]
+            found += [(i, r["low"], r["below"], r["below"] + r["n"]) for r in ranked(own, below, i)]
+
+    def quantile(i: int, p: float) -> float | None:
+        position = (totals[i] - 1) * p
+        low, high = math.floor(position), math.ceil(position)
+        a, b = (next(plain_value(k) for j, k, s, e in found if j == i and s <= rank < e) for rank in (low, high))
+        value = a if a == b else a * (high - position) + b * (position - low)
+        return None if math.isnan(value) else value
 
+    row = [[quantile(i, p) for p in probs] if totals[i] else None for i in range(len(columns))]
+    schema = ", ".join(f"`{c}` array<double>" for c in columns)
+    return F.broadcast(spark.createDataFrame([row], schema))
 
-def _narrowed(
-    cells: DataFrame, ranges: DataFrame, groups: list[str], buckets: int, few: int
-) -> DataFrame:
-    """The ranges after one round: open ones shrink to the buckets that hold a wanted rank."""
-    closed = ranges.where("not open")
-    # halves, so that the widest range does not overflow
-    share = (F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
-    bucket = F.least(F.floor(share * buckets), F.lit(buckets - 1)).alias("bucket")
-    inside = _within(cells, ranges.where("open"), groups)
-    place = [*groups, "i", "lo", "bucket"]
-    counted = (
-        inside.select(*groups, "i", "lo", "ranks", "below", "v", bucket)
-        .groupBy(*place)
-        .agg(
-            F.first("ranks").alias("ranks"),
-            F.first("below").alias("below"),
-            F.count("*").alias("n"),
-            F.min("v").alias("low"),
-            F.max("v").alias("high"),
-        )
+
+def _held(counts: DataFrame, groups: list[str], few: int) -> DataFrame:
+    """Buckets that hold a wanted rank; their rows carry the ranks and the rows ``below`` them."""
+    order = Window.partitionBy(*groups, "i", "o").orderBy("p")
+    ranked = counts.withColumn("end", F.col("below") + F.sum("n").over(order))
+    ranked = ranked.withColumn("start", F.col("end") - F.col("n"))
+    held = ranked.where(
+        F.col("p").isNull() | F.exists("ranks", lambda r: (r >= F.col("start")) & (r < F.col("end")))
     )
-    order = Window.partitionBy(*groups, "i", "lo").orderBy("bucket")
-    end = F.col("below") + F.sum("n").over(order)
-    ranked = counted.withColumn("end", end).withColumn("start", F.col("end") - F.col("n"))
-    held = ranked.where(F.exists("ranks", lambda r: (r >= F.col("start")) & (r < F.col("end"))))
     still = (F.col("n") > few) & (F.col("low") < F.col("high"))
-    return closed.unionByName(
-        held.select(
-            *groups, "i", "ranks", F.col("low").alias("lo"), F.col("high").alias("hi"),
-            F.col("start").alias("below"), still.alias("open"),
-        )
+    return held.select(
+        *groups, "i", "total", "ranks", "n", "low", "high", F.col("start").alias("below"), still.alias("open")
     )
 
 
-def _found(cells: DataFrame, ranges: DataFrame, groups: list[str]) -> DataFrame:
-    """(group, i, v, start, end): the values at the wanted ranks and the ranks they take."""
-    counted = (
-        _within(cells, ranges, groups)
-        .groupBy(*groups, "i", "lo", "v")
-        .agg(F.first("ranks").alias("ranks"), F.first("below").alias("below"), F.count("*").alias("n"))
+def _by_group(
+    cells: DataFrame,
+    groups: list[str],
+    columns: list[str],
+    by: list[str],
+    probs: list[float],
+    levels: Sequence[int],
+    few: int,
+) -> DataFrame:
+    """Quantiles by group: buckets are ranked by windows, and those that hold a wanted rank are
+    joined back by group, column and leading bits. A column without values keeps one empty row."""
+    first = levels[0]
+    own = Window.partitionBy(*groups, "i")
+    total = F.sum(F.when(F.col("p").isNotNull(), F.col("n")).otherwise(0)).over(own)
+    counts = _counted(cells, [*groups, "i"], first).withColumn("total", total)
+    counts = counts.where("p is not null or total = 0")
+    counts = counts.withColumns(
+        {"o": F.lit(0).cast("long"), "below": F.lit(0).cast("long"), "ranks": _ranks(F.col("total"), probs)}
     )
-    order = Window.partitionBy(*groups, "i", "lo").orderBy("v")
-    ranked = counted.withColumn("end", F.col("below") + F.sum("n").over(order))
-    ranked = ranked.withColumn("start", F.col("end") - F.col("n"))
-    held = ranked.where(F.exists("ranks", lambda r: (r >= F.col("start")) & (r < F.col("end"))))
-    return held.select(*groups, "i", "v", "start", "end")
-
-
-def _one_row(found: DataFrame, facts: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
-    """Global quantiles from the few values at the wanted ranks."""
-    held: dict[int, list] = {}
-    for row in found.collect():
-        held.setdefault(row["i"], []).append(row)
-    counts = facts.first()
-
-    def at(i: int, rank: int) -> float:
-        return next(r["v"] for r in held[i] if r["start"] <= rank < r["end"])
+    ranges = small_table(_held(counts, groups, few))
+    known = cells.where("k is not null")
+
+    def inside(held: DataFrame, shift: int) -> DataFrame:
+        held = held.withColumn("o", F.shiftright("low", shift)).withColumnsRenamed({g: f"r_{g}" for g in groups})
+        held = held.withColumnRenamed("i", "r_i")
+        match = (F.col("i") == F.col("r_i")) & (F.shiftright("k", shift) == F.col("o"))
+        for g in groups:
+            match &= F.col(g).eqNullSafe(F.col(f"r_{g}"))
+        return known.join(held, match)
+
+    carried = ["total", "ranks", "below"]
+    for shift, next_shift in zip(levels, levels[1:]):
+        if not ranges.where("open").limit(1).count():
+            break
+        looked = inside(ranges.where("open").select(*groups, "i", "low", *carried), shift)
+        kept = [F.first(c).alias(c) for c in carried]
+        counts = looked.groupBy(*groups, "i", "o", F.shiftright("k", next_shift).alias("p")).agg(
+            F.count("*").alias("n"), F.min("k").alias("low"), F.max("k").alias("high"), *kept
+        )
+        ranges = small_table(ranges.where("not open").unionByName(_held(counts, groups, few)))
+
+    one = ranges.where("low is null or low = high").select(
+        *groups, "i", "total", F.col("low").alias("k"), F.col("below").alias("start"),
+        (F.col("below") + F.col("n")).alias("end"),
+    )
+    several = ranges.where("low < high").select(*groups, "i", "low", "high", *carried)
+    values = inside(several, first).where(F.col("k").between(F.col("low"), F.col("high")))
+    values = values.groupBy(*groups, "i", F.col("low").alias("o"), F.col("k").alias("p")).agg(
+        F.count("*").alias("n"), F.min("k").alias("low"), F.min("k").alias("high"),
+        *[F.first(c).alias(c) for c in carried],
+    )
+    found = _held(values, groups, few).select(
+        *groups, "i", "total", F.col("low").alias("k"), F.col("below").alias("start"),
+        (F.col("below") + F.col("n")).alias("end"),
+    )
+    return _answers(one.unionByName(found), groups, columns, by, probs)
 
-    def quantile(i: int, p: float) -> float:
-        position = (counts[f"n{i}"] - 1) * p
-        low, high = math.floor(position), math.ceil(position)
-        a, b = at(i, low), at(i, high)
-        return a if a == b else a * (high - position) + b * (position - low)
 
-    row = [[quantile(i, p) for p in probs] if counts[f"n{i}"] else None for i in range(len(columns))]
-    schema = ", ".join(f"`{c}` array<double>" for c in columns)
-    return F.broadcast(found.sparkSession.createDataFrame([row], schema))
+def _ranks(n: Column, probs: list[float]) -> Column:
+    """The ranks, from 0, between which the wanted quantiles lie."""
+    wanted = [step((n - 1) * p).cast("long") for p in probs for step in (F.floor, F.ceil)]
+    return F.array_distinct(F.array(*wanted))
 
 
 def _answers(
-    found: DataFrame, facts: DataFrame, columns: list[str], by: list[str], probs: list[float]
+    found: DataFrame, groups: list[str], columns: list[str], by: list[str], probs: list[float]
 ) -> DataFrame:
     """One row a group: its quantiles from the values at the wanted ranks."""
-    groups = [f"g{i}" for i in range(len(by))]
+    value = F.struct("start", "end", key_value(F.col("k")).alias("v"))
     lists = [
-        F.collect_list(F.when(F.col("i") == i, F.struct("start", "end", "v"))).alias(f"f{i}")
+        expr
         for i in range(len(columns))
+        for expr in (
+            F.collect_list(F.when(F.col("i") == i, value)).alias(f"f{i}"),
+            F.max(F.when(F.col("i") == i, F.col("total"))).alias(f"n{i}"),
+        )
     ]
-    wide = found.groupBy(*[F.col(g).alias(f"f_{g}") for g in groups]).agg(*lists)
-    match = reduce(operator.and_, [facts[g].eqNullSafe(wide[f"f_{g}"]) for g in groups])
-    joined = facts.join(wide, match, "left")
+    wide = found.groupBy(*groups).agg(*lists)
 
     def quantiles(i: int) -> Column:
         def at(rank: Column) -> Column:
@@ -226,7 +288,7 @@ def _answers(
 
         return F.when(F.col(f"n{i}") > 0, F.transform(F.array(*[F.lit(p) for p in probs]), one))
 
-    return joined.select(
+    return wide.select(
         *[F.col(g).alias(b) for g, b in zip(groups, by)],
         *[quantiles(i).alias(c) for i, c in enumerate(columns)],
     )
@@ -234,9 +296,8 @@ def _answers(
 
 def _between(low: Column, high: Column, position: Column) -> Column:
     """Linear interpolation between the values at the ranks around a position."""
-    return F.when(low == high, low).otherwise(
-        low * (F.ceil(position) - position) + high * (position - F.floor(position))
-    )
+    value = low * (F.ceil(position) - position) + high * (position - F.floor(position))
+    return F.when(low == high, low).when(~F.isnan(value), value)
 
 
 def quantile_values(
