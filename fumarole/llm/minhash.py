@@ -41,8 +41,8 @@ PERMUTATIONS = 128
 SIMILARITY = 0.8
 #: Bands and their rows.
 BANDS, ROWS = 21, 6
-#: Hex digits of one value in a fingerprint.
-DIGITS = 4
+#: Bytes of one value in a fingerprint.
+VALUE_BYTES = 2
 #: Shingles that go through all permutations at once.
 BLOCK = 1 << 15
 #: Rows that one class of many copies is spread over.
@@ -53,10 +53,12 @@ _rng = np.random.default_rng(20_261_013)
 FACTORS = _rng.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFTS = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
 
+#: Result columns as they are staged: digests and fingerprints as bytes.
 FOUND = (
-    "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+    "n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, "
     "near_edited double, near_next double"
 )
+BYTES = ["edited_sha256", "fingerprint", "edited_fingerprint"]
 
 
 def shingles(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -95,11 +97,9 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a == b).mean(axis=1)
 
 
-def written(rows: np.ndarray) -> list[str]:
-    """Fingerprints as hex strings, first value first."""
-    data = rows.astype(">u2").tobytes().hex()
-    step = DIGITS * PERMUTATIONS
-    return [data[i : i + step] for i in range(0, len(data), step)]
+def written(rows: np.ndarray) -> list[bytes]:
+    """Fingerprints as bytes, first value first."""
+    return [row.tobytes() for row in rows.astype(">u2")]
 
 
 def compared(texts: list[str], own: np.ndarray, after: list[str], following: np.ndarray) -> dict[str, pa.Array]:
@@ -109,9 +109,9 @@ def compared(texts: list[str], own: np.ndarray, after: list[str], following: np.
     theirs = signatures(pa.array(changed, pa.large_string()))
     return {
         "n_chars": pa.array([len(t) for t in texts], pa.int64()),
-        "edited_sha256": pa.array([hashlib.sha256(c.encode()).hexdigest() for c in changed], pa.string()),
-        "fingerprint": pa.array(written(own), pa.string()),
-        "edited_fingerprint": pa.array(written(theirs), pa.string()),
+        "edited_sha256": pa.array([hashlib.sha256(c.encode()).digest() for c in changed], pa.binary()),
+        "fingerprint": pa.array(written(own), pa.binary()),
+        "edited_fingerprint": pa.array(written(theirs), pa.binary()),
         "near_edited": pa.array(likeness(own, theirs), pa.float64()),
         "near_next": pa.array(likeness(own, following), pa.float64()),
     }
@@ -152,7 +152,7 @@ def _neighbours(rows: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays(columns, ["kind", "task", "k", "h", *names, "s"])
 
     def edge(kind: str, key, mark: int, text: str, task: int) -> pa.RecordBatch:
-        kinds = [pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2]
+        kinds = [pa.int64(), *[pa.binary()] * 3, *[pa.float64()] * 2]
         nothing = {name: pa.nulls(1, t) for name, t in zip(names, kinds)}
         return block(kind, task, [key], [mark], nothing, [text])
 
@@ -193,12 +193,13 @@ def edited(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
 
     kind = rows.schema["k"].dataType.simpleString()
     ends = edges.mapInArrow(close, f"k {kind}, h long, {FOUND}")
-    return found.where("kind = 'row'").select(*ends.columns).unionByName(ends)
+    whole = found.where("kind = 'row'").select(*ends.columns).unionByName(ends)
+    return whole.withColumns({c: F.lower(F.hex(c)) for c in BYTES})
 
 
 def bands(fingerprint: Column) -> Column:
-    """One key for each band of a fingerprint."""
-    step = DIGITS * ROWS
+    """One key for each band of a fingerprint in bytes."""
+    step = VALUE_BYTES * ROWS
     return F.array(*[F.xxhash64(F.lit(i), F.substring(fingerprint, 1 + i * step, step)) for i in range(BANDS)])
 
 
@@ -224,6 +225,7 @@ def matches(docs: DataFrame, prints: DataFrame, asked: Column, text: str = "text
     ``prints`` holds (k, h, fingerprint) of every row of ``docs``.
     """
     least = F.min(F.struct("k", "h"))
+    prints = prints.withColumn("fingerprint", F.unhex("fingerprint"))
     classes = prints.groupBy("fingerprint").agg(
         F.count("*").alias("n"), least.alias("of"), F.max(F.coalesce(asked, F.lit(False))).alias("asked")
     )
@@ -247,7 +249,8 @@ def matches(docs: DataFrame, prints: DataFrame, asked: Column, text: str = "text
     both = F.size(F.array_intersect("items", "asking"))
     near = both >= SIMILARITY * (F.size("items") + F.size("asking") - both)
     counted = verified.where(near).join(classes.select("c", "n"), "c").groupBy("q").agg(F.sum("n").alias("others"))
-    asking = classes.where("asked").select("fingerprint", "n", F.col("c").alias("q"))
+    name = F.lower(F.hex("fingerprint")).alias("fingerprint")
+    asking = classes.where("asked").select(name, "n", F.col("c").alias("q"))
     return asking.join(counted, "q", "left").select(
         "fingerprint", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_near")
     )

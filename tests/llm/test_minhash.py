@@ -37,8 +37,8 @@ def check(found, rows, spark):
         half = len(text) // 2
         new = text[: len(text) - half] + after[:half]
         one, two, three = (minhash.signatures(pa.array([t])) for t in (text, new, after))
-        want.append((key, len(text), hashlib.sha256(new.encode()).hexdigest(), minhash.written(one)[0],
-                     minhash.written(two)[0], float((one == two).mean()), float((one == three).mean())))
+        want.append((key, len(text), hashlib.sha256(new.encode()).hexdigest(), minhash.written(one)[0].hex(),
+                     minhash.written(two)[0].hex(), float((one == two).mean()), float((one == three).mean())))
     names = ["k", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     got = [tuple(r[n] for n in names) for r in found.collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
