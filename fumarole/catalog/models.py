@@ -6,15 +6,17 @@ Searches and ensembles are small here; their sizes are parameters of the library
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fumarole import vocab
 from fumarole.catalog import sql as S
-from fumarole.catalog.analysis import _BINNED, _LOGGED, _SPLIT
+from fumarole.catalog.analysis import _BINNED, _LOGGED, _SPLIT, BITS_SQL
 from fumarole.catalog.panel import panel as make_panel
 from fumarole.catalog.registry import query
 from fumarole.catalog.tables import KEYED, logged, rounded, staged_panel
+from fumarole.functions.hashing import key_bits
 from fumarole.operators import attribution, cleaning, encode, learners, split
 from fumarole.plans import train as jobs
 from fumarole.plans.clean import clean
@@ -207,12 +209,9 @@ def _side(name: str) -> str:
     )
 
 
-BOOSTED = ["GradientBoosting", "HistogramBoosting", "OrderedBoosting", "LeafwiseBoosting"]
-
-
 @query(
     S.on_panel(
-        f"""SELECT DISTINCT unnest({S.texts(BOOSTED)}) AS model, r.reporting_year, r.revenue_missing,
+        f"""SELECT DISTINCT 'GradientBoosting' AS model, r.reporting_year, r.revenue_missing,
                    round({_side("first")} + 0.1 * {_side("second")}, 6) AS predicted
             FROM split_rows r, first, second""",
         _LOGGED, _SPLIT_ROWS, *_split_sql("first", "split_rows", "y"),
@@ -223,18 +222,146 @@ BOOSTED = ["GradientBoosting", "HistogramBoosting", "OrderedBoosting", "Leafwise
     )
 )
 def boosting_two_rounds(spark: SparkSession, sf: str) -> DataFrame:
-    """Two rounds of stumps under each boosted preset: the second fits what the first left."""
-    rows, tables = model_rows(spark, sf), None
+    """Two rounds of stumps of plain boosting: the second fits what the first left."""
+    rows = model_rows(spark, sf)
     places = rows.select(*[F.col(c).cast("double").alias(c) for c in SPLIT_INPUTS]).distinct()
-    for name in BOOSTED:
-        one = learners.learners(LABEL)[name]
-        one.regressor._set(maxIter=2, maxDepth=1, stepSize=0.1, subsamplingRate=1.0, featureSubsetStrategy="all")
-        fitted = learners.pipeline(one, SPLIT_INPUTS).fit(rows)
-        table = fitted.transform(places).select(
-            F.lit(name).alias("model"), *SPLIT_INPUTS, F.round("prediction", 6).alias("predicted")
-        )
-        tables = table if tables is None else tables.unionByName(table)
-    return tables
+    one = learners.learners(LABEL)["GradientBoosting"]
+    one.regressor._set(maxIter=2, maxDepth=1, stepSize=0.1, subsamplingRate=1.0, featureSubsetStrategy="all")
+    fitted = learners.pipeline(one, SPLIT_INPUTS).fit(rows)
+    return fitted.transform(places).select(
+        F.lit("GradientBoosting").alias("model"), *SPLIT_INPUTS, F.round("prediction", 6).alias("predicted")
+    )
+
+
+# --- histogram trees ---------------------------------------------------------------------
+
+STEP_INPUTS = ["reporting_year", "revenue_missing", "cap_step"]
+_STEP_ROWS = f"""step_rows AS MATERIALIZED (
+  SELECT {BITS_SQL} AS id, CAST(reporting_year AS DOUBLE) AS reporting_year, {LABEL} AS y,
+         CAST(revenue IS NULL AS DOUBLE) AS revenue_missing, floor(2 * coalesce(log_market_cap, 0)) AS cap_step
+  FROM logged WHERE {LABEL} IS NOT NULL)"""
+_CUTS = "cuts AS (" + " UNION ALL ".join(
+    f"""SELECT {i} AS feature, x, (x + lead(x) OVER (ORDER BY x)) / 2 AS threshold
+        FROM (SELECT DISTINCT {c} AS x FROM step_rows)"""
+    for i, c in enumerate(STEP_INPUTS)
+) + ")"
+
+
+def step_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows with three features of few values, and the key bits that order them."""
+    rows = model_rows(spark, sf).withColumn("cap_step", F.floor(2 * F.col("log_market_cap")).cast("double"))
+    return rows.withColumn("id", key_bits([F.col(k) for k in vocab.KEYS], vocab.SEED))
+
+
+def _soft(g: str, alpha: float) -> str:
+    return f"(sign({g}) * greatest(abs({g}) - {alpha}, 0))"
+
+
+def _gain_sql(name: str, rows: str, alpha: float, penalty: float) -> str:
+    """(leaf, feature, threshold, gain) of every possible split of ``rows`` (leaf, g, features)."""
+    part = lambda g, h: f"{_soft(g, alpha)} ** 2 / ({h} + {penalty})"
+    long = " UNION ALL ".join(f"SELECT leaf, {i} AS feature, {c} AS x, g FROM {rows}" for i, c in enumerate(STEP_INPUTS))
+    return f"""{name} AS MATERIALIZED (
+  SELECT leaf, feature, threshold, {part("gl", "hl")} + {part("(gt - gl)", "(ht - hl)")} - {part("gt", "ht")} AS gain
+  FROM (SELECT leaf, feature, x, sum(g) OVER below AS gl, sum(h) OVER below AS hl,
+               sum(g) OVER (PARTITION BY leaf, feature) AS gt, sum(h) OVER (PARTITION BY leaf, feature) AS ht
+        FROM (SELECT leaf, feature, x, sum(g) AS g, count(*) AS h FROM ({long}) GROUP BY ALL)
+        WINDOW below AS (PARTITION BY leaf, feature ORDER BY x))
+  JOIN cuts USING (feature, x) WHERE threshold IS NOT NULL AND hl < ht)"""
+
+
+_FEATURE_VALUE = "CASE s.feature " + " ".join(f"WHEN {i} THEN r.{c}" for i, c in enumerate(STEP_INPUTS)) + " END"
+
+
+def _grown_sql(steps: int, pick: str, alpha: float, penalty: float) -> list[str]:
+    """Subqueries that grow a tree: each step applies the splits that ``pick`` chooses."""
+    parts = ["r0 AS MATERIALIZED (SELECT '' AS leaf, *, avg(y) OVER () - y AS g FROM step_rows)"]
+    for k in range(steps):
+        parts += [
+            _gain_sql(f"gains{k}", f"r{k}", alpha, penalty),
+            f"s{k} AS MATERIALIZED (SELECT * FROM gains{k} WHERE gain > 1e-9 {pick})",
+            f"""r{k + 1} AS MATERIALIZED (
+              SELECT r.leaf || CASE WHEN s.leaf IS NULL THEN '' WHEN {_FEATURE_VALUE} <= s.threshold THEN 'L' ELSE 'R' END AS leaf,
+                     r.* EXCLUDE (leaf) FROM r{k} r LEFT JOIN s{k} s ON r.leaf = s.leaf)""",
+        ]
+    return parts
+
+
+_LEAF_BEST = "QUALIFY row_number() OVER (PARTITION BY leaf ORDER BY gain DESC, feature, threshold) = 1"
+_BEST = "ORDER BY gain DESC, leaf, feature, threshold LIMIT 1"
+
+
+def _tree_sql(steps: int, alpha: float, penalty: float, rate: float) -> str:
+    splits = " UNION ALL ".join(f"SELECT * FROM s{k}" for k in range(steps))
+    return f"""SELECT leaf AS path, feature, threshold, CAST(NULL AS DOUBLE) AS weight FROM ({splits})
+      UNION ALL SELECT leaf, -1, 0.0, round(-{rate} * {_soft("sum(g)", alpha)} / (count(*) + {penalty}), 6)
+      FROM r{steps} GROUP BY leaf"""
+
+
+def tree_table(model: PipelineModel) -> DataFrame:
+    """The first tree as (path, feature, threshold, weight); the weight of leaves only."""
+    tree = model.stages[-1].nodes().query("tree == 0").set_index("node")
+    rows, open_nodes = [], [(0, "")]
+    while open_nodes:
+        node, path = open_nodes.pop()
+        one = tree.loc[node]
+        leaf = one["feature"] < 0
+        rows.append((path, int(one["feature"]), float(one["threshold"]), round(float(one["value"]), 6) if leaf else None))
+        if not leaf:
+            open_nodes += [(int(one["left"]), path + "L"), (int(one["right"]), path + "R")]
+    schema = "path string, feature int, threshold double, weight double"
+    return SparkSession.active().createDataFrame(rows, schema)
+
+
+def _one_tree(spark: SparkSession, sf: str, name: str, **settings) -> DataFrame:
+    one = learners.learners(LABEL)[name]
+    one.regressor._set(maxIter=1, **settings)
+    return tree_table(learners.pipeline(one, STEP_INPUTS).fit(step_rows(spark, sf)))
+
+
+@query(S.on_panel(_tree_sql(2, 40.0, 5.0, 0.3), _LOGGED, _STEP_ROWS, _CUTS, *_grown_sql(2, _LEAF_BEST, 40.0, 5.0)))
+def regularised_splits(spark: SparkSession, sf: str) -> DataFrame:
+    """One round of regularised histogram boosting, depth two, with both penalties."""
+    return _one_tree(spark, sf, "HistogramBoosting", maxDepth=2, alpha=40.0, lambda_=5.0, stepSize=0.3)
+
+
+@query(S.on_panel(_tree_sql(3, 0.0, 1.0, 0.1), _LOGGED, _STEP_ROWS, _CUTS, *_grown_sql(3, _BEST, 0.0, 1.0)))
+def leafwise_splits(spark: SparkSession, sf: str) -> DataFrame:
+    """One leaf-wise tree with a budget of four leaves: the best leaf is split first."""
+    return _one_tree(spark, sf, "LeafwiseBoosting", numLeaves=4, lambda_=1.0, minInstancesPerNode=1)
+
+
+def _level_sql(k: int, penalty: float) -> list[str]:
+    return [
+        _gain_sql(f"gains{k}", f"r{k}", 0.0, penalty),
+        f"""s{k} AS MATERIALIZED (SELECT feature, threshold, sum(greatest(gain, 0)) AS total FROM gains{k}
+              GROUP BY feature, threshold ORDER BY total DESC, feature, threshold LIMIT 1)""",
+        f"""r{k + 1} AS MATERIALIZED (SELECT r.leaf || CASE WHEN {_FEATURE_VALUE} <= s.threshold THEN 'L' ELSE 'R' END AS leaf,
+              r.* EXCLUDE (leaf) FROM r{k} r, s{k} s)""",
+    ]
+
+
+@query(
+    S.on_panel(
+        """SELECT id, round(mean - 0.5 * coalesce(sum(g) OVER whole / (count(*) OVER whole + 3.0), 0), 6) AS plain,
+                  round(mean - 0.5 * coalesce(sum(g) OVER before / (count(*) OVER before + 3.0), 0), 6) AS ordered
+           FROM (SELECT *, g + y AS mean FROM r2)
+           WINDOW whole AS (PARTITION BY leaf),
+                  before AS (PARTITION BY leaf ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
+        _LOGGED, _STEP_ROWS, _CUTS,
+        "r0 AS MATERIALIZED (SELECT '' AS leaf, *, avg(y) OVER () - y AS g FROM step_rows)",
+        *_level_sql(0, 3.0), *_level_sql(1, 3.0),
+    )
+)
+def ordered_residuals(spark: SparkSession, sf: str) -> DataFrame:
+    """A two-level symmetric tree, and what each row sees of it: the weight its leaf has from all
+    rows, and from the rows before it in the order of the key bits."""
+    rows = VectorAssembler(inputCols=STEP_INPUTS, outputCol="features").transform(step_rows(spark, sf))
+    one = learners.learners(LABEL)["OrderedBoosting"].regressor
+    one._set(maxIter=1, maxDepth=2, stepSize=0.5, lambda_=3.0, orderCol="id")
+    made = one.booster(rows)[0]
+    one.trees(made)
+    return made.rows().select("id", F.round("plain", 6).alias("plain"), F.round("ordered", 6).alias("ordered"))
 
 
 @query(

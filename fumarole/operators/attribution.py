@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fumarole import vocab
+from fumarole.operators.boosting import HistogramModel
 from fumarole.operators.split import hash_sample
 from fumarole.session import stage_path
 
@@ -117,6 +118,10 @@ def tree_leaves(model) -> list[Leaf]:
     Read as columns from the node table of the saved model, which is as large as the model that
     the driver holds already.
     """
+    if isinstance(model, HistogramModel):
+        names = {"left": "leftChild", "right": "rightChild", "feature": "featureIndex", "value": "prediction", "count": "rawCount"}
+        trees = model.nodes().query("tree >= 0").rename(columns=names).groupby("tree")
+        return [leaf for _, tree in trees for leaf in _leaves(tree.to_dict("list"), 1.0)]
     spark = SparkSession.active()
     path = stage_path(spark, "model")
     model.write().save(path)
@@ -148,6 +153,8 @@ def _leaves(tree: Mapping[str, list], weight: float) -> Iterator[Leaf]:
         node, path = open_nodes.pop()
         left, right = tree["leftChild"][node], tree["rightChild"][node]
         if left < 0:
+            if not tree["prediction"][node]:
+                continue  # adds nothing; leaves without training rows are among them
             features = sorted(path)
             bounds = [path[f] for f in features]
             lo, hi, cover = ([b[i] for b in bounds] for i in range(3))
@@ -156,7 +163,7 @@ def _leaves(tree: Mapping[str, list], weight: float) -> Iterator[Leaf]:
         at, threshold = tree["featureIndex"][node], tree["threshold"][node]
         lo, hi, cover = path.get(at, everywhere)
         for child, bounds in ((left, (lo, min(hi, threshold))), (right, (max(lo, threshold), hi))):
-            share = cover * tree["rawCount"][child] / tree["rawCount"][node]
+            share = cover * tree["rawCount"][child] / max(tree["rawCount"][node], 1)  # leaves may be empty
             open_nodes.append((child, {**path, at: (*bounds, share)}))
 
 
@@ -210,7 +217,7 @@ def leaves_phi(group: Leaves, x: np.ndarray) -> np.ndarray:
 def tree_attributions(df: DataFrame, model, names: Sequence[str]) -> DataFrame:
     """Path-dependent tree attributions, batch by batch in each task."""
     leaves = tree_leaves(model)
-    base = tree_base(leaves)
+    base = tree_base(leaves) + (model.base if isinstance(model, HistogramModel) else 0.0)
     shared = SparkSession.active().sparkContext.broadcast(by_length(leaves))
     names = list(names)
 
@@ -369,7 +376,7 @@ def attributions(
         df = hash_sample(df, cap, [ROW])
     df = before_assembly(model).transform(df)
     last = model.stages[-1]
-    if isinstance(last, (RandomForestRegressionModel, GBTRegressionModel)):
+    if isinstance(last, (RandomForestRegressionModel, GBTRegressionModel, HistogramModel)):
         return tree_attributions(df, last, names)
     if isinstance(last, LinearRegressionModel):
         coefficients, intercept = raw_coefficients(model, names)

@@ -18,6 +18,7 @@ from pyspark.util import inheritable_thread_target
 
 from fumarole import vocab
 from fumarole.functions.maths import safe_log1p
+from fumarole.operators.boosting import HistogramTrees
 from fumarole.operators.encode import GroupMean
 from fumarole.sources.dimensions import local_table
 
@@ -56,8 +57,8 @@ class Learner:
 def learners(label: str, seed: int = vocab.SEED, smoke: bool = False) -> dict[str, Learner]:
     """The registry by model name; ``smoke`` keeps the first two values of each grid axis.
 
-    The three boosting variants are presets of MLlib's boosted trees: penalties, ordered
-    boosting and leaf budgets have no MLlib counterpart, column sampling and depth do.
+    Linear, forest and plain boosting are MLlib's; the three boosting variants are this library's
+    own histogram trees (``operators/boosting.py``).
     """
     tree = {"labelCol": label, "featuresCol": "features", "seed": seed}
     boosted = {**tree, "maxIter": 100, "stepSize": 0.1}
@@ -67,9 +68,16 @@ def learners(label: str, seed: int = vocab.SEED, smoke: bool = False) -> dict[st
         ),
         "RandomForest": Learner("RandomForest", RandomForestRegressor(**tree, numTrees=100, maxDepth=10)),
         "GradientBoosting": Learner("GradientBoosting", GBTRegressor(**boosted, maxDepth=3)),
-        "HistogramBoosting": Learner("HistogramBoosting", GBTRegressor(**boosted, maxDepth=6, maxBins=64)),
-        "OrderedBoosting": Learner("OrderedBoosting", GBTRegressor(**boosted, maxDepth=6, subsamplingRate=0.8)),
-        "LeafwiseBoosting": Learner("LeafwiseBoosting", GBTRegressor(**boosted, maxDepth=5)),
+        "HistogramBoosting": Learner(
+            "HistogramBoosting", HistogramTrees(**boosted, growth="level", maxDepth=6, lambda_=1.0)
+        ),
+        "OrderedBoosting": Learner(
+            "OrderedBoosting", HistogramTrees(**boosted, growth="symmetric", maxDepth=6, lambda_=3.0)
+        ),
+        "LeafwiseBoosting": Learner(
+            "LeafwiseBoosting",
+            HistogramTrees(**boosted, growth="leaf", maxDepth=-1, numLeaves=31, minInstancesPerNode=20, lambda_=0.0),
+        ),
     }
     grids = {
         name: {k: values[:2] if smoke else values for k, values in grid.items()}

@@ -240,18 +240,25 @@ GRIDS = {
         "maxDepth": [3, 5, 7, 10],
         "stepSize": [0.01, 0.05, 0.1, 0.2],
         "subsamplingRate": [0.7, 0.8, 0.9, 1.0],
-        "featureSubsetStrategy": ["0.6", "0.8", "1.0"],
+        "columnShare": [0.6, 0.8, 1.0],
+        "alpha": [0.0, 0.1, 1.0],
+        "lambda_": [1.0, 2.0, 5.0],
     },
     "OrderedBoosting": {
         "maxIter": [200, 400, 600],
         "maxDepth": [4, 6, 8, 10],
         "stepSize": [0.01, 0.05, 0.1, 0.2],
+        "lambda_": [1.0, 3.0, 5.0, 7.0],
+        "baggingTemperature": [0.0, 0.5, 1.0],
     },
     "LeafwiseBoosting": {
         "maxIter": [100, 200, 400, 600],
-        "maxDepth": [4, 5, 6, 7],
+        "maxDepth": [3, 5, 7, 10, -1],
         "stepSize": [0.01, 0.05, 0.1, 0.2],
+        "numLeaves": [15, 31, 63, 127],
         "subsamplingRate": [0.7, 0.8, 0.9, 1.0],
-        "featureSubsetStrategy": ["0.6", "0.8", "1.0"],
+        "columnShare": [0.6, 0.8, 1.0],
+        "alpha": [0.0, 0.1, 1.0],
+        "lambda_": [1.0, 2.0, 5.0],
     },
 }
