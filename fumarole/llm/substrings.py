@@ -14,7 +14,8 @@ windows with one anchor form a run: the anchor extended both ways as far as it s
 
 Both window hashes have 64 bits, and runs must agree in anchor and run hash. No step gathers the
 places of an anchor, so a passage in a third of all texts is a counter, not a list. All joins are
-equi-joins on hashes or on the text's key.
+equi-joins on hashes or on the text's key and 96 bits of two hashes of the text. Rows that agree
+in those are copies: they have the same repeats, which are made distinct before they are listed.
 
 Defined cases: a null or empty text, and one shorter than a window, loses nothing; rows repeated
 with the same key and text are repeats of each other; rows with a null key are kept apart by
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fumarole.llm import textarrays as ta
@@ -36,6 +37,8 @@ from fumarole.session import materialise
 
 SIZE = 35
 GRAM = 8
+#: What names a text: its key and two hashes.
+IDENTITY = ["k", "t", "u"]
 #: Bits of a gram's place that break ties between equal hashes.
 PLACE_BITS = np.uint64((1 << 20) - 1)
 
@@ -93,7 +96,7 @@ def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def run_rows(rows: DataFrame, size: int, gram: int) -> DataFrame:
-    """(anchor, run, k, t, start, n, loops) of every run; rows hold key, tag and text."""
+    """(anchor, run, k, t, u, start, n, loops) of every run; rows hold key, tags and text."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,23 +107,22 @@ def run_rows(rows: DataFrame, size: int, gram: int) -> DataFrame:
                     [
                         pa.array(runs["anchor"]),
                         pa.array(runs["run"]),
-                        part.column("k").take(doc),
-                        part.column("t").take(doc),
+                        *(part.column(c).take(doc) for c in IDENTITY),
                         pa.array(runs["start"], pa.int32()),
                         pa.array(runs["n"], pa.int32()),
                         pa.array(runs["loops"].astype(bool)),
                     ],
-                    ["anchor", "run", "k", "t", "start", "n", "loops"],
+                    ["anchor", "run", *IDENTITY, "start", "n", "loops"],
                 )
 
     kind = rows.schema["k"].dataType.simpleString()
     return rows.mapInArrow(
-        emit, f"anchor long, run long, k {kind}, t int, start int, n int, loops boolean"
+        emit, f"anchor long, run long, k {kind}, t long, u int, start int, n int, loops boolean"
     )
 
 
 def window_rows(rows: DataFrame, size: int) -> DataFrame:
-    """(w1, w2, weight, k, t, start) of all windows of the runs listed with each text."""
+    """(w1, w2, weight, k, t, u, start) of all windows of the runs listed with each text."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,26 +145,30 @@ def window_rows(rows: DataFrame, size: int) -> DataFrame:
                             for h in (hashes, hashes2)
                         ),
                         pa.array(np.repeat(weight, n)),
-                        part.column("k").take(doc),
-                        part.column("t").take(doc),
+                        *(part.column(c).take(doc) for c in IDENTITY),
                         pa.array(within, pa.int32()),
                     ],
-                    ["w1", "w2", "weight", "k", "t", "start"],
+                    ["w1", "w2", "weight", *IDENTITY, "start"],
                 )
 
     kind = rows.schema["k"].dataType.simpleString()
-    return rows.mapInArrow(emit, f"w1 long, w2 long, weight long, k {kind}, t int, start int")
+    return rows.mapInArrow(emit, f"w1 long, w2 long, weight long, k {kind}, t long, u int, start int")
 
 
 def same_text(a: DataFrame, b: DataFrame) -> object:
-    return a["k"].eqNullSafe(b["k"]) & (a["t"] == b["t"])
+    return a["k"].eqNullSafe(b["k"]) & (a["t"] == b["t"]) & (a["u"] == b["u"])
+
+
+def tags(text: Column) -> list[Column]:
+    """Two hashes of a text, which with its key name it."""
+    return [F.xxhash64(text).alias("t"), F.hash(text).alias("u")]
 
 
 def repeat_spans(rows: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
-    """(k, t, spans): word spans of each text that repeat somewhere, as (start, length).
+    """(k, t, u, spans): word spans of each text that repeat somewhere, as (start, length).
 
-    ``rows`` holds key ``k``, ``t`` (a hash of the text) and the text ``s``. The spans may
-    overlap; together they are all windows that occur twice.
+    ``rows`` holds key ``k``, the tags ``t`` and ``u`` of the text, and the text ``s``. The spans
+    may overlap; together they are all windows that occur twice.
     """
     runs = materialise(run_rows(rows, size, gram), "runs")
     often = runs.groupBy("anchor").agg(F.count("*").alias("c"), F.max("loops").alias("l"))
@@ -172,26 +178,28 @@ def repeat_spans(rows: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFra
     groups = seeds.groupBy("anchor", "run").agg(
         F.count("*").alias("weight"),
         F.max("loops").alias("loops"),
-        *[F.first(c).alias(c) for c in ("k", "t", "start", "n")],
+        F.first(F.struct(*IDENTITY, "start", "n")).alias("one"),
     )
-    groups = materialise(groups, "groups")
+    groups = materialise(groups.select("anchor", "run", "weight", "loops", "one.*"), "groups")
     shared = groups.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
     open_ = groups.join(shared.withColumn("many", F.lit(True)), "anchor", "left")
     open_ = open_.where("many or loops")
-    listed = open_.groupBy("k", "t").agg(
+    listed = open_.groupBy(*IDENTITY).agg(
         F.collect_list(F.struct("start", "n", "weight")).alias("runs")
     )
-    texts = rows.join(listed, same_text(rows, listed)).select(rows["k"], rows["t"], "s", "runs")
+    texts = rows.join(listed, same_text(rows, listed)).select(*[rows[c] for c in IDENTITY], "s", "runs")
     # rows that repeat key and text would emit their windows twice; their runs have weight two
     windows = materialise(window_rows(texts, size), "windows")
     twice = windows.groupBy("w1", "w2").agg(F.sum("weight").alias("c")).where("c > 1")
     parts = windows.where("weight = 1").join(twice, ["w1", "w2"], "left_semi")
 
     whole = seeds.join(groups.where("weight > 1").select("anchor", "run"), ["anchor", "run"], "left_semi")
-    spans = whole.select("k", "t", "start", (F.col("n") + (size - 1)).alias("words")).unionByName(
-        parts.select("k", "t", "start", F.lit(size).alias("words"))
+    spans = whole.select(*IDENTITY, "start", (F.col("n") + (size - 1)).alias("words")).unionByName(
+        parts.select(*IDENTITY, "start", F.lit(size).alias("words"))
     )
-    return spans.groupBy("k", "t").agg(F.collect_list(F.struct("start", "words")).alias("spans"))
+    # copies bring the same spans: after this a list holds those of one text
+    spans = spans.distinct()
+    return spans.groupBy(*IDENTITY).agg(F.collect_list(F.struct("start", "words")).alias("spans"))
 
 
 def cut(texts: pa.Array, spans: pa.Array) -> dict[str, pa.Array]:
@@ -236,13 +244,13 @@ def cut_repeats(
 ) -> DataFrame:
     """``docs`` with, for each text, its word count, the words removed, the text left and the
     SHA-256 of the words left, joined by one space. Columns of these names are replaced."""
-    tag = F.hash(F.coalesce(F.col(text), F.lit("")))
-    rows = docs.select(F.col(key).alias("k"), tag.alias("t"), F.coalesce(text, F.lit("")).alias("s"))
+    source = F.coalesce(text, F.lit(""))
+    rows = docs.select(F.col(key).alias("k"), *tags(source), source.alias("s"))
     spans = repeat_spans(rows, size, gram)
     kept = docs.select(*[c for c in docs.columns if c not in CUT or c in (text, key)])
     inner = [f"c{i}" for i in range(len(kept.columns))]
-    plain = kept.toDF(*inner).withColumn("t", F.hash(F.coalesce(inner[kept.columns.index(text)], F.lit(""))))
-    plain = plain.withColumn("k", F.col(inner[kept.columns.index(key)]))
+    source = F.coalesce(inner[kept.columns.index(text)], F.lit(""))
+    plain = kept.toDF(*inner).select("*", F.col(inner[kept.columns.index(key)]).alias("k"), *tags(source))
     joined = plain.join(spans, same_text(plain, spans), "left").select(*inner, "spans")
     body = inner[kept.columns.index(text)]
 

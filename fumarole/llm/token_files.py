@@ -149,13 +149,13 @@ class TokenFile:
 
 @functools.cache
 def word_encoder(path: str) -> WordCodes:
-    """The tokenizer of a Python worker. Its normaliser and splitter never join text across
-    ASCII white space, so a text's ids are those of its white-space words, one after another."""
+    """The tokenizer of a Python worker, as the library loads it: control strings in a text take
+    their own ids. Its normaliser, splitter and control strings never join text across ASCII white
+    space, so a text's ids are those of its white-space words, one after another."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
 
     def encode(words: list[bytes]) -> list[list[int]]:
         texts = [w.decode("utf-8") for w in words]

@@ -63,20 +63,46 @@ def test_pipeline_equals_brute_force(spark):
     assert 0 < len(rows) < len(docs)
 
 
+LONG = " ".join(f"word{i}" for i in range(60))
+TAIL = " ".join(f"tail{i}" for i in range(90))
+ODD = [
+    (None, None, None, None, None),
+    (None, LONG + " alpha", "en", "s", 1),
+    (None, " ".join(f"other{i}" for i in range(60)), "en", "s", 2),
+    (1, "", "en", "s", 0),
+    (2, "a b " * 20, "en", "s", 80),
+    (2, "a b " * 20, "en", "s", 80),
+    (3, LONG + " alpha", "en", "s", 5),
+    (4, "head " + LONG + " " + TAIL, "en", "s", 5),
+]
+#: Ids and texts that each stage keeps of ``ODD`` alone, from the definitions.
+KEPT = {
+    "quality rules": [(None, ODD[1][1]), (None, ODD[2][1]), (3, ODD[6][1]), (4, ODD[7][1])],
+    "SimHash near-dedup": [(1, ""), (2, ODD[4][1]), (3, ODD[6][1]), (4, ODD[7][1]), (None, ODD[2][1])],
+    "substring dedup": [
+        (None, None), (None, ""), (None, ODD[2][1]), (1, ""), (2, ""), (2, ""), (3, ""), (4, "head " + TAIL),
+    ],
+    "benchmark decontamination": [(r[0], r[1]) for r in ODD],
+}
+
+
 def test_stages_keep_the_columns_and_odd_rows(spark):
+    """Null ids, empty texts, repeated rows, an empty table, and columns named like results."""
     table = spark.read.parquet(f"{SF}/documents.parquet")
-    odd = spark.createDataFrame(
-        [(None, None, None, None, None), (1, "", "en", "s", 0), (2, "a b " * 20, "en", "s", 80), (2, "a b " * 20, "en", "s", 80)],
-        table.schema,
-    )
-    empty = table.where(F.lit(False))
-    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        for docs in (odd, empty):
+    odd = spark.createDataFrame(ODD, table.schema)
+    clash = {"kept": F.col("n_chars") * 10, "n_words": F.lit("mine"), "kept_text": F.lit(7), "t": F.lit(1), "fp": F.lit(2), "row": F.lit("r")}
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        for docs in (odd, odd.withColumns(clash), table.where(F.lit(False))):
             found = stage(spark, docs, SF)
             rows = found.collect()
-            assert len(rows) <= docs.count()
-            if i < len(corpus_pipeline.STAGES) - 1:
-                assert found.columns == table.columns and found.dtypes == table.dtypes
+            if i == len(corpus_pipeline.STAGES) - 1:
+                assert len(rows) == docs.count()
+                continue
+            assert found.columns == docs.columns and found.dtypes == docs.dtypes
+            if docs.count():
+                assert sorted(((r.doc_id, r.text) for r in rows), key=repr) == sorted(KEPT[name], key=repr), name
+            if docs.count() and "kept" in docs.columns:
+                assert all(r.n_words == "mine" and r.kept_text == 7 and r.row == "r" for r in rows)
     assert [name for name, _ in corpus_pipeline.STAGES] == [
         "quality rules", "SimHash near-dedup", "substring dedup", "benchmark decontamination", "byte-level BPE",
     ]

@@ -82,3 +82,26 @@ def test_one_long_text_repeats_itself(spark):
         1: (80_001, 80_000),
         2: (30_000, 30_000),
     }
+
+
+def test_texts_of_one_tag_without_ids_are_kept_apart(spark):
+    """Two texts whose 32-bit hashes agree share all words but the last."""
+    shared = " ".join(f"w{i}" for i in range(40))
+    tried = spark.range(400_000).select(F.concat(F.lit(shared + " x"), F.col("id").cast("string")).alias("s"))
+    pair = tried.groupBy(F.hash("s")).agg(F.collect_list("s").alias("s")).where("size(s) > 1").first()["s"][:2]
+    rows = spark.createDataFrame([(None, pair[0]), (None, pair[1])], "doc_id long, text string")
+    found = substrings.cut_repeats(rows).collect()
+    assert order((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in found) == order(brute([(None, t) for t in pair], 35))
+    assert {r.kept_text for r in found} == {t.split()[-1] for t in pair}
+
+
+def test_many_copies_of_one_text_list_its_spans_once(spark):
+    draw = random.Random(8)
+    text = " ".join(f"w{draw.randint(0, 10**6)}" for _ in range(100))
+    docs = [(None, text)] * 10_000 + [(1, text + " more"), (2, "head " + text[:300])]
+    rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    tagged = rows.select(F.col("doc_id").alias("k"), *substrings.tags(F.col("text")), F.col("text").alias("s"))
+    spans = {r["k"]: r["spans"] for r in substrings.repeat_spans(tagged).collect()}
+    assert len(spans) == 3 and max(map(len, spans.values())) <= 100
+    got = substrings.cut_repeats(rows).groupBy("doc_id", "n_words", "n_removed").count().collect()
+    assert (None, 100, 100, 10_000) in [tuple(r) for r in got] and (1, 101, 100, 1) in [tuple(r) for r in got]

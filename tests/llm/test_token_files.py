@@ -20,7 +20,6 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 @pytest.fixture(scope="module")
 def library():
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
@@ -98,3 +97,14 @@ def test_many_files_and_edge_rows(spark, library, tmp_path):
     assert sorted(map(tuple, found), key=key) == expected(docs, library)
     none = token_files.write_token_files(rows.where(F.lit(False)), str(tmp_path / "none"), PATH)
     assert token_files.read_token_files(str(tmp_path / "none"), none).count() == 0
+
+
+def test_control_strings_take_the_ids_of_the_plain_library_call(library):
+    texts = [
+        "a <|endoftext|> b", "<|startoftext|>", "x<|startoftext|>y", "<|endoftext|><|endoftext|>", "<|ENDOFTEXT|> b",
+        " <|endoftext|>\n\t<|startoftext|> ", "<|endof text|>", "<|endoftext|", "é<|endoftext|>漢", "a  <|endoftext|>'s",
+    ]
+    ids, first = token_files.token_ids(pa.array(texts), PATH)
+    for text, a, b in zip(texts, first, first[1:]):
+        assert ids[a : b - 1].tolist() == library(text), text
+    assert library("a <|endoftext|> b") == [320, 49407, 321]
