@@ -23,9 +23,17 @@ from fumarole.session import materialise
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def hidden(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The table under names that no operator uses, and those names by the table's own."""
+    names = {c: f"in_{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
-    return repetition_rules(docs).where("kept").select(*docs.columns)
+    rows, names = hidden(docs)
+    kept = repetition_rules(rows, names["text"]).where("kept")
+    return kept.select(*names.values()).toDF(*names)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,10 +43,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the words of passages that occur twice."""
-    cut = cut_repeats(docs)
-    text = F.when(F.col("text").isNotNull(), F.col("kept_text"))
-    left = cut.withColumn("text", text)
-    return left.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    rows, names = hidden(docs)
+    text = names["text"]
+    cut = cut_repeats(rows, text, names["doc_id"])
+    cut = cut.withColumn(text, F.when(F.col(text).isNotNull(), F.col("kept_text")))
+    cut = cut.withColumn(names["n_chars"], F.char_length(text).cast("long"))
+    return cut.select(*names.values()).toDF(*names)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
