@@ -13,7 +13,7 @@ from fumarole.catalog import sql as S
 from fumarole.catalog.panel import panel as make_panel
 from fumarole.catalog.panel import read
 from fumarole.catalog.registry import query
-from fumarole.catalog.tables import FOLD_SQL, KEYED, TICKER_FOLD_SQL, rounded, staged_panel
+from fumarole.catalog.tables import FOLD_SQL, KEYED, rounded, staged_panel
 from fumarole.functions import confidence_band
 from fumarole.operators import attribution, cleaning, metrics, profiling, scoring, split
 from fumarole.operators.learners import prepare
@@ -325,6 +325,10 @@ def held_out_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     return stored.select(*KEYED, *names, "sector")
 
 
+def _greedy(group: str) -> str:
+    return _GREEDY.replace("country", group)
+
+
 _GREEDY = """sizes AS (
   SELECT country, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, country DESC) AS k
   FROM panel GROUP BY country),
@@ -346,10 +350,14 @@ def group_folds(spark: SparkSession, sf: str) -> DataFrame:
     return split.group_folds(make_panel(spark, sf), "country")
 
 
-@query(S.on_panel(f"SELECT ticker, count(*) AS n_rows, {TICKER_FOLD_SQL} AS fold FROM panel GROUP BY ticker"))
+@query(
+    S.on_panel("SELECT ticker, n AS n_rows, fold FROM walk WHERE k > 0", _greedy("ticker")).replace(
+        "WITH", "WITH RECURSIVE", 1
+    )
+)
 def group_folds_many(spark: SparkSession, sf: str) -> DataFrame:
-    """No ticker holds a hundredth of the rows, so all take the fold of their hash."""
-    return split.group_folds(make_panel(spark, sf), "ticker")
+    """Many groups of few sizes, dealt in closed form size by size."""
+    return split.group_folds(make_panel(spark, sf), "ticker", max_rows=100)
 
 
 @query(S.on_panel(f"SELECT ticker, reporting_year, {FOLD_SQL} AS fold FROM panel"))

@@ -579,7 +579,6 @@ def group_mean_train(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(fitted.transform(rows).select("ticker", "reporting_year", *names), names)
 
 
-TICKER_FOLD_SQL = "CAST((('0x' || substr(md5('42|' || ticker), 1, 13))::BIGINT) % 5 AS INTEGER)"
 FOLD_SQL = (
     "CAST((('0x' || substr(md5('42|' || company_name || '|' || reporting_year), 1, 13))::BIGINT) % 5 AS INTEGER)"
 )

@@ -215,7 +215,8 @@ def ranked_values(df: DataFrame, column: str, max_rows: int = SMALL_ROWS) -> Dat
     values = df.select(_text(column).alias("value")).distinct()
     first = values.limit(max_rows + 1).toArrow()
     if first.num_rows > max_rows:
-        return positions(materialise(values, "values"), "value")
+        placed = positions(materialise(values, "values"), "value")
+        return placed.select("value", F.col("position").cast("int").alias("code"))
     return _numbered(df.sparkSession, first["value"].to_pylist())
 
 
@@ -250,18 +251,20 @@ def fit_codes(
     return models
 
 
-def positions(values: DataFrame, column: str) -> DataFrame:
+def positions(values: DataFrame, *order: str | Column) -> DataFrame:
+    """The rows with their ``position`` (a long from 0) in an order: sorted partitions are numbered
+    inside, and each adds the sizes of those before it."""
     placed = F.monotonically_increasing_id()  # partition number, then row number in 33 bits
-    chunk = materialise(
-        values.orderBy(column).select(column, placed.alias("at")), "sorted"
-    ).select(column, F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND((1 << 33) - 1).alias("row"))
-    before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    chunk = materialise(values.orderBy(*order).withColumn("_at", placed), "sorted")
+    chunk = chunk.withColumns({"_part": F.shiftright("_at", 33), "_row": F.col("_at").bitwiseAND((1 << 33) - 1)})
+    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = small_table(
-        chunk.groupBy("part").count().select(
-            "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start")
+        chunk.groupBy("_part").count().select(
+            "_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start")
         )
     )
-    return chunk.join(sizes, "part").select(column, (F.col("start") + F.col("row")).cast("int").alias("code"))
+    placed = chunk.join(sizes, "_part").withColumn("position", F.col("_start") + F.col("_row"))
+    return placed.drop("_part", "_at", "_row", "_start")
 
 
 class _OrdinalParams(Params):

@@ -5,15 +5,16 @@ from __future__ import annotations
 import heapq
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from fumarole import vocab
 from fumarole.functions.hashing import key_bits
+from fumarole.operators.encode import positions
 from fumarole.operators.quantiles import bin_edges, bin_of, quantile_table
-
-#: A group with more than this share of the rows is placed by its size, the others by their hash.
-PLACED_SHARE = 0.01
+from fumarole.session import SMALL_ROWS, materialise, small_table
 
 
 def stratify(df: DataFrame, target: str, bins: int = 5, approx: bool = False) -> DataFrame:
@@ -54,47 +55,73 @@ def train_and_test(split: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
 
 
-def placed_groups(counts: DataFrame, group: str, folds: int) -> list[tuple[object, int]]:
-    """Fold of each group above ``PLACED_SHARE`` of the rows; there are fewer than one over that.
+def dealt(loads: list[int], size: int, count: int) -> list[tuple[int, list[int]]]:
+    """How ``count`` groups of one size go to the lightest folds, as (first rank, turns).
 
-    The largest group goes to the fold with the fewest such rows so far; groups of equal size
-    are taken from the last name to the first.
+    From each first rank on the named folds take turns. A fold joins when the others have caught
+    up with its load, so there are at most as many phases as folds. ``loads`` is brought up to date.
     """
-    known = counts.where(F.col(group).isNotNull())
-    total = known.agg(F.sum("n_rows")).first()[0] or 0
-    rows = known.where(F.col("n_rows") > total * PLACED_SHARE).collect()
-    named = sorted(((str(r[group]), r["n_rows"], r[group]) for r in rows), reverse=True)
-    sizes = sorted(named, key=lambda item: -item[1])
-    loads = [(0, fold) for fold in range(folds)]
-    found = []
-    for _, n, value in sizes:
-        load, fold = heapq.heappop(loads)
-        found.append((value, fold))
-        heapq.heappush(loads, (load + n, fold))
-    return found
-
-
-def group_fold(group: str, placed: Sequence[tuple[object, int]], folds: int, seed: int) -> Column:
-    """Fold of a group value: as placed, else by its hash; null stays null."""
-    by_hash = row_fold([F.col(group)], folds, seed)
-    chosen = F.when(F.col(group).isNull(), F.lit(None).cast("int"))
-    for value, fold in placed:
-        chosen = chosen.when(F.col(group) == F.lit(value), F.lit(fold))
-    return chosen.otherwise(by_hash)
+    waiting = sorted(range(len(loads)), key=lambda f: (loads[f], f))
+    taking, done, phases = [waiting.pop(0)], 0, []
+    while done < count:
+        turns = sorted(taking, key=lambda f: (loads[f], f))
+        take = count - done
+        if waiting:
+            other = waiting[0]
+            ahead = [loads[other] - loads[f] for f in turns]
+            take = min(take, sum(gap // size + 1 if f < other else -(-gap // size) for f, gap in zip(turns, ahead) if gap >= 0))
+            taking.append(waiting.pop(0))
+        if take:
+            phases.append((done, turns))
+            for i, f in enumerate(turns):
+                loads[f] += size * (take // len(turns) + (i < take % len(turns)))
+            done += take
+    return phases
 
 
 def group_folds(
-    df: DataFrame, group: str, folds: int = vocab.FOLDS, seed: int = vocab.SEED
+    df: DataFrame, group: str, folds: int = vocab.FOLDS, max_rows: int = SMALL_ROWS
 ) -> DataFrame:
-    """One row per group: the group, its rows and its fold, for any number of groups.
+    """One row per group: the group, its rows and its fold.
 
-    Groups above ``PLACED_SHARE`` of the rows are spread by size, all others by their key hash;
-    only the former reach the driver.
+    The largest group goes to the fold with the fewest rows so far; groups of equal size are taken
+    from the last name to the first. There are as many folds as groups, at most ``folds``. Up to
+    ``max_rows`` groups are dealt on the driver. Beyond that only the counts of group sizes reach
+    it (n rows have fewer than sqrt(2 n) different sizes): the groups of one size are dealt in
+    closed form, and a group's place in its size comes from sorted partitions.
     """
-    counts = df.groupBy(group).agg(F.count("*").alias("n_rows"))
-    placed = placed_groups(counts, group, folds)
-    known = counts.where(F.col(group).isNotNull())
-    return known.withColumn("fold", group_fold(group, placed, folds, seed))
+    spark = df.sparkSession
+    counts = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("n_rows"))
+    held = counts.persist(StorageLevel.DISK_ONLY)
+    try:
+        few = held.limit(max_rows + 1).toArrow()
+        if few.num_rows > max_rows:
+            counts = materialise(held, "groups")
+    finally:
+        held.unpersist()
+    schema = StructType([df.schema[group], *StructType.fromDDL("n_rows long, fold int")])
+    if few.num_rows <= max_rows:
+        rows = sorted(few.to_pylist(), key=lambda r: str(r[group]), reverse=True)
+        loads = [(0, fold) for fold in range(min(folds, len(rows)))]
+        out = []
+        for row in sorted(rows, key=lambda r: -r["n_rows"]):
+            load, fold = heapq.heappop(loads)
+            heapq.heappush(loads, (load + row["n_rows"], fold))
+            out.append((row[group], row["n_rows"], fold))
+        return F.broadcast(spark.createDataFrame(out, schema))
+
+    sizes = sorted(((r["n_rows"], r["count"]) for r in counts.groupBy("n_rows").count().collect()), reverse=True)
+    loads, at, phases = [0] * min(folds, sum(n for _, n in sizes)), 0, []
+    for size, count in sizes:
+        phases.append((size, [(at + first, turns) for first, turns in dealt(loads, size, count)]))
+        at += count
+    table = spark.createDataFrame(phases, "size long, phases array<struct<first: long, turns: array<int>>>")
+    placed = positions(counts, F.desc("n_rows"), F.desc(F.col(group).cast("string")))
+    joined = placed.join(small_table(table), F.col("n_rows") == F.col("size"))
+    known = F.filter("phases", lambda p: p["first"] <= F.col("position"))
+    phase = F.element_at(known, -1)
+    turn = (F.col("position") - phase["first"]) % F.size(phase["turns"])
+    return joined.select(group, "n_rows", F.get(phase["turns"], turn.cast("int")).alias("fold"))
 
 
 def row_fold(keys: Sequence[Column], folds: int = vocab.FOLDS, seed: int = vocab.SEED) -> Column:
@@ -109,18 +136,14 @@ def add_folds(
     folds: int = vocab.FOLDS,
     seed: int = vocab.SEED,
 ) -> tuple[DataFrame, int]:
-    """Add ``fold`` by group, or by row where there are fewer than two groups.
-
-    Returns the table and the number of folds.
+    """Add ``fold`` by group, or by row where there are fewer than two groups; rows without a
+    group are in fold 0. Returns the table and the number of folds.
     """
     if group is not None and group in df.columns and _two_groups(df, group):
-        counts = df.groupBy(group).agg(F.count("*").alias("n_rows"))
-        fold = group_fold(group, placed_groups(counts, group, folds), folds, seed)
-        # folds that no group fell into are left out of the numbering
-        used = df.where(F.col(group).isNotNull()).select(fold.alias("fold")).distinct().collect()
-        numbers = {fold: i for i, fold in enumerate(sorted(r["fold"] for r in used))}
-        dense = F.coalesce(*[F.when(fold == F.lit(f), F.lit(i)) for f, i in numbers.items()], F.lit(0))
-        return df.withColumn("fold", dense), len(numbers)
+        table = group_folds(df, group, folds).select(F.col(group).alias("_group"), F.col("fold").alias("_fold"))
+        joined = df.join(table, F.col(group) == F.col("_group"), "left")
+        numbered = joined.withColumn("fold", F.coalesce("_fold", F.lit(0))).drop("_group", "_fold")
+        return numbered, min(folds, table.limit(folds).count())
     return df.withColumn("fold", row_fold([F.col(k) for k in keys], folds, seed)), folds
 
 

@@ -76,17 +76,41 @@ def test_sample_is_fixed_size_and_stable(spark):
     assert split.hash_sample(df, 900, ["company_name"]).count() == 500
 
 
-def test_many_small_groups_are_spread_by_hash(spark):
-    sizes = {f"g{i}": 2 for i in range(400)} | {"big": 300, "large": 200}
-    df = spark.createDataFrame([(g,) for g, n in sizes.items() for _ in range(n)] + [(None,)], "g string")
-    got = {r["g"]: (r["fold"], r["n_rows"]) for r in split.group_folds(df, "g").collect()}
-    assert {g: n for g, (_, n) in got.items()} == sizes
-    assert got["big"][0] == 0 and got["large"][0] == 1
-    loads = Counter()
-    for g, (fold, n) in got.items():
-        loads[fold] += n if n == 2 else 0
-    assert set(loads) == set(range(5)) and min(loads.values()) > 100
-    rows, folds = split.add_folds(df.withColumns({"company_name": F.lit("a"), "reporting_year": F.lit(1)}), "g")
-    assert folds == 5 and {(r["g"], r["fold"]) for r in rows.collect()} == {
-        (g, fold) for g, (fold, _) in got.items()
-    } | {(None, 0)}
+@pytest.mark.parametrize("max_rows", [split.SMALL_ROWS, 1])
+@pytest.mark.parametrize("seed, sizes", [(1, [1]), (2, [2, 7]), (3, [1, 2, 3, 50]), (4, list(range(1, 40))), (5, [5, 5, 300])])
+def test_every_group_is_dealt_greedily(spark, max_rows, seed, sizes):
+    draw = random.Random(seed)
+    groups = {f"g{draw.randint(0, 10**6)}": draw.choice(sizes) for _ in range(200)} | {"big": 900, "huge": 4000}
+    df = spark.createDataFrame([(g,) for g, n in groups.items() for _ in range(n)] + [(None,)], "g string").repartition(6)
+    found = split.group_folds(df, "g", max_rows=max_rows).collect()
+    assert {r["g"]: r["n_rows"] for r in found} == groups
+    assert {r["g"]: r["fold"] for r in found} == greedy(groups, 5)
+
+
+def test_phases_deal_like_a_heap():
+    draw = random.Random(6)
+    for _ in range(300):
+        folds = draw.randint(1, 6)
+        start = [draw.randint(0, 40) for _ in range(folds)]
+        size, count = draw.randint(1, 9), draw.randint(1, 60)
+        loads, want = list(start), []
+        for _ in range(count):
+            at = loads.index(min(loads))
+            loads[at] += size
+            want.append(at)
+        after = list(start)
+        phases = split.dealt(after, size, count)
+        got = []
+        for rank in range(count):
+            first, turns = [p for p in phases if p[0] <= rank][-1]
+            got.append(turns[(rank - first) % len(turns)])
+        assert got == want and after == loads and len(phases) <= folds
+
+
+def test_folds_of_rows_without_a_group(spark):
+    df = rows(spark).withColumn("sector", F.when(F.col("sector") != F.lit("none"), F.col("sector")))
+    table, folds = split.add_folds(df, "sector")
+    assert folds == 3 and table.count() == df.count()
+    two = df.limit(40).withColumn("sector", F.when(F.rand(1) < 0.5, "x").when(F.rand(2) < 0.5, "y"))
+    table, folds = split.add_folds(two, "sector")
+    assert folds == 2 and {r["fold"] for r in table.where("sector is null").collect()} <= {0}
