@@ -26,8 +26,6 @@ from fumarole.operators.split import hash_sample
 from fumarole.session import stage_path
 
 ROW = "row_id"
-#: Fewest tasks the growing rows of the sampled attribution are spread over.
-MIN_TASKS = 32
 
 
 def with_row_id(df: DataFrame, keys: Sequence[str] = vocab.KEYS) -> DataFrame:
@@ -291,10 +289,10 @@ def sampled_attributions(
     reference = F.array(*[F.lit([float(v) for v in row]) for row in background])
     x = F.array(*[F.col(c).cast("double") for c in names])
     # rows grow in place, so they are spread by row id first; the sums per row then stay put
-    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MIN_TASKS)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = df.select(ROW, x.alias("x")).repartition(tasks, ROW)
     switched = (
-        df.select(ROW, x.alias("x"))
-        .repartition(tasks, ROW)
+        spread
         .select(ROW, "x", F.explode(plans).alias("plan"))
         .select(ROW, "x", "plan", F.explode(reference).alias("b"))
         .select(ROW, "x", "plan", "b", F.explode(F.sequence(F.lit(0), F.lit(n))).alias("step"))
@@ -308,12 +306,11 @@ def sampled_attributions(
     )
     scored = predict(
         switched.select(
-            ROW, "x", "step", F.col("plan.number").alias("plan"), mixed.alias("inputs")
+            ROW, "step", F.col("plan.number").alias("plan"), mixed.alias("inputs")
         ).withColumn("features", array_to_vector("inputs"))
     )
-    totals = scored.groupBy(ROW, "plan", "step").agg(
-        F.sum("prediction").alias("total"), F.first("x").alias("x")
-    )
+    # numbers only, so that both aggregates hash; the rows' values come back by row id
+    totals = scored.groupBy(ROW, "plan", "step").agg(F.sum("prediction").alias("total"))
 
     # step k switches the k-th feature of the order: it gains the step's total and pays the last
     at = F.get(F.array(*[F.lit(order) for order in orders]), F.col("plan"))
@@ -327,10 +324,11 @@ def sampled_attributions(
     )
     runs = float(len(orders) * len(background))
     sums = (
-        totals.select(ROW, "x", F.explode(gains).alias("g"))
+        totals.select(ROW, F.explode(gains).alias("g"))
         .where("g.i is not null")
         .groupBy(ROW, "g.i")
-        .agg((F.sum("g.change") / runs).alias("phi"), F.first("x").alias("x"))
+        .agg((F.sum("g.change") / runs).alias("phi"))
+        .join(spread, ROW)
     )
     spark = df.sparkSession
     at_background = predict(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from multiprocessing.pool import ThreadPool
 
@@ -124,11 +124,19 @@ def pipeline(learner: Learner, names: Sequence[str], first: Sequence[Estimator]
 
 @dataclass
 class Fit:
-    """A fitted pipeline, its cross-validated error and the settings it was fitted with."""
+    """A fitted pipeline, its cross-validated error, its settings, and all settings tried."""
 
     model: PipelineModel
     cv_mse: float
     settings: dict[str, object]
+    tried: list[tuple[dict[str, object], float]] = field(default_factory=list)
+
+
+def held_out_error(regressor: Estimator, setting: Mapping[str, object], train: DataFrame, held: DataFrame, label: str) -> float | None:
+    """Mean squared error of one fit on rows held out of it; none where there are no such rows."""
+    model = regressor.fit(train, {regressor.getParam(k): v for k, v in setting.items()})
+    miss = F.col(label) - F.col("prediction")
+    return model.transform(held).agg(F.avg(miss * miss)).first()[0]
 
 
 def fold_errors(
@@ -138,30 +146,43 @@ def fold_errors(
     label: str,
     folds: int,
     parallelism: int = 4,
+    remembered: Callable[[dict[str, object], int], float | None] | None = None,
+    record: Callable[[dict[str, object], int, float | None], None] | None = None,
 ) -> list[float]:
     """Mean over the folds of the held-out squared error, per setting.
 
     The stages before the regressor (encoders, assembly, scaling) are fitted once per fold,
-    on the other folds only, and shared by all settings. Threads submit the jobs.
+    on the other folds only, and shared by all settings. Threads submit the jobs. Errors that are
+    ``remembered`` by (setting, fold) are not fitted again, new ones go to ``record``.
     """
     *shared, regressor = plan.getStages()
-
-    def prepare_fold(fold: int) -> tuple[DataFrame, DataFrame]:
+    done: dict[tuple[int, int], float | None] = {}
+    for s, setting in enumerate(settings):
+        for fold in range(folds):
+            found = remembered(setting, fold) if remembered else None
+            if found is not None:
+                done[s, fold] = found
+
+    def prepare_fold(fold: int) -> tuple[DataFrame, DataFrame] | None:
+        if all((s, fold) in done for s in range(len(settings))):
+            return None
         train, held = rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold)
         fitted = Pipeline(stages=shared).fit(train)
         columns = [label, regressor.getFeaturesCol()]
         return fitted.transform(train).select(columns), fitted.transform(held).select(columns)
 
-    def error(task: tuple[tuple[DataFrame, DataFrame], dict[str, object]]) -> float | None:
-        (train, held), setting = task
-        model = regressor.fit(train, {regressor.getParam(k): v for k, v in setting.items()})
-        miss = F.col(label) - F.col("prediction")
-        return model.transform(held).agg(F.avg(miss * miss)).first()[0]
+    def error(task: tuple[int, int]) -> float | None:
+        s, fold = task
+        if task not in done:
+            done[task] = held_out_error(regressor, settings[s], *prepared[fold], label)
+            if record:
+                record(settings[s], fold, done[task])
+        return done[task]
 
     inherit = inheritable_thread_target(rows.sparkSession)
     with ThreadPool(parallelism) as pool:
         prepared = pool.map(inherit(prepare_fold), range(folds))
-        tasks = [(fold, setting) for setting in settings for fold in prepared]
+        tasks = [(s, fold) for s in range(len(settings)) for fold in range(folds)]
         found = pool.map(inherit(error), tasks, chunksize=1)
     means = []
     for at in range(0, len(found), folds):
@@ -180,6 +201,8 @@ def fit_learner(
     first: Sequence[Estimator] = (),
     parallelism: int = 4,
     seed: int = vocab.SEED,
+    remembered: Callable[[dict[str, object], int], float | None] | None = None,
+    record: Callable[[dict[str, object], int, float | None], None] | None = None,
 ) -> Fit:
     """Random search over the learner's grid by cross-validated squared error, then a refit.
 
@@ -189,10 +212,10 @@ def fit_learner(
     plan = pipeline(learner, names, first)
     regressor = plan.getStages()[-1]
     settings = draw_settings(learner.grid, draws, seed) if learner.grid else [{}]
-    errors = fold_errors(plan, settings, train, label, folds, parallelism)
+    errors = fold_errors(plan, settings, train, label, folds, parallelism, remembered, record)
     best = min(range(len(settings)), key=errors.__getitem__)
     chosen = {regressor.getParam(k): v for k, v in settings[best].items()}
-    return Fit(plan.fit(train, chosen), errors[best], settings[best])
+    return Fit(plan.fit(train, chosen), errors[best], settings[best], list(zip(settings, errors)))
 
 
 def importances(model: PipelineModel, names: Sequence[str], top: int | None = None) -> DataFrame:

@@ -28,6 +28,7 @@ from fumarole.operators.profiling import histogram
 from fumarole.operators.scoring import default_macro, score, score_features, with_all
 from fumarole.operators.split import add_folds, stratified_split, train_and_test
 from fumarole.plans.features import Encoders
+from fumarole.plans.ledger import Ledger, stamp
 from fumarole.session import materialise, owned_stages
 from fumarole.sources.files import read_table, write_table
 
@@ -101,6 +102,10 @@ def train(
     regressor settings per model name and skips the search over them. ``cleaning`` is stored
     with the models, so that companies to score take the same steps. Returns one row per target
     and model; the job's stage tables are removed at its end.
+
+    Finished fits are recorded in the folder by (rows, target, model, settings, setting, fold). A
+    second call with the same rows, settings and folder reads them, and stored models, instead of
+    fitting again.
     """
     spark = feature_table.sparkSession
     if cleaning is not None:
@@ -136,6 +141,8 @@ def _train_target(
     inputs = model_inputs(train_rows.columns, fold_safe)
     folded, folds = add_folds(train_rows, fold_group)
     first = encoders(folded, fold_safe)
+    ledger = Ledger(spark, posixpath.join(folder, "ledger"))
+    job = (stamp(train_rows), target, fold_safe, fold_group, seed)
     for name, learner in learners(label, seed, smoke).items():
         if names is not None and name not in names:
             continue
@@ -149,14 +156,21 @@ def _train_target(
                     name, learner.regressor,
                     {k: v for k, v in learner.grid.items() if k not in fixed}, learner.scaled,
                 )
-            fit = fit_learner(learner, folded, label, inputs, folds, draws, first, parallelism, seed)
             path = posixpath.join(folder, f"{target}_{name}")
-            fit.model.write().overwrite().save(path)
-            scored = fit.model.transform(test_rows)
+            whole = Ledger.key("model", *job, name, fixed, learner.grid, draws)
+            if whole not in ledger.known:
+                key = lambda setting, fold: Ledger.key("fold", *job, name, fixed, setting, fold)  # noqa: E731, B023
+                fit = fit_learner(
+                    learner, folded, label, inputs, folds, draws, first, parallelism, seed,
+                    remembered=lambda *at: ledger.known.get(key(*at)),  # noqa: B023
+                    record=lambda setting, fold, error: ledger.add(key(setting, fold), error),  # noqa: B023
+                )
+                fit.model.write().overwrite().save(path)
+                ledger.add(whole, {"cv_mse": float(fit.cv_mse), "settings": fit.settings})
+            done = ledger.known[whole]
+            scored = PipelineModel.load(path).transform(test_rows)
             row.update(both_scales(scored, label, "prediction").first().asDict())
-            row.update(
-                cv_mse=float(fit.cv_mse), settings=str({**fixed, **fit.settings}), model_path=path
-            )
+            row.update(cv_mse=done["cv_mse"], settings=str({**fixed, **done["settings"]}), model_path=path)
         except Exception as err:  # noqa: BLE001 - one model's failure must not stop the others
             row["error"] = f"{type(err).__name__}: {err}"
         rows.append(row)

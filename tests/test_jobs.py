@@ -214,3 +214,37 @@ def test_confidence():
     assert scoring.confidence_of({}) == 0.5
     assert scoring.confidence_of({vocab.SCOPE1: 0.9, vocab.SCOPE2: 0.7}) == pytest.approx(0.8)
     assert scoring.confidence_of({vocab.SCOPE1: -3.0, vocab.SCOPE2: 0.7}) == 0.0
+
+
+def test_training_goes_on_where_it_stopped(spark, cleaned, encoders, monkeypatch):
+    folder = stage_path(spark, "models")
+    table = materialise(features(cleaned, encoders=encoders), "features")
+    names = ["LinearRegression", "RandomForest"]
+    fixed = {"RandomForest": {"numTrees": 2, "maxDepth": 2}}
+    call = lambda: jobs.train(table, folder, [vocab.SCOPE1], names, smoke=True, draws=2, parallelism=1, overrides=fixed)
+    fits, real = [], learners.held_out_error
+
+    def counted(regressor, *rest):
+        if len(fits) == 9:
+            raise OSError("the cluster is gone")
+        fits.append(type(regressor).__name__)
+        return real(regressor, *rest)
+
+    monkeypatch.setattr(learners, "held_out_error", counted)
+    broken = {r["model"]: r["error"] for r in call().collect()}
+    assert "the cluster is gone" in broken["RandomForest"]
+    first, fits[:] = list(fits), []
+    monkeypatch.setattr(learners, "held_out_error", lambda *a: fits.append(1) or real(*a))
+    results = {r["model"]: r for r in call().collect()}
+    folds = first.count("LinearRegression")
+    assert folds >= 2 and len(first) + len(fits) == 3 * folds  # one setting and two, each fold once
+    assert set(results) == set(names) and all(r["error"] is None and r["r2"] is not None for r in results.values())
+    fits.clear()
+    refits = []
+    fit = learners.Pipeline.fit
+    monkeypatch.setattr(learners.Pipeline, "fit", lambda self, *a: refits.append(1) or fit(self, *a))
+    again = {r["model"]: r for r in call().collect()}
+    assert not fits and not refits and again == results
+    other = table.withColumn(f"log_{vocab.SCOPE1}", F.col(f"log_{vocab.SCOPE1}") + 1)
+    anew = jobs.train(other, folder, [vocab.SCOPE1], names[:1], parallelism=1).first()
+    assert fits and anew["error"] is None  # other rows are fitted anew
