@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import math
 import struct
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,22 +33,33 @@ LEAST_EXPONENT = -1022
 INFINITY = 0x7FF << FRACTION
 
 
-def bit_key(c: Column) -> Column:
-    """The order-preserving long of a number; null for null and NaN, 0 for both zeros.
+def bit_keys(df: DataFrame, columns: Mapping[str, Column], keep: Sequence[str | Column] = ()) -> DataFrame:
+    """The order-preserving longs of numbers, by result name, behind the columns to ``keep``; null
+    for null and NaN, 0 for both zeros.
 
     The exponent comes from a logarithm, corrected by one comparison; all scaling is by powers of
-    two and exact.
+    two and exact. Each step is a projection of its own, so that no step is computed twice.
     """
-    x = c.cast("double")
-    size = F.abs(x)
-    guess = F.floor(F.log2(size))
-    power = F.pow(F.lit(2.0), guess)
-    exact = guess + F.when(size < power, -1).when(size >= 2 * power, 1).otherwise(0)
-    exponent = F.greatest(exact, F.lit(LEAST_EXPONENT))
-    scaled = size / F.pow(F.lit(2.0), exponent) * float(1 << FRACTION)
-    bits = (exponent - LEAST_EXPONENT) * (1 << FRACTION) + scaled.cast("long")
-    bits = F.when(size == 0, 0).when(size == float("inf"), INFINITY).otherwise(bits)
-    return F.when(~F.isnan(x), F.when(x < 0, -bits).otherwise(bits))
+    names = [f"_{i}" for i in range(len(columns))]
+    rows = df.select(*keep, *[c.cast("double").alias(f"x{n}") for n, c in zip(names, columns.values())])
+    kept = rows.columns[: len(keep)]
+    rows = rows.selectExpr("*", *[f"least(floor(log2(abs(x{n}))), 1024) AS guess{n}" for n in names])
+    rows = rows.selectExpr("*", *[f"pow(2D, guess{n}) AS power{n}" for n in names])
+    exponent = (
+        "greatest(guess{n} + CASE WHEN abs(x{n}) < power{n} THEN -1 WHEN abs(x{n}) >= 2 * power{n} THEN 1 ELSE 0 END,"
+        f" {LEAST_EXPONENT}) AS exponent{{n}}"
+    )
+    rows = rows.selectExpr("*", *[exponent.format(n=n) for n in names])
+    bits = (
+        f"(exponent{{n}} - {LEAST_EXPONENT}) * {1 << FRACTION}L"
+        f" + CAST(abs(x{{n}}) / pow(2D, exponent{{n}}) * {1 << FRACTION}D AS LONG)"
+    )
+    key = (
+        "CASE WHEN NOT isnan(x{n}) THEN CASE WHEN x{n} = 0 THEN 0L ELSE CAST(sign(x{n}) AS LONG) *"
+        f" CASE WHEN abs(x{{n}}) = double('Infinity') THEN {INFINITY}L ELSE {bits} END END END"
+    )
+    keys = [f"{key.format(n=n)} AS `{out}`" for n, out in zip(names, columns)]
+    return rows.selectExpr(*[f"`{c}`" for c in kept], *keys)
 
 
 def key_value(key: Column) -> Column:
@@ -90,8 +101,8 @@ def quantile_table(
         return small_table(df.groupBy(*by).agg(*sketch))
     groups = [f"g{i}" for i in range(len(by))]
     named = [F.col(b).alias(g) for b, g in zip(by, groups)]
-    keys = [bit_key(F.col(c)).alias(f"k{i}") for i, c in enumerate(columns)]
-    rows = materialise(df.select(*named, *keys), "keys")
+    keys = {f"k{i}": F.col(c) for i, c in enumerate(columns)}
+    rows = materialise(bit_keys(df, keys, named), "keys")
     pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"k{i}").alias("k")) for i in range(len(columns))])
     cells = rows.select(*groups, F.explode(pairs).alias("cell")).select(*groups, "cell.*")
     if by:
@@ -230,7 +241,7 @@ def _by_group(
 
     carried = ["total", "ranks", "below"]
     for shift, next_shift in zip(levels, levels[1:]):
-        if not ranges.where("open").limit(1).count():
+        if not ranges.where("open").take(1):
             break
         looked = inside(ranges.where("open").select(*groups, "i", "low", *carried), shift)
         kept = [F.first(c).alias(c) for c in carried]

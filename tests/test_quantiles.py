@@ -96,13 +96,13 @@ def test_keys_keep_order_and_come_back(spark):
     draw = random.Random(11)
     values = ODD + [draw.uniform(-1, 1) * 10.0 ** draw.randint(-320, 308) for _ in range(3000)]
     values += [2.0**e for e in range(-1074, 1024)] + [np.nextafter(2.0**e, 0) for e in range(-1000, 1024)]
-    df = spark.createDataFrame([(float(v),) for v in values], "x double").withColumn("k", q.bit_key(F.col("x")))
-    rows = df.withColumn("back", q.key_value(F.col("k"))).collect()
+    df = spark.createDataFrame([(float(v),) for v in values], "x double")
+    rows = q.bit_keys(df, {"k": F.col("x")}, ["x"]).withColumn("back", q.key_value(F.col("k"))).collect()
     assert all(r["back"] == r["x"] and q.plain_value(r["k"]) == r["x"] for r in rows)
     ordered = sorted(rows, key=lambda r: r["k"])
     assert [r["x"] for r in ordered] == sorted(r["x"] for r in rows)
     assert len({r["k"] for r in rows}) == len({r["x"] for r in rows})
-    gone = spark.createDataFrame([(None,), (float("nan"),)], "x double").select(q.bit_key(F.col("x")).alias("k"))
+    gone = q.bit_keys(spark.createDataFrame([(None,), (float("nan"),)], "x double"), {"k": F.col("x")})
     assert [r["k"] for r in gone.collect()] == [None, None]
 
 
