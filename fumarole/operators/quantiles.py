@@ -11,14 +11,17 @@ group, and the state is a count for each bucket.
 
 from __future__ import annotations
 
+import bisect
 import math
 import struct
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from fumarole.session import materialise, small_table
+from fumarole.session import SMALL_ROWS, materialise, small_table
 
 #: Bits that a key is shifted by in each round.
 LEVELS = (48, 36, 24, 12, 0)
@@ -85,12 +88,14 @@ def quantile_table(
     approx: bool = False,
     levels: Sequence[int] = LEVELS,
     few: int = FEW_VALUES,
+    max_rows: int = SMALL_ROWS,
 ) -> DataFrame:
     """Linearly interpolated quantiles: the grouping columns, then one array per column.
 
     Nulls and NaN are skipped; a group without values gives null, and so does a point between the
     two infinities. The result has one row per group and is broadcast if it proves small. The keys
-    are staged once and read in each pass.
+    are staged once and read in each pass. Buckets of groups are ranked on the driver while no pass
+    can bring more than ``max_rows`` counts to it, and by windows beyond that; results are equal.
     """
     probs, by = [float(p) for p in probs], list(by)
     if approx:
@@ -99,15 +104,36 @@ def quantile_table(
             for c in columns
         ]
         return small_table(df.groupBy(*by).agg(*sketch))
+    spark, cells, groups = df.sparkSession, *_cells(df, columns, by)
+    known = cells.where("k is not null")
+    if not by:
+        counts = [r.asDict() for r in _counted(known, ["i"], levels[0]).collect()]
+        schema = ", ".join(f"`{c}` array<double>" for c in columns)
+        row = _on_driver(known, groups, counts, len(columns), probs, levels, few)[0]
+        return F.broadcast(spark.createDataFrame([row], schema))
+    held = _counted(cells, [*groups, "i"], levels[0]).persist(StorageLevel.DISK_ONLY)
+    try:
+        counts = held.limit(max_rows + 1).toArrow().to_pylist()
+        if len(counts) <= max_rows:
+            found = _on_driver(known, groups, counts, len(columns), probs, levels, few, max_rows)
+            if found is not None:
+                fields = [StructField(b, cells.schema[g].dataType) for b, g in zip(by, groups)]
+                fields += [StructField(c, ArrayType(DoubleType())) for c in columns]
+                return small_table(spark.createDataFrame(found, StructType(fields)))
+        return small_table(_by_group(known, held, groups, list(columns), by, probs, levels, few))
+    finally:
+        held.unpersist()
+
+
+def _cells(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """One row for each value: the groups, the column's number ``i`` and its bit key ``k``; and the
+    names that the groups have there."""
     groups = [f"g{i}" for i in range(len(by))]
     named = [F.col(b).alias(g) for b, g in zip(by, groups)]
     keys = {f"k{i}": F.col(c) for i, c in enumerate(columns)}
     rows = materialise(bit_keys(df, keys, named), "keys")
     pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"k{i}").alias("k")) for i in range(len(columns))])
-    cells = rows.select(*groups, F.explode(pairs).alias("cell")).select(*groups, "cell.*")
-    if by:
-        return small_table(_by_group(cells, groups, list(columns), by, probs, levels, few))
-    return _overall(df.sparkSession, cells, list(columns), probs, levels, few)
+    return rows.select(*groups, F.explode(pairs).alias("cell")).select(*groups, "cell.*"), groups
 
 
 def _counted(cells: DataFrame, place: Sequence[str], shift: int) -> DataFrame:
@@ -122,77 +148,99 @@ def _positions(total: int, probs: Sequence[float]) -> list[int]:
     return sorted({step((total - 1) * p) for p in probs for step in (math.floor, math.ceil)})
 
 
-def _overall(
-    spark: SparkSession,
-    cells: DataFrame,
-    columns: list[str],
+def _inside(known: DataFrame, held: DataFrame, groups: Sequence[str], shift: int) -> DataFrame:
+    """The cells whose bits left after a shift are those of a bucket of their group and column."""
+    held = held.withColumn("o", F.shiftright("low", shift)).withColumnsRenamed({g: f"r_{g}" for g in groups})
+    held = held.withColumnRenamed("i", "r_i")
+    match = (F.col("i") == F.col("r_i")) & (F.shiftright("k", shift) == F.col("o"))
+    for g in groups:
+        match &= F.col(g).eqNullSafe(F.col(f"r_{g}"))
+    return known.join(held, match)
+
+
+def _on_driver(
+    known: DataFrame,
+    groups: Sequence[str],
+    counts: Sequence[dict],
+    columns: int,
     probs: list[float],
     levels: Sequence[int],
     few: int,
-) -> DataFrame:
-    """Quantiles without groups: the counts of the buckets (a few hundred a column) are ranked on
-    the driver, and the few buckets that hold a wanted rank are broadcast."""
-    first, shift = levels[0], levels[0]
-    known = cells.where("k is not null")
-    counts = [r.asDict() for r in _counted(known, ["i"], shift).collect()]
-    totals = [sum(r["n"] for r in counts if r["i"] == i) for i in range(len(columns))]
-    wanted = [_positions(n, probs) if n else [] for n in totals]
-    found: list[tuple[int, int, int, int]] = []  # column, key, first rank, end of ranks
-    closed: list[tuple] = []
+    max_rows: int | None = None,
+) -> list[list] | None:
+    """The rows of the result, with buckets ranked on the driver.
 
-    def ranked(rows: list[dict], below: int, i: int) -> list[dict]:
+    ``counts`` are those of the first pass. The buckets that hold a wanted rank are broadcast, and
+    each later pass counts inside them. None if a pass might bring more than ``max_rows`` counts.
+    """
+    spark, first = known.sparkSession, levels[0]
+    names: dict[str, list] = {}
+    cells: dict[tuple[str, int], list[dict]] = {}
+    for r in counts:
+        values = [r[g] for g in groups]
+        names.setdefault(repr(values), values)
+        if r["p"] is not None:
+            cells.setdefault((repr(values), r["i"]), []).append(r)
+    if not groups:
+        names[repr([])] = []
+    totals = {place: sum(r["n"] for r in rows) for place, rows in cells.items()}
+    wanted = {place: _positions(n, probs) for place, n in totals.items()}
+    found: dict[tuple[str, int], list[tuple[int, int, int]]] = {place: [] for place in cells}
+
+    def ranked(place: tuple[str, int], rows: list[dict], below: int) -> list[dict]:
         """The rows that hold a wanted rank, with the ranks below them."""
         held = []
         for r in sorted(rows, key=lambda r: r["low"]):
-            if any(below <= rank < below + r["n"] for rank in wanted[i]):
-                held.append(r | {"below": below})
+            at = bisect.bisect_left(wanted[place], below)
+            if at < len(wanted[place]) and wanted[place][at] < below + r["n"]:
+                held.append({"place": place, "low": r["low"], "high": r["high"], "n": r["n"], "below": below})
             below += r["n"]
         return held
 
-    def dealt(held: list[dict]) -> list[dict]:
-        """Sorts buckets into found values, closed buckets and those still open."""
-        still = []
+    def looked_up(held: list[dict], shift: int) -> DataFrame:
+        rows = [[*names[r["place"][0]], r["place"][1], r["low"], r["high"], j] for j, r in enumerate(held)]
+        ends = StructType.fromDDL("i int, low long, high long, j int")
+        table = spark.createDataFrame(rows, StructType([*[known.schema[g] for g in groups], *ends]))
+        return _inside(known, F.broadcast(table), groups, shift)
+
+    held = [r for place, rows in cells.items() for r in ranked(place, rows, 0)]
+    if max_rows is not None:
+        few = min(few, max_rows // max(len(held), 1))
+    closed: list[dict] = []
+    for shift, next_shift in zip(levels, [*levels[1:], None]):
         for r in held:
             if r["low"] == r["high"]:
-                found.append((r["i"], r["low"], r["below"], r["below"] + r["n"]))
-            elif r["n"] <= few:
-                closed.append((r["i"], r["low"] >> first, r["low"], r["high"], r["below"]))
-            else:
-                still.append(r)
-        return still
-
-    by_column = [[r for r in counts if r["i"] == i] for i in range(len(columns))]
-    open_ = dealt([r for i, rows in enumerate(by_column) for r in ranked(rows, 0, i)])
-    for shift, next_shift in zip(levels, levels[1:]):
-        if not open_:
+                found[r["place"]].append((r["low"], r["below"], r["below"] + r["n"]))
+        closed += [r for r in held if r["low"] < r["high"] and r["n"] <= few]
+        held = [r for r in held if r["low"] < r["high"] and r["n"] > few]
+        if not held:
             break
-        places = spark.createDataFrame([(r["i"], r["low"] >> shift) for r in open_], "i int, o long")
-        inside = known.withColumn("o", F.shiftright("k", shift)).join(F.broadcast(places), ["i", "o"])
-        counts = [r.asDict() for r in _counted(inside, ["i", "o"], next_shift).collect()]
-        held = []
-        for r in open_:
-            own = [c for c in counts if c["i"] == r["i"] and c["o"] == r["low"] >> shift]
-            held += ranked(own, r["below"], r["i"])
-        open_ = dealt(held)
+        if max_rows is not None and len(held) << (shift - next_shift) > max_rows:
+            return None
+        inside: dict[int, list[dict]] = {}
+        for r in _counted(looked_up(held, shift), ["j"], next_shift).collect():
+            inside.setdefault(r["j"], []).append(r.asDict())
+        held = [part for j, r in enumerate(held) for part in ranked(r["place"], inside[j], r["below"])]
     if closed:
-        places = spark.createDataFrame([c[:4] for c in closed], "i int, o long, from long, to long")
-        inside = known.withColumn("o", F.shiftright("k", first)).join(F.broadcast(places), ["i", "o"])
-        values = inside.where(F.col("k").between(F.col("from"), F.col("to")))
-        counts = [r.asDict() for r in _counted(values, ["i", "from"], 0).collect()]
-        for i, _, low, _, below in closed:
-            own = [{"low": c["p"], "n": c["n"]} for c in counts if c["i"] == i and c["from"] == low]
-            found += [(i, r["low"], r["below"], r["below"] + r["n"]) for r in ranked(own, below, i)]
-
-    def quantile(i: int, p: float) -> float | None:
-        position = (totals[i] - 1) * p
+        values: dict[int, list[dict]] = {}
+        near = looked_up(closed, first).where(F.col("k").between(F.col("low"), F.col("high")))
+        for r in _counted(near, ["j"], 0).collect():
+            values.setdefault(r["j"], []).append(r.asDict())
+        for j, r in enumerate(closed):
+            own = ranked(r["place"], values[j], r["below"])
+            found[r["place"]] += [(v["low"], v["below"], v["below"] + v["n"]) for v in own]
+
+    def quantile(place: tuple[str, int], p: float) -> float | None:
+        position = (totals[place] - 1) * p
         low, high = math.floor(position), math.ceil(position)
-        a, b = (next(plain_value(k) for j, k, s, e in found if j == i and s <= rank < e) for rank in (low, high))
+        a, b = (next(plain_value(k) for k, s, e in found[place] if s <= rank < e) for rank in (low, high))
         value = a if a == b else a * (high - position) + b * (position - low)
         return None if math.isnan(value) else value
 
-    row = [[quantile(i, p) for p in probs] if totals[i] else None for i in range(len(columns))]
-    schema = ", ".join(f"`{c}` array<double>" for c in columns)
-    return F.broadcast(spark.createDataFrame([row], schema))
+    return [
+        [*values, *[[quantile((g, i), p) for p in probs] if (g, i) in totals else None for i in range(columns)]]
+        for g, values in names.items()
+    ]
 
 
 def _held(counts: DataFrame, groups: list[str], few: int) -> DataFrame:
@@ -210,7 +258,8 @@ def _held(counts: DataFrame, groups: list[str], few: int) -> DataFrame:
 
 
 def _by_group(
-    cells: DataFrame,
+    known: DataFrame,
+    counts: DataFrame,
     groups: list[str],
     columns: list[str],
     by: list[str],
@@ -219,31 +268,22 @@ def _by_group(
     few: int,
 ) -> DataFrame:
     """Quantiles by group: buckets are ranked by windows, and those that hold a wanted rank are
-    joined back by group, column and leading bits. A column without values keeps one empty row."""
+    joined back by group, column and leading bits. A column without values keeps one empty row.
+    ``counts`` are those of the first pass."""
     first = levels[0]
     own = Window.partitionBy(*groups, "i")
     total = F.sum(F.when(F.col("p").isNotNull(), F.col("n")).otherwise(0)).over(own)
-    counts = _counted(cells, [*groups, "i"], first).withColumn("total", total)
+    counts = counts.withColumn("total", total)
     counts = counts.where("p is not null or total = 0")
     counts = counts.withColumns(
         {"o": F.lit(0).cast("long"), "below": F.lit(0).cast("long"), "ranks": _ranks(F.col("total"), probs)}
     )
     ranges = small_table(_held(counts, groups, few))
-    known = cells.where("k is not null")
-
-    def inside(held: DataFrame, shift: int) -> DataFrame:
-        held = held.withColumn("o", F.shiftright("low", shift)).withColumnsRenamed({g: f"r_{g}" for g in groups})
-        held = held.withColumnRenamed("i", "r_i")
-        match = (F.col("i") == F.col("r_i")) & (F.shiftright("k", shift) == F.col("o"))
-        for g in groups:
-            match &= F.col(g).eqNullSafe(F.col(f"r_{g}"))
-        return known.join(held, match)
-
     carried = ["total", "ranks", "below"]
     for shift, next_shift in zip(levels, levels[1:]):
         if not ranges.where("open").take(1):
             break
-        looked = inside(ranges.where("open").select(*groups, "i", "low", *carried), shift)
+        looked = _inside(known, ranges.where("open").select(*groups, "i", "low", *carried), groups, shift)
         kept = [F.first(c).alias(c) for c in carried]
         counts = looked.groupBy(*groups, "i", "o", F.shiftright("k", next_shift).alias("p")).agg(
             F.count("*").alias("n"), F.min("k").alias("low"), F.max("k").alias("high"), *kept
@@ -255,7 +295,7 @@ def _by_group(
         (F.col("below") + F.col("n")).alias("end"),
     )
     several = ranges.where("low < high").select(*groups, "i", "low", "high", *carried)
-    values = inside(several, first).where(F.col("k").between(F.col("low"), F.col("high")))
+    values = _inside(known, several, groups, first).where(F.col("k").between(F.col("low"), F.col("high")))
     values = values.groupBy(*groups, "i", F.col("low").alias("o"), F.col("k").alias("p")).agg(
         F.count("*").alias("n"), F.min("k").alias("low"), F.min("k").alias("high"),
         *[F.first(c).alias(c) for c in carried],
@@ -315,7 +355,14 @@ def quantile_values(
     df: DataFrame, columns: Sequence[str], probs: Sequence[float], approx: bool = False
 ) -> dict[str, list[float | None]]:
     """Global quantiles as plain values, one list per column."""
-    row = quantile_table(df, columns, probs, approx=approx).first()
+    probs = [float(p) for p in probs]
+    if approx:
+        found = quantile_table(df, columns, probs, approx=True).first()
+    else:
+        known = _cells(df, columns, [])[0].where("k is not null")
+        counts = [r.asDict() for r in _counted(known, ["i"], LEVELS[0]).collect()]
+        found = _on_driver(known, [], counts, len(columns), probs, LEVELS, FEW_VALUES)[0]
+    row = dict(zip(columns, found))
     return {c: list(row[c]) if row[c] is not None else [None] * len(probs) for c in columns}
 
 

@@ -31,8 +31,8 @@ def test_quantiles_equal_numpy(spark, n, ties, levels, few):
     df = table(spark, n, n, ties)
     probs = [0.0, 0.01, 0.25, 0.5, 0.99, 1.0]
     rows = df.collect()
-    for by in ([], ["g"]):
-        got = q.quantile_table(df, ["x", "y"], probs, by=by, levels=levels, few=few).collect()
+    for by, most in (([], 0), (["g"], q.SMALL_ROWS), (["g"], 0)):
+        got = q.quantile_table(df, ["x", "y"], probs, by=by, levels=levels, few=few, max_rows=most).collect()
         groups = {tuple(r[b] for b in by) for r in rows}
         assert {tuple(r[b] for b in by) for r in got} == groups and len(got) == len(groups)
         for r in got:
@@ -48,9 +48,11 @@ def test_widest_range_nan_and_one_hot_group(spark):
     values = [(0, v) for v in (-1.7e308, 1.7e308, 0.0, 5e-324, 1.0, float("nan"), None)]
     values += [(1, float(i % 7) ** 9) for i in range(5000)] + [(2, 4.0)]
     df = spark.createDataFrame(values, "g int, x double")
-    got = {r["g"]: r["x"] for r in q.quantile_table(df, ["x"], [0.25, 0.5], by=["g"], levels=(60, 55, 50, 25, 0), few=2).collect()}
-    assert got[0] == [0.0, 5e-324] and got[2] == [4.0, 4.0]
-    assert got[1] == list(np.quantile([float(i % 7) ** 9 for i in range(5000)], [0.25, 0.5]))
+    for most in (0, q.SMALL_ROWS):
+        table = q.quantile_table(df, ["x"], [0.25, 0.5], by=["g"], levels=(60, 55, 50, 25, 0), few=2, max_rows=most)
+        got = {r["g"]: r["x"] for r in table.collect()}
+        assert got[0] == [0.0, 5e-324] and got[2] == [4.0, 4.0]
+        assert got[1] == list(np.quantile([float(i % 7) ** 9 for i in range(5000)], [0.25, 0.5]))
 
 
 def test_quantiles_match_numpy(spark):
