@@ -7,32 +7,39 @@ fewer than ``LEAST_TEXTS`` training texts use, or whose log odds are within thei
 nor count.
 
 The model is trained in numpy on the driver, from hashed words only, on a bounded sample: the
-``SAMPLE`` training texts of each class with the smallest key hash, among labelled texts of at
-most ``SAMPLE_WORDS`` words. Embeddings start from the classes' log odds and are refined by Adam;
-only positions that win the pooling carry gradients. Scores are shifted to the class shares among
-all training rows. A fifth of the sample sets a threshold for each language, which only the
-column ``flagged`` uses. Scoring is one narrow pass over whole texts; the model has a fixed size.
+``SAMPLE`` training texts of each class with the smallest key hash, without a fifth of the keys
+that is kept aside, and of those the texts of at most ``SAMPLE_WORDS`` words, until a class has
+``CLASS_WORDS``. Embeddings start from the classes' log odds and are refined by Adam; only
+positions that win the pooling carry gradients. Scores are shifted to the class shares among all
+training rows. Scoring is one narrow pass over whole texts; the model has a fixed size.
+
+Each language has its own threshold, which only the column ``flagged`` uses. All labelled training
+rows that the network has not seen count for it: Spark counts them by language, label and one of
+``BUCKETS`` score buckets, weighted back to the class shares of all training rows, and the cut has
+the highest F1 in these counts.
 
 Defined cases: a null or empty text scores like one without any known word; labels that are null
-or not 0 or 1 are ignored, and a text labelled twice counts once, with its smaller label; without
-training rows of both classes every score is the share of class 1 (one half without labels); a
-language not met in training uses the common threshold; repeated rows are scored alike; an empty
-table gives an empty result.
+or not 0 or 1 are ignored, and a text labelled twice counts once, with its smaller label; of rows
+that share a key the smallest text is learnt; without training rows of both classes every score is
+the share of class 1 (one half without labels); null counts as a language; a language without rows
+of both classes uses the common threshold; repeated rows are scored alike; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fumarole.llm import textarrays as ta
 from fumarole.llm.quality_classifier import remainder, training_labels
+from fumarole.session import materialise, small_table
 
 BITS = 18
 #: Leading bytes hashed besides the whole word.
@@ -42,6 +49,9 @@ WIDTHS = (1, 2, 3)
 FILTERS = 8
 SAMPLE = 1500
 SAMPLE_WORDS = 20_000
+CLASS_WORDS = 4_000_000
+#: Score buckets that the thresholds are chosen from.
+BUCKETS = 1000
 LEAST_TEXTS = 3
 #: Standard errors by which log odds are drawn towards zero.
 DOUBT = 1.5
@@ -86,8 +96,6 @@ class Network:
     bias: float
     shift: float = 0.0
     constant: float | None = None
-    thresholds: dict = field(default_factory=dict)
-    common: float = THRESHOLD
 
     @classmethod
     def begin(cls, odds: np.ndarray, seed: int = 7) -> Network:
@@ -249,67 +257,83 @@ def train(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Network
     return net
 
 
-def best_threshold(scores: np.ndarray, labels: np.ndarray, start: float = THRESHOLD) -> float:
-    """The cut with the highest F1 for class 1, nearest to ``start``."""
-    if labels.min(initial=1) == labels.max(initial=0):
-        return start
-    order = np.argsort(-scores, kind="stable")
-    ranked = scores[order]
-    hits = np.cumsum(labels[order])
-    f1 = 2 * hits / (np.arange(1, len(ranked) + 1) + labels.sum())
-    ends = np.append(ranked[1:] < ranked[:-1], True)
-    cuts = (ranked + np.append(ranked[1:], 0.0)) / 2
-    good = np.flatnonzero(ends & (f1 >= f1[ends].max() - 1e-12))
-    low, high = cuts[good].min(), ranked[good].max()
-    return float(np.clip(start, low, high))
-
-
-def fit(
-    texts: list[np.ndarray], labels: np.ndarray, langs: list, totals: tuple[int, int], seed: int = 7
-) -> Network:
-    """Network, class-share shift and thresholds by language from a sample; ``totals`` counts
-    all training rows of class 0 and 1."""
-    if min(np.bincount(labels, minlength=2)) < 2:
+def fit(texts: list[np.ndarray], labels: np.ndarray, totals: tuple[int, int], seed: int = 7) -> Network:
+    """Network and class-share shift from a sample; ``totals`` counts all training rows of class
+    0 and 1."""
+    sizes = np.bincount(labels, minlength=2)
+    if min(sizes) < 2:
         level = totals[1] / sum(totals) if sum(totals) else 0.5
         empty = np.zeros((0, DIM), np.float32)
         return Network(empty, [], [], np.zeros(0), 0.0, constant=level)
-    rng = np.random.default_rng(seed)
-    aside = np.zeros(len(labels), bool)
-    for y in (0, 1):
-        own = rng.permutation(np.flatnonzero(labels == y))
-        aside[own[: len(own) // 5]] = True
-    main = np.flatnonzero(~aside)
-    net = train([texts[i] for i in main], labels[main], seed)
-    sizes = np.bincount(labels[main], minlength=2)
+    net = train(texts, labels, seed)
     net.shift = float(np.log(totals[1] / totals[0]) - np.log(sizes[1] / sizes[0]))
-    rest = np.flatnonzero(aside)
-    scores = net.scores(*joined([texts[i] for i in rest]))
-    net.common = best_threshold(scores, labels[rest])
-    tongue = np.array([str(langs[i]) for i in rest])
-    for name in sorted(set(tongue.tolist())):
-        own = tongue == name
-        net.thresholds[name] = best_threshold(scores[own], labels[rest][own], net.common)
     return net
 
 
-def sample_rows(docs: DataFrame, chosen: DataFrame, text: str, key: str, lang: str) -> DataFrame:
-    """(y, lang, b) of the chosen training texts: their words' embedding rows, flattened."""
-    rows = docs.select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.col(text).alias("s"))
-    rows = rows.join(chosen, "k").select("y", "lang", "s")
+def best_cuts(counts: DataFrame, by: list[str], start: float) -> DataFrame:
+    """The score with the highest F1 for class 1, nearest to ``start``, from the weights (w0, w1)
+    of both classes by bucket ``b``; only for groups that hold both."""
+    above = Window.partitionBy(*by).orderBy(F.desc("b"))
+    cells = counts.groupBy(*by, "b").agg(F.sum("w0").alias("w0"), F.sum("w1").alias("w1"))
+    cells = cells.withColumns({c: F.sum(c[:2]).over(above) for c in ("w0_above", "w1_above")})
+    f1 = 2 * F.col("w1_above") / (F.col("w0_above") + F.col("w1_above") + F.sum("w1").over(Window.partitionBy(*by)))
+    cells = cells.withColumns({"f1": F.round(f1, 12), "cut": F.col("b") / BUCKETS})
+    best = F.max_by("cut", F.struct("f1", -F.abs(F.col("cut") - start), "cut")).alias("cut")
+    return cells.groupBy(*by).agg(best, F.sum("w0").alias("w0"), F.sum("w1").alias("w1")).where("w0 > 0 and w1 > 0").drop("w0", "w1")
+
+
+def threshold_counts(scored: DataFrame, unseen: DataFrame, totals: dict[int, int]) -> DataFrame:
+    """Weights of both classes by language and score bucket, over all training rows that the
+    network has not seen; a class weighs as much as all its training rows."""
+    sizes = {r["y"]: r["n"] for r in unseen.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    bucket = F.floor(F.col("score") * BUCKETS).alias("b")
+    rows = scored.where("k is not null").groupBy("k", "lang", bucket).agg(F.count("*").alias("n"))
+    weights = [
+        F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0)) * F.lit(totals.get(y, 0) / sizes.get(y, 1))
+        for y in (0, 1)
+    ]
+    return rows.join(unseen, "k").groupBy("lang", "b").agg(*[w.alias(f"w{y}") for y, w in enumerate(weights)])
+
+
+def sample_texts(docs: DataFrame, chosen: DataFrame, text: str, key: str) -> tuple[list[np.ndarray], np.ndarray]:
+    """The embedding rows of the words of the chosen training texts, and their labels.
+
+    The hashed texts are staged; the driver sees their sizes first and fetches what the bound on
+    the words of a class leaves.
+    """
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("s")).join(chosen, "k")
+    rows = rows.groupBy("k").agg(F.first("y").alias("y"), F.min("s").alias("s"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in ta.chunks(batch, "s"):
                 buckets, first = word_buckets(part.column("s"))
-                flat = pa.array(buckets.ravel())
                 cuts = pa.array((first * buckets.shape[1]).astype(np.int32))
-                lists = pa.ListArray.from_arrays(cuts, flat)
-                small = pa.array(np.diff(first) <= SAMPLE_WORDS)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("y"), part.column("lang"), lists], ["y", "lang", "b"]
-                ).filter(small)
+                lists = pa.ListArray.from_arrays(cuts, pa.array(buckets.ravel()))
+                sizes = np.diff(first)
+                columns = [part.column("k"), part.column("y"), pa.array(sizes.astype(np.int32)), lists]
+                yield pa.RecordBatch.from_arrays(columns, ["k", "y", "n", "b"]).filter(pa.array(sizes <= SAMPLE_WORDS))
 
-    return rows.mapInArrow(run, "y int, lang string, b array<int>")
+    kind = docs.schema[key].dataType.simpleString()
+    hashed = rows.mapInArrow(run, f"k {kind}, y int, n int, b array<int>")
+    staged = materialise(hashed.select(F.xxhash64("k").alias("h"), "y", "n", "b"), "sample")
+    sizes = staged.select("h", "y", "n").toArrow().to_pylist()
+    left, last = {0: CLASS_WORDS, 1: CLASS_WORDS}, {0: None, 1: None}
+    for row in sorted(sizes, key=lambda r: (r["h"], r["n"])):
+        left[row["y"]] -= row["n"]
+        if left[row["y"]] < 0 and last[row["y"]] is None:
+            last[row["y"]] = row["h"]
+    for y, h in last.items():
+        staged = staged if h is None else staged.where((F.col("y") != y) | (F.col("h") < h))
+    texts, labels = [], []
+    for batch in staged.select("y", "b").toArrow().to_batches():
+        lists = batch.column("b")
+        values, cuts = lists.values.to_numpy(), lists.offsets.to_numpy()
+        texts += [values[a:b].reshape(-1, 1 + len(STEMS)) for a, b in zip(cuts, cuts[1:])]
+        labels += batch.column("y").to_pylist()
+    # whatever order the rows came in, the same sample gives the same model
+    order = sorted(range(len(texts)), key=lambda i: (labels[i], texts[i].tobytes()))
+    return [texts[i] for i in order], np.array([labels[i] for i in order], np.int64)
 
 
 def toxicity_scores(
@@ -328,44 +352,40 @@ def toxicity_scores(
     with the threshold of the row's language."""
     learn = training_labels(labels, key, label, parts, held)
     counts = {r["y"]: r["n"] for r in learn.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    order = [F.xxhash64("k"), F.col("k")]
+    aside = F.pmod(F.xxhash64("k", F.lit("aside")), F.lit(5)) == 0
     chosen = None
     for y in (0, 1):
-        own = learn.where(F.col("y") == y).orderBy(*order).limit(sample)
+        own = learn.where((F.col("y") == y) & ~aside).orderBy(F.xxhash64("k"), "k").limit(sample)
         chosen = own if chosen is None else chosen.unionByName(own)
-    table = sample_rows(docs, chosen, text, key, lang).toArrow()
-    found = [
-        (y, name or "", np.array(b, np.int32).reshape(-1, 1 + len(STEMS)))
-        for y, name, b in zip(*(table[c].to_pylist() for c in ("y", "lang", "b")))
-    ]
-    # whatever order the rows came in, the same sample gives the same model
-    found.sort(key=lambda row: (row[0], row[1], row[2].tobytes()))
-    y = np.array([row[0] for row in found], np.int64)
-    texts, langs = [row[2] for row in found], [row[1] for row in found]
-    net = fit(texts, y, langs, (counts.get(0, 0), counts.get(1, 0)))
+    chosen = small_table(chosen)
+    net = fit(*sample_texts(docs, chosen, text, key), (counts.get(0, 0), counts.get(1, 0)))
     held_net = docs.sparkSession.sparkContext.broadcast(net)
-
-    rows = docs.select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.col(text).alias("s"))
+    rows = docs.select(F.col(key).alias("k"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("s"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held_net.value
         for batch in batches:
             for part in ta.chunks(batch, "s"):
-                scores = model.scores(*word_buckets(part.column("s")))
-                langs = part.column("lang").to_pylist()
-                cuts = np.array([model.thresholds.get(str(x), model.common) for x in langs])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("k"), pa.array(scores), pa.array(scores >= cuts)], ["k", "score", "flagged"]
-                )
+                scores = pa.array(model.scores(*word_buckets(part.column("s"))))
+                yield pa.RecordBatch.from_arrays([part.column("k"), part.column("lang"), scores], ["k", "lang", "score"])
 
     kind = docs.schema[key].dataType.simpleString()
-    scored = rows.mapInArrow(run, f"k {kind}, score double, flagged boolean")
-    return scored.select(
+    scored = materialise(rows.mapInArrow(run, f"k {kind}, lang string, score double"), "scores")
+    common = THRESHOLD
+    cuts = docs.sparkSession.createDataFrame([], "tongue string, cut double")
+    if net.constant is None:
+        weights = threshold_counts(scored, learn.join(chosen, "k", "left_anti"), counts)
+        weights = small_table(weights)
+        best = best_cuts(weights, [], THRESHOLD).first()
+        common = best["cut"] if best else THRESHOLD
+        cuts = best_cuts(weights, ["lang"], common).withColumnRenamed("lang", "tongue")
+    found = scored.join(small_table(cuts), F.col("lang").eqNullSafe(F.col("tongue")), "left")
+    return found.select(
         F.col("k").alias(key),
         (remainder(F.col("k"), parts) == held).alias("held_out"),
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
-        "flagged",
+        (F.col("score") >= F.coalesce("cut", F.lit(common))).alias("flagged"),
     )
 
 

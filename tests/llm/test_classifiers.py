@@ -106,10 +106,52 @@ def test_inflected_words_share_their_stem():
     buckets, first = tx.word_buckets(pa.array([t for t, _ in data]))
     texts = [buckets[a:b] for a, b in zip(first, first[1:])]
     y = np.array([k for _, k in data])
-    net = tx.fit(texts[:200], y[:200], ["xx"] * 200, (100, 50))
+    net = tx.fit(texts[:200], y[:200], (100, 50))
     found = net.scores(*tx.joined(texts[200:])) >= 0.5
     assert (found == y[200:]).mean() > 0.97
-    assert set(net.thresholds) == {"xx"}
+
+
+def test_cuts_have_the_best_f1_of_each_language(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(3000):
+        lang = ["en", "de", None][k % 3]
+        y = int(rng.random() < 0.3)
+        rows.append((k, lang, float(np.clip(rng.normal(0.35 + 0.2 * y + 0.05 * (k % 3), 0.15), 0, 1)), y))
+    rows += [(9000 + k, "one", 0.4, 0) for k in range(5)]
+    scored = spark.createDataFrame([r[:3] for r in rows], "k long, lang string, score double")
+    unseen = spark.createDataFrame([(r[0], r[3]) for r in rows], "k long, y int")
+    totals = {0: 4 * sum(r[3] == 0 for r in rows), 1: sum(r[3] for r in rows)}
+    weights = tx.threshold_counts(scored, unseen, totals)
+    got = {r["lang"]: r["cut"] for r in tx.best_cuts(weights, ["lang"], 0.5).collect()}
+    assert set(got) == {"en", "de", None}
+    for lang, cut in got.items():
+        own = [(s, y) for _, name, s, y in rows if name == lang]
+
+        def f1(c):
+            hit = sum(y for s, y in own if s >= c)
+            return 2 * hit / (hit + 4 * sum(1 - y for s, y in own if s >= c) + sum(y for _, y in own))
+
+        assert f1(cut) == pytest.approx(max(f1(b / tx.BUCKETS) for b in range(tx.BUCKETS)))
+
+
+def test_all_unseen_training_rows_count_and_a_repeated_key_is_learnt_once(spark):
+    docs = spark.createDataFrame([(k, f"word{k % 7} text") for k in range(60)] + [(1, "zz")] * 500, "doc_id long, text string")
+    chosen = spark.createDataFrame([(k, k % 2) for k in range(30)], "k long, y int")
+    texts, labels = tx.sample_texts(docs, chosen, "text", "doc_id")
+    assert len(texts) == 30 and labels.tolist() == [0] * 15 + [1] * 15
+    scored = spark.createDataFrame([(k, "en", 0.5) for k in range(60)], "k long, lang string, score double")
+    unseen = spark.createDataFrame([(k, k % 2) for k in range(30, 60)], "k long, y int")
+    row = tx.threshold_counts(scored, unseen, {0: 30, 1: 45}).first()
+    assert (row.b, row.w0, row.w1) == (500, 30.0, 45.0)
+
+
+def test_words_of_a_class_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(tx, "CLASS_WORDS", 100)
+    docs = spark.createDataFrame([(k, "a b c d e f g h i j") for k in range(60)], "doc_id long, text string")
+    chosen = spark.createDataFrame([(k, int(k < 5)) for k in range(60)], "k long, y int")
+    _, labels = tx.sample_texts(docs, chosen, "text", "doc_id")
+    assert np.bincount(labels).tolist() == [10, 5]
 
 
 def test_edge_rows(spark):
