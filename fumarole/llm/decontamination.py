@@ -11,9 +11,10 @@ Pieces in groups of two and of four sort out most hits before that. A match of a
 edits has fewer edits than pieces in some group of four, then in some pair in it, then in some
 piece in that; so a hit counts only if its pair and its group are that near.
 
-The items are a stated query set. They go to the tasks in blocks of bounded size, one pass over
-the documents for each block, so neither the driver nor a task holds more than a block of them.
-Hits of one item in one text are merged before verification, so its cost is bounded by the
+The items are a stated query set. Beyond one block of bounded size they are cut into blocks by
+Spark, in a stage table. Each block is fetched, sent to the tasks, searched in a pass of its own
+whose findings are written, and released before the next, so neither the driver nor a task holds
+more than a block of them. Hits of one item in one text are merged before verification, so its cost is bounded by the
 length of the text however often a piece occurs there.
 
 Defined cases: null texts and items count as empty and match nothing; an item without letters or
@@ -23,15 +24,18 @@ reported; repeated rows are reported each; empty tables give empty results.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fumarole.llm import textarrays as ta
+from fumarole.session import materialise, small_table
 
 #: Edits allowed as a share of an item's length.
 RATE = 0.10
@@ -224,18 +228,76 @@ def matches(texts: pa.Array, block: Items) -> list[tuple[int, int, int, int, int
     return out
 
 
-def blocks_of(items: DataFrame, text: str, key: str, most: int = BLOCK_BYTES) -> Iterator[tuple[list, list]]:
-    """Ids and texts of the items in blocks of bounded size, streamed through the driver."""
-    ids, texts, size = [], [], 0
-    for row in items.select(key, text).toLocalIterator(prefetchPartitions=False):
-        if texts and size + len(row[1] or "") > most:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-        ids.append(row[0])
-        texts.append(row[1])
-        size += len(row[1] or "")
-    if ids:
-        yield ids, texts
+def item_blocks(items: DataFrame, text: str, key: str, most: int = BLOCK_BYTES) -> Iterator[tuple[pa.Table, bool]]:
+    """(id, s) of the items in blocks of at most ``most`` bytes of text, or of one longer item,
+    and whether that is all: a small table, which may be empty, is one block."""
+    rows = items.select(F.col(key).alias("id"), F.col(text).alias("s"))
+    size = rows.agg(F.sum(F.octet_length("s")), F.count("*")).first()
+    total = (size[0] or 0) + 16 * size[1]
+    if total <= most:
+        yield rows.toArrow(), True
+        return
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = taken = 0
+        for batch in batches:
+            numbers = []
+            for n in pc.fill_null(pc.binary_length(batch.column("s")), 0).to_pylist():
+                if taken and taken + n + 16 > most:
+                    block, taken = block + 1, 0
+                taken += n + 16
+                numbers.append(block)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int32())], ["id", "s", "part", "block"])
+
+    rows = rows.coalesce(-(-total // (4 * most))).withColumn("part", F.spark_partition_id())
+    kind = items.schema[key].dataType.simpleString()
+    staged = materialise(rows.mapInArrow(cut, f"id {kind}, s string, part int, block int"), "items")
+    for part, block in sorted(map(tuple, staged.select("part", "block").distinct().collect())):
+        yield staged.where((F.col("part") == part) & (F.col("block") == block)).select("id", "s").toArrow(), False
+
+
+def searched(rows: DataFrame, block: pa.Table, rate: float):
+    """The findings of one block in the texts ``s`` of rows with keys ``k``, and its broadcast."""
+    texts = Items.of(list(range(block.num_rows)), block.column("s").to_pylist(), rate)
+    ids = block.column("id").combine_chunks()
+    held = rows.sparkSession.sparkContext.broadcast((texts, ids))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, ids = held.value
+        for batch in batches:
+            for part in ta.chunks(batch, "s"):
+                table = np.array(matches(part.column("s"), texts), np.int32).reshape(-1, 5)
+                budgets = [texts.budgets[i] for i in table[:, 1]]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("k").take(pa.array(table[:, 0])),
+                        ids.take(pa.array(table[:, 1])),
+                        pa.array(table[:, 2]),
+                        pa.array(budgets, pa.int32()),
+                        pa.array(table[:, 3]),
+                        pa.array(table[:, 4] - 1),
+                    ],
+                    ["k", "item", "distance", "budget", "first_word", "last_word"],
+                )
+
+    return run, held
+
+
+def found_in(rows: DataFrame, blocks: Iterable[tuple[pa.Table, bool]], item_kind: str, rate: float) -> DataFrame:
+    """All findings in rows (k, s). A block that is all is searched lazily, several are searched and
+    written one by one."""
+    kind = rows.schema["k"].dataType.simpleString()
+    schema = f"k {kind}, item {item_kind}, distance int, budget int, first_word int, last_word int"
+    out = None
+    for block, alone in blocks:
+        run, held = searched(rows, block, rate)
+        found = rows.mapInArrow(run, schema)
+        if alone:
+            return found
+        found = materialise(found, "leaks")
+        held.destroy()
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def leaks(
@@ -249,39 +311,9 @@ def leaks(
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """(key, item key, distance, budget, first_word, last_word) of every item found in a text."""
-    context = docs.sparkSession.sparkContext
-    kinds = docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
-    schema = f"k {kinds[0]}, item {kinds[1]}, distance int, budget int, first_word int, last_word int"
     rows = docs.select(key, text).toDF("k", "s")
-    item_kind = items.select(item_key).limit(0).toArrow().schema.field(0).type
-
-    def search(held):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            block = held.value
-            for batch in batches:
-                for part in ta.chunks(batch, "s"):
-                    found = matches(part.column("s"), block)
-                    table = np.array(found, np.int32).reshape(-1, 5)
-                    ids = pa.array([block.ids[i] for i in table[:, 1]], item_kind)
-                    budgets = [block.budgets[i] for i in table[:, 1]]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            part.column("k").take(pa.array(table[:, 0])),
-                            ids,
-                            pa.array(table[:, 2]),
-                            pa.array(budgets, pa.int32()),
-                            pa.array(table[:, 3]),
-                            pa.array(table[:, 4] - 1),
-                        ],
-                        ["k", "item", "distance", "budget", "first_word", "last_word"],
-                    )
-
-        return run
-
-    out = docs.sparkSession.createDataFrame([], schema)
-    for i, (ids, texts) in enumerate(blocks_of(items, item_text, item_key, block_bytes)):
-        found = rows.mapInArrow(search(context.broadcast(Items.of(ids, texts, rate))), schema)
-        out = out.unionByName(found) if i else found
+    blocks = item_blocks(items, item_text, item_key, block_bytes)
+    out = found_in(rows, blocks, items.schema[item_key].dataType.simpleString(), rate)
     return out.toDF(key, item_key, *out.columns[2:])
 
 
@@ -294,26 +326,35 @@ def without_leaks(
     rate: float = RATE,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """The rows of ``docs`` whose text holds no item; a narrow pass for each block of items."""
-    context = docs.sparkSession.sparkContext
+    """The rows of ``docs`` whose text holds no item.
+
+    One block of items is a narrow pass. With several, the rows are staged with a number each, and
+    the numbers of the rows that hold an item leave them in one join.
+    """
     inner = [f"c{i}" for i in range(len(docs.columns))]
     body = inner[docs.columns.index(text)]
+    rows = docs.toDF(*inner)
+    blocks = item_blocks(items, item_text, item_key, block_bytes)
+    block, alone = next(blocks)
+    if not alone:
+        rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "numbered")
+        texts = rows.select(F.col("row").alias("k"), F.col(body).alias("s"))
+        kind = items.schema[item_key].dataType.simpleString()
+        dirty = found_in(texts, chain([(block, alone)], blocks), kind, rate).select("k").distinct()
+        rows = rows.join(small_table(dirty), F.col("row") == F.col("k"), "left_anti")
+        return rows.select(*inner).toDF(*docs.columns)
     schema = ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in zip(inner, docs.schema))
+    known = Items.of(list(range(block.num_rows)), block.column("s").to_pylist(), rate)
+    held = docs.sparkSession.sparkContext.broadcast(known)
 
-    def sift(held):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in ta.chunks(batch, body):
-                    clean = np.ones(part.num_rows, bool)
-                    clean[[m[0] for m in matches(part.column(body), held.value)]] = False
-                    yield part.filter(pa.array(clean))
-
-        return run
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in ta.chunks(batch, body):
+                clean = np.ones(part.num_rows, bool)
+                clean[[m[0] for m in matches(part.column(body), held.value)]] = False
+                yield part.filter(pa.array(clean))
 
-    out = docs.toDF(*inner)
-    for ids, texts in blocks_of(items, item_text, item_key, block_bytes):
-        out = out.mapInArrow(sift(context.broadcast(Items.of(ids, texts, rate))), schema)
-    return out.toDF(*docs.columns)
+    return rows.mapInArrow(sift, schema).toDF(*docs.columns)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,6 +84,41 @@ def test_matches_brute_force_in_blocks(spark):
     assert {r.doc_id for r in kept.collect()} == {k for k, _ in docs} - {w[0] for w in want}
 
 
+def test_blocks_are_held_one_at_a_time(spark, monkeypatch):
+    docs, items = cases()
+    rng = random.Random(4)
+    items += [(100 + i, "".join(rng.choice("fghij") for _ in range(400))) for i in range(60)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    i = spark.createDataFrame(items, "item_id int, text string").repartition(3)
+    live, most, made = set(), [0], [0]
+    plain = type(spark.sparkContext).broadcast
+
+    def counted(context, value):
+        held = plain(context, value)
+        if isinstance(value, tuple) and isinstance(value[0], dc.Items):
+            live.add(id(held))
+            most[0], made[0] = max(most[0], len(live)), made[0] + 1
+            end = held.destroy
+            held.destroy = lambda *a: (live.discard(id(held)), end(*a))
+            assert sum(len(x) for x in value[0].texts) <= 5000
+        return held
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", counted)
+    found = {tuple(r)[:4] for r in dc.leaks(d, i, block_bytes=5000).collect()}
+    assert made[0] > 5 and most[0] == 1 and not live
+    monkeypatch.undo()
+    assert found == {tuple(r)[:4] for r in dc.leaks(d, i).collect()}
+
+
+def test_repeated_rows_leave_together_with_many_blocks(spark):
+    docs = [(1, "aa bb"), (1, "aa bb"), (None, "xx the needle text yy"), (1, "the needle text"), (2, None)]
+    d = spark.createDataFrame(docs, "row long, text string")
+    i = spark.createDataFrame([(k, f"the needle text {'q' * k}" if k else "the needle text") for k in range(30)], "item_id int, text string")
+    kept = dc.without_leaks(d, i, block_bytes=100)
+    assert kept.columns == ["row", "text"]
+    assert sorted(map(tuple, kept.collect())) == [(1, "aa bb"), (1, "aa bb"), (2, None)]
+
+
 def test_query_matches_brute_force_on_whole_tables(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
