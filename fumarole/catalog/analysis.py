@@ -15,7 +15,7 @@ from fumarole.catalog.panel import read
 from fumarole.catalog.registry import query
 from fumarole.catalog.tables import FOLD_SQL, KEYED, rounded, staged_panel
 from fumarole.functions import confidence_band
-from fumarole.operators import attribution, cleaning, metrics, profiling, scoring, split
+from fumarole.operators import attribution, cleaning, metrics, neighbours, profiling, scoring, split
 from fumarole.operators.learners import prepare
 from fumarole.operators.quantiles import quantile_table
 from fumarole.plans.features import add_ratios
@@ -286,6 +286,40 @@ def mutual_information(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(table, ["mi"])
 
 
+_NEAR_COLUMNS = ["revenue", "market_cap", "employee_count", "reporting_year"]
+
+
+def _near_sql(c: str) -> str:
+    return f"""SELECT '{c}' AS "column", id, {c}::DOUBLE AS x, scope1_emissions::DOUBLE AS y,
+               stddev_pop({c}::DOUBLE) OVER () AS sx, stddev_pop(scope1_emissions::DOUBLE) OVER () AS sy FROM complete"""
+
+
+@query(
+    S.on_panel(
+        """SELECT "column", round(greatest(avg(hn.psi + hk.psi - hx.psi - hy.psi), 0), 6) AS mi
+           FROM counted JOIN harmonic hn ON hn.n = counted.n JOIN harmonic hk ON hk.n = counted.k
+           JOIN harmonic hx ON hx.n = counted.nx JOIN harmonic hy ON hy.n = counted.ny GROUP BY 1""",
+        f"""complete AS MATERIALIZED (SELECT row_number() OVER () AS id, {', '.join(_NEAR_COLUMNS)}, scope1_emissions FROM panel
+            WHERE {' AND '.join(f'{c} IS NOT NULL' for c in [*_NEAR_COLUMNS, 'scope1_emissions'])})""",
+        f"placed AS MATERIALIZED ({' UNION ALL '.join(_near_sql(c) for c in _NEAR_COLUMNS)})",
+        """reach AS MATERIALIZED (
+             SELECT a."column", a.id, min(greatest(abs(a.x - b.x) / a.sx, abs(a.y - b.y) / a.sy), 3)[3] AS r
+             FROM placed a JOIN placed b ON a."column" = b."column" AND a.id <> b.id GROUP BY ALL)""",
+        """counted AS MATERIALIZED (
+             SELECT a."column", a.id, count(*) AS n,
+                    CASE WHEN r = 0 THEN count(*) FILTER (a.x = b.x AND a.y = b.y) ELSE 3 END AS k,
+                    count(*) FILTER (abs(a.x - b.x) / a.sx < r OR (r = 0 AND a.x = b.x)) AS nx,
+                    count(*) FILTER (abs(a.y - b.y) / a.sy < r OR (r = 0 AND a.y = b.y)) AS ny
+             FROM placed a JOIN reach USING ("column", id) JOIN placed b ON a."column" = b."column" GROUP BY a."column", a.id, r)""",
+        """harmonic AS MATERIALIZED (
+             SELECT i AS n, coalesce(sum(1.0::DOUBLE / (i - 1)) FILTER (i > 1) OVER (ORDER BY i), 0) - 0.5772156649015329 AS psi
+             FROM range(1, (SELECT count(*) + 1 FROM complete)) t(i))""",
+    )
+)
+def nearest_information(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(neighbours.nearest_information(staged_panel(spark, sf), _NEAR_COLUMNS), ["mi"])
+
+
 # --- splits and samples ------------------------------------------------------------------
 
 _BINNED = f"""edges AS (SELECT quantile_cont(scope1_emissions, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]) AS e FROM panel),
