@@ -78,3 +78,17 @@ def test_panel_scans_only_what_it_needs(spark):
 def test_filters_reach_the_scan(spark):
     plan = plan_of(entry.queries()["indicator_pivot"](spark, SF))
     assert "PushedFilters: [In(event_type" in plan or "PushedFilters: [IsNotNull(value), In(event_type" in plan
+
+
+def test_two_rounds_cover_every_boosted_preset(answers, duck):
+    if isinstance(answers["boosting_two_rounds"], Exception):
+        raise answers["boosting_two_rounds"]
+    columns, _, rows = answers["boosting_two_rounds"]
+    presets = {"GradientBoosting", "HistogramBoosting", "OrderedBoosting", "LeafwiseBoosting"}
+    at = columns.index("model")
+    assert {row[at] for row in rows} == presets
+    named = duck.execute(f"SELECT DISTINCT model FROM ({entry.oracle_sql()['boosting_two_rounds']})").fetchall()
+    assert {name for name, in named} == presets
+    of = {(r["model"], r["reporting_year"], r["revenue_missing"]): r["predicted"] for r in (dict(zip(columns, r)) for r in rows)}
+    # the presets differ in penalty and gradients, so their figures are their own
+    assert len({round(sum(v for k, v in of.items() if k[0] == name), 6) for name in presets}) == len(presets)
