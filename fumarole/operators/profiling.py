@@ -13,6 +13,7 @@ from fumarole import vocab
 from fumarole.functions.maths import safe_log1p
 from fumarole.operators.quantiles import bin_of, quantile_table, quantile_values
 from fumarole.operators.split import hash_sample
+from fumarole.sources.dimensions import local_table
 
 
 def numeric_columns(df: DataFrame, flags: bool = False) -> list[str]:
@@ -124,27 +125,22 @@ def skew_before_after(df: DataFrame, logs: dict[str, str] | None = None) -> Data
 def correlations(df: DataFrame, columns: Sequence[str], digits: int | None = None) -> DataFrame:
     """Pearson correlation of every pair over the rows where both are present.
 
-    One pass; only the upper triangle is aggregated, as partial moments in each task. A
-    constant column has no correlation, with itself included.
+    One pass; only the upper triangle is aggregated, as partial moments in each task. A row gives
+    one cell a pair, so the aggregate stays small however many columns there are. A constant column
+    has no correlation, with itself included.
     """
-    upper = list(combinations(columns, 2))
-    moments = [
-        F.try_divide(
-            F.regr_sxy(x, y), F.sqrt(F.regr_sxx(x, y)) * F.sqrt(F.regr_syy(x, y))
-        )
-        for x, y in upper
-    ]
-    cells = [
-        F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), r.alias("r"))
-        for (x, y), r in zip(upper, moments)
-    ]
-    own = [
-        F.struct(
-            F.lit(c).alias("x"), F.lit(c).alias("y"), F.when(F.min(c) < F.max(c), F.lit(1.0)).alias("r")
-        )
-        for c in columns
-    ]
-    half = df.agg(F.array(*cells, *own).alias("cells")).select(F.inline("cells"))
+    upper = [*combinations(columns, 2), *[(c, c) for c in columns]]
+    cells = F.array(*[
+        F.struct(F.lit(i).alias("pair"), F.col(x).cast("double").alias("a"), F.col(y).cast("double").alias("b"))
+        for i, (x, y) in enumerate(upper)
+    ])
+    moments = F.try_divide(F.regr_sxy("a", "b"), F.sqrt(F.regr_sxx("a", "b")) * F.sqrt(F.regr_syy("a", "b")))
+    sums = df.select(F.inline(cells)).groupBy("pair").agg(
+        moments.alias("moments"), F.when(F.min("a") < F.max("a"), F.lit(1.0)).alias("own")
+    )
+    names = local_table(df.sparkSession, [(i, x, y) for i, (x, y) in enumerate(upper)], ["pair", "x", "y"])
+    half = names.join(F.broadcast(sums), "pair", "left")
+    half = half.select("x", "y", F.when(F.col("x") == F.col("y"), F.col("own")).otherwise(F.col("moments")).alias("r"))
     both = F.when(
         F.col("x") == F.col("y"), F.array(F.struct("x", "y"))
     ).otherwise(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y"))))

@@ -3,7 +3,8 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import companies
+from conftest import companies, plan_of
+from pyspark.sql import functions as F
 
 from fumarole.operators import profiling as p
 from fumarole.operators.cleaning import add_logs
@@ -36,6 +37,18 @@ def test_correlations_are_pairwise_complete(numbers):
             assert got[a, b] == pytest.approx(want.loc[a, b])
 
 
+def test_correlations_of_many_columns_stay_one_small_aggregate(spark):
+    names = [f"c{i}" for i in range(16)]
+    wide = spark.range(50).select(*[F.sin(F.col("id") * (i + 1)).alias(c) for i, c in enumerate(names)])
+    table = p.correlations(wide, names)
+    assert plan_of(table).count("partial_regr_sxy") <= 2
+    got = {(r["x"], r["y"]): r["r"] for r in table.collect()}
+    want = wide.toPandas().corr()
+    assert len(got) == 256 and all(got[a, b] == pytest.approx(want.loc[a, b]) for a in names for b in names)
+    empty = p.correlations(wide.where("c0 > 2"), names).collect()
+    assert len(empty) == 256 and all(r["r"] is None for r in empty)
+
+
 def test_histogram_counts_every_value(numbers):
     df, pdf = numbers
     rows = {r["bin"]: r["n"] for r in p.histogram(df, "y", 20).collect()}
