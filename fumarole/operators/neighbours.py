@@ -8,7 +8,8 @@ with k copies or more has distance 0; its copies, itself included, then stand fo
 Equal points are one weighted point. Points are packed into cells of at most ``cell_rows``: sorted
 by column into strips, each strip by target into cells, so cells shrink where points are dense and
 ties need no care. A point's k smallest distances inside its cell bound its search; it then
-visits only the cells whose bounding box lies nearer than that bound. Rows nearer on an axis are
+visits only the cells whose bounding box lies nearer than that bound, of a list that its cell has
+made for all its points. Rows nearer on an axis are
 a difference of two running totals: values and interval ends are sorted together, and sorted
 partitions are summed inside and shifted by the totals of those before them.
 
@@ -118,6 +119,42 @@ def smallest(own: pa.Table, other: pa.Table, k: int, block: int) -> np.ndarray:
     return out
 
 
+def nearer(box: Column, axis: str, low: str, high: str) -> Column:
+    """The box lies nearer than the bound to a point from low to high, or holds one; with the very
+    arithmetic of distances, whose steps keep the order of their terms."""
+    unit, r = F.col(f"s{axis}"), F.col("r")
+    return ((box[f"{axis}0"] - F.col(high)) / unit < r) & ((F.col(low) - box[f"{axis}1"]) / unit < r)
+
+
+def reached(asking: DataFrame, boxes: DataFrame) -> DataFrame:
+    """(column, strip, cell, boxes): by strip, the boxes of other cells that any point of a cell may
+    lie near. A point then tries these few and not those of all cells, whose number grows."""
+    # about as many strips as a strip has cells, so neither list outgrows the root of the cells
+    strips = boxes.groupBy("column", "strip").agg(
+        F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.collect_list(F.struct("cell", "x0", "x1", "y0", "y1")).alias("cells")
+    )
+    strips = materialise(strips, "strips")
+    listed = strips.groupBy("column").agg(F.collect_list(F.struct("strip", "x0", "x1")).alias("strips"))
+
+    reach = asking.groupBy(*CELL, "sx", "sy").agg(
+        F.max("r").alias("r"), F.min("x").alias("xl"), F.max("x").alias("xh"), F.min("y").alias("yl"), F.max("y").alias("yh")
+    )
+    reach = reach.withColumnsRenamed({"strip": "own_strip", "cell": "own_cell"}).join(small_table(listed), "column")
+    reach = reach.withColumn("found", F.explode(F.filter("strips", lambda s: nearer(s, "x", "xl", "xh")))).drop("strips")
+    reach = reach.withColumn("strip", F.col("found.strip"))
+    reach = reach.join(small_table(strips.select("column", "strip", "cells")), ["column", "strip"])
+    others = F.filter(
+        "cells",
+        lambda c: nearer(c, "x", "xl", "xh") & nearer(c, "y", "yl", "yh")
+        & ((F.col("strip") != F.col("own_strip")) | (c["cell"] != F.col("own_cell"))),
+    )
+    reach = reach.withColumn("cells", others).where(F.size("cells") > 0)
+    box = F.struct("strip", F.col("found.x0").alias("x0"), F.col("found.x1").alias("x1"), "cells")
+    return reach.groupBy("column", F.col("own_strip").alias("strip"), F.col("own_cell").alias("cell")).agg(
+        F.collect_list(box).alias("boxes")
+    )
+
+
 def radii(placed: DataFrame, k: int = NEIGHBOURS, cell_rows: int = CELL_ROWS) -> DataFrame:
     """The points of ``cells_of`` with ``r``, the distance to the k-th nearest other row."""
     near = "near array<double>"
@@ -142,26 +179,15 @@ def radii(placed: DataFrame, k: int = NEIGHBOURS, cell_rows: int = CELL_ROWS) ->
         F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")
     )
     boxes = materialise(boxes, "boxes")
-    # about as many strips as a strip has cells, so neither list outgrows the root of the cells
-    strips = boxes.groupBy("column", "strip").agg(
-        F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.collect_list(F.struct("cell", "x0", "x1", "y0", "y1")).alias("cells")
-    )
-    strips = materialise(strips, "strips")
-    listed = strips.groupBy("column").agg(F.collect_list(F.struct("strip", "x0", "x1")).alias("strips"))
-
-    def nearer(box: Column, axis: str) -> Column:
-        """The box lies nearer than the bound, or inside it; with the very arithmetic of distances."""
-        at, unit, r = F.col(axis), F.col(f"s{axis}"), F.col("r")
-        return ((box[f"{axis}0"] - at) / unit < r) & ((at - box[f"{axis}1"]) / unit < r)
-
-    asking = home.select(*NAMES, F.col("strip").alias("own_strip"), F.col("cell").alias("own_cell"), F.col("near")[k - 1].alias("r"))
-    asking = asking.where("r > 0").join(small_table(listed), "column")
-    asking = asking.withColumn("found", F.explode(F.filter("strips", lambda s: nearer(s, "x")))).drop("strips")
-    asking = asking.withColumn("strip", F.col("found.strip")).drop("found")
-    asking = asking.join(small_table(strips.select("column", "strip", "cells")), ["column", "strip"])
-    asking = asking.withColumn("found", F.explode(F.filter("cells", lambda c: nearer(c, "x") & nearer(c, "y"))))
-    asking = asking.withColumn("cell", F.col("found.cell")).drop("cells", "found")
-    visits = materialise(asking.where("strip <> own_strip OR cell <> own_cell").select(*columns), "visits")
+    asking = home.select(*NAMES, "strip", "cell", F.col("near")[k - 1].alias("r")).where("r > 0")
+    # lists of a cell at the edge may be long, so this table never passes through the driver
+    reach = materialise(reached(asking, boxes), "reach")
+    asking = asking.join(reach, CELL).drop("strip", "cell")
+    asking = asking.withColumn("found", F.explode(F.filter("boxes", lambda s: nearer(s, "x", "x", "x")))).drop("boxes")
+    asking = asking.select(*NAMES, "r", "found.strip", "found.cells")
+    met = F.filter("cells", lambda c: nearer(c, "x", "x", "x") & nearer(c, "y", "y", "y"))
+    asking = asking.withColumn("found", F.explode(met)).withColumn("cell", F.col("found.cell"))
+    visits = materialise(asking.select(*columns), "visits")
 
     # visitors of one cell meet it in blocks, each with its own copy of the cell
     blocks = visits.groupBy(*CELL).agg(F.ceil(F.count("*") / F.lit(cell_rows)).cast("int").alias("blocks"))

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fumarole.operators import neighbours as nb
 
@@ -102,3 +103,23 @@ def test_ends_are_the_last_values_inside():
     inside = (got - x) / unit < r
     beyond = (np.nextafter(got, np.inf) - x) / unit >= r
     assert (inside | (r == 0)).all() and (got >= x).all() and (beyond | (r == 0)).all()
+
+
+def test_a_cell_lists_only_boxes_near_it(spark):
+    side = 60
+    rows = [(float(i), float(j)) for i in range(side) for j in range(side)]
+    found = nb.points(spark.createDataFrame(rows, "a double, t double"), ["a"], "t")
+    placed = nb.cells_of(found, 16).withColumn("r", 1.5 / F.col("sx"))
+    every = placed.groupBy("column", "strip", "cell").agg(
+        F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")
+    )
+    lists = nb.reached(placed, every).collect()
+    got = {(r["strip"], r["cell"]): {(s["strip"], c["cell"]) for s in r["boxes"] for c in s["cells"]} for r in lists}
+    boxes = [(r["strip"], r["cell"], r["x0"], r["x1"], r["y0"], r["y1"]) for r in every.collect()]
+    for p in placed.collect():
+        near = {
+            (s, c) for s, c, x0, x1, y0, y1 in boxes
+            if max(x0 - p["x"], p["x"] - x1, y0 - p["y"], p["y"] - y1) < 1.5 and (s, c) != (p["strip"], p["cell"])
+        }
+        assert near <= got[p["strip"], p["cell"]]
+    assert len(boxes) > 200 and max(map(len, got.values())) < 30
