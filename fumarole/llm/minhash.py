@@ -13,7 +13,9 @@ around it. Rows of one key, and copies, spread over tasks.
 ``matches`` finds for stated query rows all rows with a Jaccard similarity of at least 0.8. Equal
 fingerprints form one class; the bands of classes are joined on (band, its values), so copies never
 meet in pairs, and each candidate pair of classes is verified on the whole shingle sets, fetched
-for the candidates only. The chance that no band joins a pair of similarity 0.8 is 0.0017.
+for the candidates only. The chance that no band joins a pair of similarity 0.8 is 0.0017. A bucket
+of more than ``LISTED`` pairs is a crowd (``crowds.py``): its pairs are decided together, exactly,
+and only those that their differences from the crowd leave open are listed.
 
 Defined cases: a null text counts as empty; a text of fewer than five words is one shingle, one
 without words has none, and two of these are alike; rows with a null key come first, and of rows
@@ -34,11 +36,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from fumarole.llm import textarrays as ta
+from fumarole.llm.crowds import crowd_counts, near
 from fumarole.session import materialise, small_table
 
 SHINGLE = 5
 PERMUTATIONS = 128
-SIMILARITY = 0.8
 #: Bands and their rows.
 BANDS, ROWS = 21, 6
 #: Bytes of one value in a fingerprint.
@@ -47,6 +49,8 @@ VALUE_BYTES = 2
 BLOCK = 1 << 15
 #: Rows that one class of many copies is spread over.
 SALTS = 8
+#: Pairs (asking classes x classes) of one bucket up to which they are listed.
+LISTED = 256
 EMPTY = 0xFFFF
 
 _rng = np.random.default_rng(20_261_013)
@@ -218,6 +222,33 @@ def shingle_sets(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"k {rows.schema['k'].dataType.simpleString()}, h long, items array<long>")
 
 
+def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """(q, c): pairs of asking classes and others with a common band; of crowded buckets the crowd
+    ``g`` of each class ``c`` and the crowds that each ``q`` meets, none where no bucket is crowded.
+
+    A class belongs to the crowd of its fullest bucket. The pairs leave out all members of crowds
+    that ``q`` meets.
+    """
+    every = classes.select("c", "asked", F.explode(bands(F.col("fingerprint"))).alias("band"))
+    asked = every.where("asked").groupBy("band").agg(F.count("*").alias("n_asked"))
+    met = materialise(every.join(asked, "band"), "met")
+    full = met.groupBy("band").agg(F.count("*").alias("n_met"), F.first("n_asked").alias("n_asked"))
+    full = small_table(full.where(F.col("n_met") * F.col("n_asked") > LISTED).select("band", "n_met"))
+    listed = met.join(full, "band", "left_anti")
+    looks = listed.where("asked").select(F.col("c").alias("q"), "band")
+    pairs = looks.join(listed.select("c", "band"), "band").where("q <> c").select("q", "c").distinct()
+    if full.isEmpty():
+        return materialise(pairs, "candidates"), None, None
+
+    crowded = met.join(full, "band").select("c", "asked", "band", "n_met")
+    home = materialise(crowded.groupBy("c").agg(F.max(F.struct("n_met", "band"))["band"].alias("g")), "homes")
+    reach = crowded.join(home, "c").select("band", "g").distinct()
+    looks = crowded.where("asked").select(F.col("c").alias("q"), "band")
+    asking = materialise(looks.join(reach, "band").select("q", "g").distinct(), "asking")
+    pairs = pairs.join(home, "c", "left").join(asking, ["q", "g"], "left_anti").select("q", "c")
+    return materialise(pairs, "candidates"), home, asking
+
+
 def matches(docs: DataFrame, prints: DataFrame, asked: Column, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(fingerprint, n_near): for each fingerprint with rows that ``asked`` (a condition on ``k``)
     chooses, how many rows have a Jaccard similarity of at least 0.8, the row itself not counted.
@@ -230,12 +261,11 @@ def matches(docs: DataFrame, prints: DataFrame, asked: Column, text: str = "text
         F.count("*").alias("n"), least.alias("of"), F.max(F.coalesce(asked, F.lit(False))).alias("asked")
     )
     classes = materialise(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
-    home = classes.select("c", F.explode(bands(F.col("fingerprint"))).alias("band"))
-    looks = classes.where("asked").select(F.col("c").alias("q"), F.explode(bands(F.col("fingerprint"))).alias("band"))
-    pairs = materialise(looks.join(home, "band").where("q <> c").select("q", "c").distinct(), "candidates")
-
-    needed = pairs.select(F.col("q").alias("c")).unionByName(pairs.select("c")).distinct()
-    sources = small_table(classes.join(needed, "c").select("c", "of.k", "of.h"))
+    pairs, home, asking = candidates(classes)
+    needed = pairs.select(F.col("q").alias("c")).unionByName(pairs.select("c"))
+    if home is not None:
+        needed = needed.unionByName(home.select("c"))
+    sources = small_table(classes.join(needed.distinct(), "c").select("c", "of.k", "of.h"))
     body = F.coalesce(text, F.lit(""))
     rows = docs.select(F.col(key).alias("k"), F.xxhash64(body).alias("h"), body.alias("s"))
     same = rows["k"].eqNullSafe(sources["k"]) & (rows["h"] == sources["h"])
@@ -244,11 +274,17 @@ def matches(docs: DataFrame, prints: DataFrame, asked: Column, text: str = "text
         F.col("k").eqNullSafe(F.col("k2")) & (F.col("h") == F.col("h2")),
     )
     sets = materialise(sets.select("c", "items").dropDuplicates(["c"]), "sets")
+    crowded = None
+    if home is not None:
+        crowded, more = crowd_counts(home, asking, sets, classes)
+        pairs = pairs.unionByName(more)
     theirs = sets.select(F.col("c").alias("q"), F.col("items").alias("asking"))
     verified = pairs.join(sets, "c").join(theirs, "q")
-    both = F.size(F.array_intersect("items", "asking"))
-    near = both >= SIMILARITY * (F.size("items") + F.size("asking") - both)
-    counted = verified.where(near).join(classes.select("c", "n"), "c").groupBy("q").agg(F.sum("n").alias("others"))
+    alike = near(F.size("items"), F.size("asking"), F.size(F.array_intersect("items", "asking")))
+    counted = verified.where(alike).join(classes.select("c", "n"), "c").select("q", F.col("n").alias("others"))
+    if crowded is not None:
+        counted = counted.unionByName(crowded)
+    counted = counted.groupBy("q").agg(F.sum("others").alias("others"))
     name = F.lower(F.hex("fingerprint")).alias("fingerprint")
     asking = classes.where("asked").select(name, "n", F.col("c").alias("q"))
     return asking.join(counted, "q", "left").select(
